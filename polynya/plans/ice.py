@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polynya.functions.geodesy import SEA_ICE
+from polynya.operators.aggregates import mean_sd_n
 from polynya.operators.joins import cross_targets, keyed_override
 from polynya.operators.ordered import closest_to_target, next_rows_below
-from polynya.operators.relational import in_season
+from polynya.operators.relational import in_box, in_season
+from polynya.operators.spatial import nearest, nearest_projected
 
 SIC_TARGETS = (0.1, 0.5, 0.8)
 
@@ -70,3 +73,49 @@ def days_open_water(
     return dow.select(
         "station", "sic_target", "sampling_date", "dow_date", "dow_length", "dow_sic"
     )
+
+
+# -- history from daily grids ---------------------------------------------------------------
+
+# Scale of the stored concentration, area of interest.
+SIC_SCALE = 0.00999999977648258
+AREA = {"west": -65.0, "east": -50.0, "south": 65.0, "north": 72.0}
+
+
+def sic_history(
+    stations: DataFrame, cells: DataFrame, daily: DataFrame, scale: float = SIC_SCALE
+) -> DataFrame:
+    """Station × day concentration at the cell nearest to the station.
+
+    ``stations`` has long_deg_w (positive west) and lat_deg_n; ``cells`` cell_id, lon, lat;
+    ``daily`` cell_id, ice_date, sic. Cell places do not change from day to day, so the nearest
+    cell is found once and the days follow by an equi-join.
+    """
+    area = cells.filter(in_box(F.col("lon"), F.col("lat"), **AREA))
+    placed = stations.filter(F.col("lat_deg_n") >= 65).withColumns(
+        {"lon": -F.col("long_deg_w"), "lat": F.col("lat_deg_n")}
+    )
+    found = nearest_projected(placed, area, SEA_ICE).drop("lon", "lat")
+    return found.join(daily, "cell_id").withColumn("sic", F.col("sic") * F.lit(scale)).drop("cell_id")
+
+
+def sic_point_history(
+    points: DataFrame, cells: DataFrame, daily: DataFrame
+) -> DataFrame:
+    """All days of the cells nearest (in degrees) to fixed points; concentration as stored."""
+    found = nearest(points, cells, ("lon", "lat"), ("lon", "lat"), "cell_id").drop("distance")
+    return daily.join(found, "cell_id").withColumn("year", F.year("ice_date"))
+
+
+def sic_daily_summary(history: DataFrame) -> DataFrame:
+    """Mean ± standard deviation over stations per day, in percent, with the band edges."""
+    out = mean_sd_n(history, ["ice_date"], F.col("sic") * 100)
+    return out.select(
+        "ice_date", F.col("mean").alias("mean_sic"), F.col("sd").alias("sd_sic"),
+        (F.col("mean") - F.col("sd")).alias("low"), (F.col("mean") + F.col("sd")).alias("high"),
+    )
+
+
+def sampling_day_value(history: DataFrame) -> DataFrame:
+    """Per station the row whose ice date is the sampling date."""
+    return history.filter(F.col("sampling_date") == F.col("ice_date"))

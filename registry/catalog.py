@@ -1,6 +1,6 @@
 """All bindings; importing a module registers its queries."""
 
 from registry.base import ORACLES, QUERIES
-from registry import relational, absorption, fits
+from registry import relational, absorption, fits, spatial
 
 __all__ = ["ORACLES", "QUERIES"]

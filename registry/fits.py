@@ -325,14 +325,14 @@ def nls_decay(t):
 v._view(
     "short_obs",
     """SELECT o_custkey AS curve, o_orderkey AS l_orderkey, 0 AS l_linenumber, CAST(o_orderkey % 700 AS DOUBLE) AS light,
-       round(o_totalprice / 100000, 6) AS p FROM orders""",
+       round(o_totalprice / 100000, 8) AS p FROM orders""",
 )
 
 
 def short_obs(t):
     return t.orders.select(
         F.col("o_custkey").alias("curve"), F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"),
-        (F.col("o_orderkey") % 700).cast("double").alias("light"), F.round(F.col("o_totalprice") / 100000, 6).alias("p"),
+        (F.col("o_orderkey") % 700).cast("double").alias("light"), F.round(F.col("o_totalprice") / 100000, 8).alias("p"),
     )
 
 
@@ -396,11 +396,11 @@ def production(t):
 
 @query(
     "dpm_to_production",
-    sql_with("production", "SELECT curve, l_orderkey, l_linenumber, l_suppkey, id, light, round(net, 6) AS dpm, round(p, 6) AS p FROM production"),
+    sql_with("production", "SELECT curve, l_orderkey, l_linenumber, l_suppkey, id, light, round(net, 9) AS dpm, round(p, 6) AS p FROM production"),
 )
 def dpm_to_production(t):
     return production(t).select(
-        "curve", "l_orderkey", "l_linenumber", "l_suppkey", "id", "light", F.round("dpm", 6).alias("dpm"), F.round("p", 6).alias("p")
+        "curve", "l_orderkey", "l_linenumber", "l_suppkey", "id", "light", F.round("dpm", 9).alias("dpm"), F.round("p", 6).alias("p")
     )
 
 
