@@ -38,7 +38,7 @@ def lm(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:
     with_slope = sums.withColumn("slope", slope)
     rss = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))
     errors = with_slope.withColumn("intercept", F.col("_my") - F.col("slope") * F.col("mean_x")).withColumn(
-        "sigma", F.when(F.col("n") >= 3, F.sqrt(rss / (F.col("n") - 2)))
+        "sigma", F.when((F.col("n") >= 3) & F.col("slope").isNotNull(), F.sqrt(rss / (F.col("n") - 2)))
     )
     se_slope = F.when(F.col("sxx") > 0, F.col("sigma") / F.sqrt("sxx"))
     se_intercept = F.when(

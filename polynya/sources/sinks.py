@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+CSV = {"header": "true", "nullValue": "NA", "emptyValue": "", "timestampNTZFormat": STAMP}
+
+
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    df.write.mode("overwrite" if overwrite else "errorifexists").csv(
-        path, header=True, nullValue="NA", emptyValue="", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-    )
+    df.write.options(**CSV).mode("overwrite" if overwrite else "errorifexists").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.csv(
-        path,
-        schema=schema,
-        header=True,
-        nullValue="NA",
-        emptyValue="",
-        enforceSchema=False,
-        timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    )
+    return spark.read.options(**CSV).option("enforceSchema", "false").schema(schema).csv(path)
 
 
 def write_columnar(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -23,7 +23,7 @@ def lm_sql(source: str, keys: str = "") -> str:
     by = f" GROUP BY {keys}" if keys else ""
     return f"""(SELECT {lead}n, mx, sxx, slope, my - slope * mx AS intercept, sigma,
       sigma / sqrt(sxx) AS se_slope, sigma * sqrt(1.0::DOUBLE / n + mx * mx / sxx) AS se_intercept, slope * sxy / nullif(syy, 0) AS r2
-      FROM (SELECT *, CASE WHEN n >= 3 THEN sqrt(greatest(syy - slope * sxy, 0) / (n - 2)) END AS sigma FROM
+      FROM (SELECT *, CASE WHEN n >= 3 AND slope IS NOT NULL THEN sqrt(greatest(syy - slope * sxy, 0) / (n - 2)) END AS sigma FROM
       (SELECT *, CASE WHEN n >= 2 AND sxx > 0 THEN sxy / sxx END AS slope FROM
       (SELECT {lead}{_LM} FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL{by}))))"""
 
@@ -244,7 +244,7 @@ def fit_sql(source: str, key: str, x: str, y: str, shapes, basis: str, rounds: i
         )
     shape_cols = ", ".join(f"{value(sh, n)} AS {sh.name}" for sh, n in zip(shapes, names))
     ctes.append(
-        f"""fit AS (SELECT sizes.k, sizes.n, sizes.syy AS tss, a AS amplitude, my2 - a * sg / bn AS off, {shape_cols.replace('span', 'bspan')}, greatest(rss, 0) AS rss
+        f"""fit AS (SELECT sizes.k, sizes.n, sizes.syy AS tss, a AS amplitude, my2 - a * sg / bn AS off, {shape_cols.replace('span', 'bspan')}, CASE WHEN rss IS NOT NULL THEN greatest(rss, 0) END AS rss
         FROM sizes LEFT JOIN (SELECT k, n AS bn, my AS my2, span AS bspan, a, sg, {', '.join(names)}, rss FROM best{rounds}) USING (k))"""
     )
     return ",\n".join(ctes)
