@@ -9,27 +9,31 @@ out by key once; the grid multiplies rows only inside a task, never across the s
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polynya.operators.scale import MAX_GROUP_ROWS, largest_group, null_safe_join
+from polynya.operators.scale import MAX_GROUP_ROWS, null_safe_join
+
+# Grid points summed side by side in one row; keeps the stage within code generation.
+CHUNK = 7
 
 
 @dataclass(frozen=True)
 class Shape:
-    """One shape parameter: its even first grid in ``s`` and how ``s`` becomes the parameter."""
+    """One shape parameter: its even first grid in ``s`` and, as SQL text, how ``s`` and the
+    span of x (``_span``) give the parameter."""
 
     name: str
     low: float
     high: float
     steps: int
-    to_value: Callable[[Column, Column], Column]  # (s, span of x) -> parameter
+    value: str
     floor: float = -math.inf
-    zoom_points: int = 9
-    zoom_by: float = 4.0
+    zoom_points: int = 21
+    zoom_by: float = 8.0
 
     @property
     def step(self) -> float:
@@ -43,6 +47,14 @@ class Shape:
         fine = self.step / self.zoom_by**round_
         return [(i - half) * fine for i in range(self.zoom_points)]
 
+    def parameter(self, s: str) -> str:
+        return f"({self.value.format(s=s)})"
+
+
+def number(v: float) -> str:
+    """A double literal in Spark SQL."""
+    return f"{v!r}D" if math.isfinite(v) else f"double('{'-' if v < 0 else ''}infinity')"
+
 
 def fit_separable(
     df: DataFrame,
@@ -50,131 +62,155 @@ def fit_separable(
     x: str,
     y: str,
     shapes: Sequence[Shape],
-    basis: Callable[..., Column],
-    low: Callable[[Column], Column] | None = None,
+    basis: str,
+    weight: str = "1D",
+    low: str | None = None,
     high: float | None = None,
-    rounds: int = 3,
+    rounds: int = 2,
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One row per group: n, amplitude, offset, the shape values, rss, total sum of squares.
 
-    ``basis(x, *shape values)`` is g. ``low`` maps the smallest y to the lower bound of the
-    amplitude. A group with fewer rows than parameters, or that no shape fits, keeps its row
-    with null parameters.
+    g is ``basis * weight``, SQL text over ``_x``: the basis uses the first shape's value
+    ``{0}``, the weight those of the others (``{1}``). The first shape is a LOG_SCALE one, so
+    its grid values are multiples of each other. ``low`` is the lower bound of the amplitude,
+    SQL text over the smallest y (``_ymin``). A group with fewer rows than parameters, or that
+    no shape fits, keeps its row with null parameters.
     """
     keys = list(keys)
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.struct(*keys).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
+        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
-    sizes = known.groupBy("_k").agg(
+    some_null = F.lit(False)
+    for k in keys:
+        some_null = some_null | F.col(k).isNull()
+    groups = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
+        F.max("_n").alias("biggest"), F.bool_or(some_null).alias("nulls")
+    ).first()
+    packed = bool(groups["nulls"])
+    ks = ["_k"] if packed else keys
+    if packed:  # a struct compares null fields as equal, so plain equi-joins keep every group
+        known = known.select(F.struct(*keys).alias("_k"), "_x", "_y")
+    sizes = known.groupBy(*ks).agg(
         F.count(F.lit(1)).alias("_n"),
         F.avg("_y").alias("_my"),
         F.regr_sxx("_y", "_y").alias("_syy"),
         F.min("_y").alias("_ymin"),
         (F.max("_x") - F.least(F.min("_x"), F.lit(0.0))).alias("_span"),
     )
-    rows = known.join(sizes, "_k")
+    rows = known.join(sizes, ks).withColumn("_y", F.col("_y") - F.col("_my"))
     # A curve over the limit is spread over several tasks; the others stay whole.
-    spread = largest_group(known, ["_k"]) > max_rows
-    shares = F.ceil(F.col("_n") / F.lit(max_rows))
-    parts = ["_k", "_salt"] if spread else ["_k"]
+    spread = (groups["biggest"] or 0) > max_rows
+    shares = f"ceil(_n / {max_rows})"
+    parts = [*ks, "_salt"] if spread else ks
     if spread:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_x", "_y"), shares))
+        rows = rows.withColumn("_salt", F.expr(f"pmod(xxhash64(_x, _y), {shares})"))
     rows = rows.repartition(*parts)
 
     names = [f"_s{i}" for i in range(len(shapes))]
+    per_curve = ["_n", "_my", "_syy", "_ymin", "_span"]
     best = None
     for r in range(rounds + 1):
-        grid = rows
-        if best is not None:
-            centre = best.select("_k", "_n", *[F.col(n).alias(f"_b{n}") for n in names])
+        # The first shape runs over columns (sums side by side), in slices of at most CHUNK
+        # points; the slices and the other shapes multiply the rows.
+        first, others = shapes[0], list(zip(shapes[1:], names[1:]))
+        if best is None:
+            grid, steps = rows, first.first()
+            across, fine = min(CHUNK, len(steps)), first.step
+            axes = {"_from": ", ".join(map(number, steps[::CHUNK]))}
+            axes |= {n: ", ".join(map(number, s.first())) for s, n in others}
+        else:
+            centre = best.selectExpr(*ks, "_n", *[f"{n} AS _b{n}" for n in names])
             if spread:
-                centre = centre.withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1)))
+                centre = centre.withColumn("_salt", F.expr(f"explode(sequence(0L, {shares} - 1))"))
             grid = rows.join(centre.drop("_n"), parts)
-        for i, (shape, name) in enumerate(zip(shapes, names)):
-            if best is None:
-                points = F.array(*[F.lit(s) for s in shape.first()])
-                grid = grid.withColumn(name, F.explode(points))
-            else:
-                points = F.array(*[F.lit(o) for o in shape.offsets(r)])
-                moved = F.greatest(F.col(f"_b{name}") + F.col("_o"), F.lit(shape.floor))
-                grid = grid.withColumn("_o", F.explode(points)).withColumn(name, moved).drop("_o")
-        values = [s.to_value(F.col(n), F.col("_span")) for s, n in zip(shapes, names)]
-        g = grid.withColumn("_g", basis(F.col("_x"), *values))
-        once = ["_n", "_my", "_syy", "_ymin", "_span"]
-        partial = g.groupBy(*parts, *names, *once).agg(
-            F.sum("_g").alias("_sg"),
-            F.sum(F.col("_g") * F.col("_g")).alias("_sgg"),
-            F.sum(F.col("_g") * (F.col("_y") - F.col("_my"))).alias("_sgy"),
+            offsets = first.offsets(r)
+            across, fine = min(CHUNK, len(offsets)), first.step / first.zoom_by**r
+            axes = {"_from": ", ".join(f"_b{names[0]} + {number(o)}" for o in offsets[::CHUNK])}
+            axes |= {
+                n: ", ".join(f"greatest(_b{n} + {number(o)}, {number(s.floor)})" for o in s.offsets(r))
+                for s, n in others
+            }
+        for name, points in axes.items():
+            grid = grid.selectExpr("*", f"explode(array({points})) AS {name}")
+        at = [f"(_from + {number(j * fine)})" for j in range(across)]
+        rest = [s.parameter(n) for s, n in others]
+        node = list(axes)
+        shaped = grid.selectExpr(
+            *parts, *node, *per_curve, "_x", "_y",
+            f"{first.parameter('_from')} AS _p", f"{weight.format(None, *rest)} AS _w",
+        )
+        multiples = [number(math.exp(j * fine)) for j in range(across)]
+        laid = shaped.selectExpr(
+            *parts, *node, *per_curve, "_y",
+            *[f"({basis.format(f'(_p * {m})')}) * _w AS _g{j}" for j, m in enumerate(multiples)],
+        )
+        sums = {}
+        for j in range(across):
+            sums |= {f"_sg{j}": f"_g{j}", f"_sgg{j}": f"_g{j} * _g{j}", f"_sgy{j}": f"_g{j} * _y"}
+        once = [F.expr(f"first({c}) AS {c}") for c in per_curve]
+        partial = laid.groupBy(*parts, *node).agg(
+            *once, *[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()]
         )
         if spread:
-            partial = partial.groupBy("_k", *names, *once).agg(
-                *[F.sum(c).alias(c) for c in ("_sg", "_sgg", "_sgy")]
+            partial = partial.groupBy(*ks, *node).agg(
+                *once, *[F.expr(f"sum({n}) AS {n}") for n in sums]
             )
-        sxx = F.col("_sgg") - F.col("_sg") * F.col("_sg") / F.col("_n")
-        amp = F.col("_sgy") / F.col("_sxx")
+        # One row per grid point again, now per curve and not per observation.
+        points = ", ".join(
+            f"struct({s} AS _s0, _sg{j} AS _sg, _sgg{j} AS _sgg, _sgy{j} AS _sgy)"
+            for j, s in enumerate(at)
+        )
+        amplitude = "_sgy / _sxx"
         if low is not None:
-            amp = F.greatest(amp, low(F.col("_ymin")))
+            amplitude = f"greatest({amplitude}, {low})"
         if high is not None:
-            amp = F.least(amp, F.lit(high))
+            amplitude = f"least({amplitude}, {number(high)})"
         scored = (
-            partial.withColumn("_sxx", sxx)
-            .filter((F.col("_sxx") > F.col("_sgg") * 1e-6) & (F.col("_n") >= len(shapes) + 2))
-            .withColumn("_a", amp)
-            .withColumn("_c", F.col("_my") - F.col("_a") * F.col("_sg") / F.col("_n"))
-            .withColumn(
-                "_rss",
-                F.col("_syy") - 2 * F.col("_a") * F.col("_sgy") + F.col("_a") * F.col("_a") * F.col("_sxx"),
-            )
+            partial.selectExpr(*ks, *per_curve, *names[1:], f"inline(array({points}))")
+            .selectExpr("*", "_sgg - _sg * _sg / _n AS _sxx")
+            .filter(f"_sxx > _sgg * 1e-6D AND _n >= {len(shapes) + 2}")
+            .selectExpr("*", f"{amplitude} AS _a")
+            .selectExpr("*", "_syy - 2 * _a * _sgy + _a * _a * _sxx AS _rss")
         )
-        picked = ["_n", "_a", "_c", *names, "_rss", "_syy", "_span"]
+        picked = ["_n", "_span", "_my", "_sg", "_a", "_rss"]
         best = (
-            scored.groupBy("_k")
-            .agg(F.min_by(F.struct(*picked), F.struct(F.round("_rss", 9), *names)).alias("_b"))
-            .select("_k", *[F.col("_b")[c].alias(c) for c in picked])
+            scored.groupBy(*ks)
+            .agg(F.expr(f"min(struct(round(_rss, 9) AS _order, {', '.join([*names, *picked])})) AS _b"))
+            .selectExpr(*ks, *[f"_b.{c}" for c in (*names, *picked)])
         )
-    final = best.select(
-        "_k",
-        F.col("_a").alias("amplitude"),
-        F.col("_c").alias("offset"),
-        *[s.to_value(F.col(n), F.col("_span")).alias(s.name) for s, n in zip(shapes, names)],
-        F.greatest(F.col("_rss"), F.lit(0.0)).alias("rss"),
+    final = best.selectExpr(
+        *ks,
+        "_a AS amplitude",
+        "_my - _a * _sg / _n AS offset",
+        *[f"{s.parameter(n)} AS {s.name}" for s, n in zip(shapes, names)],
+        "greatest(_rss, 0D) AS rss",
     )
-    every = sizes.select("_k", F.col("_n").alias("n"), F.col("_syy").alias("tss"))
-    return every.join(final, "_k", "left").select("_k.*", *[c for c in every.columns + final.columns if c != "_k"])
-
+    every = sizes.select(*ks, F.col("_n").alias("n"), F.col("_syy").alias("tss"))
+    out = every.join(final, ks, "left")
+    values = ["n", "tss", *[c for c in final.columns if c not in ks]]
+    return out.select(*([F.col("_k")[k].alias(k) for k in keys] if packed else keys), *values)
 
-def log_scale(s: Column, span: Column) -> Column:
-    """Positive shape: exp(s) per span of x."""
-    return F.exp(s) / span
 
+# Positive shapes are exp(s) per span of x; a shape that may be zero is (exp(s) − 1) / 100.
+LOG_SCALE = "exp({s}) / _span"
+ZERO_SCALE = "(exp({s}) - 1) / 100 / _span"
+SATURATION = Shape("kappa", math.log(0.01), math.log(200.0), 42, LOG_SCALE)
+SATURATION_2D = Shape("kappa", math.log(0.01), math.log(200.0), 14, LOG_SCALE, zoom_points=7, zoom_by=3.0)
+INHIBITION = Shape("mu", 0.0, math.log(2001.0), 7, ZERO_SCALE, floor=0.0, zoom_points=7, zoom_by=3.0)
+DECAY = Shape("kd", math.log(0.01), math.log(200.0), 42, LOG_SCALE)
 
-def zero_scale(s: Column, span: Column) -> Column:
-    """Shape that may be zero: (exp(s) − 1) / 100 per span of x."""
-    return (F.exp(s) - 1) / 100 / span
-
-
-SATURATION = Shape("kappa", math.log(0.01), math.log(200.0), 41, log_scale)
-SATURATION_2D = Shape("kappa", math.log(0.01), math.log(200.0), 16, log_scale, zoom_points=5, zoom_by=2.0)
-INHIBITION = Shape("mu", 0.0, math.log(2001.0), 8, zero_scale, floor=0.0, zoom_points=5, zoom_by=2.0)
-DECAY = Shape("kd", math.log(0.01), math.log(200.0), 41, log_scale)
-
+# The smallest production bounds ps from below, as far as it is positive.
 SMALLEST_PS = 1e-6
-
-
-def _ps_floor(smallest: Column) -> Column:
-    return F.greatest(smallest, F.lit(SMALLEST_PS))
+PS_FLOOR = f"greatest(_ymin, {number(SMALLEST_PS)})"
 
 
 def pe_saturating(df: DataFrame, keys: Sequence[str], light: str = "light", p: str = "p", **kw) -> DataFrame:
     """p = ps·(1 − e^(−α·light/ps)) + p0."""
-    fit = fit_separable(
-        df, keys, light, p, [SATURATION], lambda x, k: 1 - F.exp(-k * x), low=_ps_floor, **kw
-    )
-    ps = F.col("amplitude")
-    return fit.select(
-        *keys, "n", "tss", ps.alias("ps"), (F.col("kappa") * ps).alias("alpha"),
-        F.lit(None).cast("double").alias("beta"), F.col("offset").alias("p0"), "rss",
+    fit = fit_separable(df, keys, light, p, [SATURATION], "1 - exp(-{0} * _x)", low=PS_FLOOR, **kw)
+    return fit.selectExpr(
+        *keys, "n", "tss", "amplitude AS ps", "kappa * amplitude AS alpha",
+        "CAST(NULL AS DOUBLE) AS beta", "offset AS p0", "rss",
     )
 
 
@@ -183,15 +219,14 @@ def pe_photoinhibition(
     ps_max: float | None = None, **kw,
 ) -> DataFrame:
     """p = ps·(1 − e^(−α·light/ps))·e^(−β·light/ps) + p0; ``ps_max`` bounds ps above."""
-    kw.setdefault("rounds", 4)
+    kw.setdefault("rounds", 3)
     fit = fit_separable(
-        df, keys, light, p, [SATURATION_2D, INHIBITION],
-        lambda x, k, m: (1 - F.exp(-k * x)) * F.exp(-m * x), low=_ps_floor, high=ps_max, **kw,
+        df, keys, light, p, [SATURATION_2D, INHIBITION], "1 - exp(-{0} * _x)",
+        weight="exp(-{1} * _x)", low=PS_FLOOR, high=ps_max, **kw,
     )
-    ps = F.col("amplitude")
-    return fit.select(
-        *keys, "n", "tss", ps.alias("ps"), (F.col("kappa") * ps).alias("alpha"),
-        (F.col("mu") * ps).alias("beta"), F.col("offset").alias("p0"), "rss",
+    return fit.selectExpr(
+        *keys, "n", "tss", "amplitude AS ps", "kappa * amplitude AS alpha",
+        "mu * amplitude AS beta", "offset AS p0", "rss",
     )
 
 
@@ -200,11 +235,9 @@ def nls_decay(
 ) -> DataFrame:
     """par = a0·exp(−kd·(depth − reference)) + k."""
     fit = fit_separable(
-        df, keys, depth, par, [DECAY], lambda x, kd: F.exp(-kd * (x - reference)), **kw
-    )
-    return fit.select(
-        *keys, "n", F.col("amplitude").alias("a0"), "kd", F.col("offset").alias("k"), "rss"
+        df, keys, depth, par, [DECAY], f"exp(-{{0}} * (_x - {number(reference)}))", **kw
     )
+    return fit.selectExpr(*keys, "n", "amplitude AS a0", "kd", "offset AS k", "rss")
 
 
 def saturating_curve(light: Column) -> Column:

@@ -96,22 +96,27 @@ class Ordered:
         ``next`` (first non-null from here on).
         """
         down = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        up = self._window().rowsBetween(0, Window.unboundedFollowing)
+        # "next" walks the reversed order: a frame open to the end would rescan it for each row.
+        reverse = Window.partitionBy(*(self.parts or [F.lit(0)])).orderBy(F.desc(RANK))
+        up = reverse.rowsBetween(Window.unboundedPreceding, 0)
         run = {
             "sum": lambda c: F.sum(c).over(down),
             "last": lambda c: F.last(c, ignorenulls=True).over(down),
-            "next": lambda c: F.first(c, ignorenulls=True).over(up),
+            "next": lambda c: F.last(c, ignorenulls=True).over(up),
         }
+        backward = any(kind == "next" for kind, _ in specs.values())
         local = {n: run[kind](c) for n, (kind, c) in specs.items()}
         if not self.split:
-            return self.df.withColumns(local)
+            if not backward:
+                return self.df.withColumns(local)
+            ranked = self.df.withColumn(RANK, F.row_number().over(self._window()))
+            return ranked.withColumns(local).drop(RANK)
         body = self.df.withColumns(
-            local
-            | {
+            {
                 RANK: F.row_number().over(self._window()),
                 SIZE: F.count(F.lit(1)).over(Window.partitionBy(*self.parts)),
             }
-        )
+        ).withColumns(local)
         edges = body.groupBy(*self.parts).agg(
             *[
                 F.max_by(n, F.col(RANK) * (-1 if kind == "next" else 1)).alias(n)
@@ -119,11 +124,13 @@ class Ordered:
             ]
         )
         earlier = self._blocks().rowsBetween(Window.unboundedPreceding, -1)
-        later = self._blocks().rowsBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(F.desc(BLOCK)).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
         carry = {
             "sum": lambda n: F.sum(n).over(earlier),
             "last": lambda n: F.last(n, ignorenulls=True).over(earlier),
-            "next": lambda n: F.first(n, ignorenulls=True).over(later),
+            "next": lambda n: F.last(n, ignorenulls=True).over(later),
         }
         carried = edges.select(
             *self.parts, *[carry[kind](n).alias(f"_in_{n}") for n, (kind, _) in specs.items()]

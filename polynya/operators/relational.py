@@ -188,6 +188,24 @@ def unpivot_columns(
     return df.unpivot(list(ids), list(columns), key, value)
 
 
+def unpivot_numbered(
+    df: DataFrame, ids: Sequence[str], columns: Sequence[str], key: str, value: str
+) -> DataFrame:
+    """Wide to long with the key read from the column name (``replicate_2`` gives 2.0).
+
+    The number is taken from each name once, not from every row.
+    """
+    def number(name: str) -> float | None:
+        found = re.search(r"-?[0-9]+(\.[0-9]+)?", name)
+        return float(found.group()) if found else None
+
+    cells = [
+        F.struct(F.lit(number(c)).cast("double").alias(key), F.col(f"`{c}`").alias(value))
+        for c in columns
+    ]
+    return df.select(*ids, F.inline(F.array(*cells)))
+
+
 def pivot_columns(
     df: DataFrame, ids: Sequence[str], key: str, values: Sequence[str], agg: Column
 ) -> DataFrame:

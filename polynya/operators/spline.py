@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from polynya.operators.ordered import Ordered
 from polynya.operators.scale import MAX_GROUP_ROWS, durable, largest_group, null_safe_join, with_group
@@ -54,7 +54,9 @@ def evaluate(segments: DataFrame, keys: Sequence[str], start: float, stop: float
 def segments_in_task(knots: DataFrame, keys: list[str]) -> DataFrame:
     """One row per segment with its cubic; a group is solved in one vectorised call."""
     fields = [StructField(c, DoubleType()) for c in COEFFICIENTS]
-    schema = StructType([knots.schema[k] for k in keys] + fields)
+    schema = StructType(
+        [knots.schema[k] for k in keys] + fields + [StructField("is_first", BooleanType())]
+    )
 
     def solve(key, pdf):
         import numpy as np
@@ -93,13 +95,13 @@ def segments_in_task(knots: DataFrame, keys: list[str]) -> DataFrame:
                 "d": np.diff(s) / h, "x_next": np.append(x[1:-1], np.nan),
             }
         out = pd.DataFrame(rows)
+        out["is_first"] = out.index == 0
         for name, value in zip(keys, key):
             out.insert(0, name, value)
-        return out[[*keys, "x", "y", "b", "c", "d", "x_next"]]
+        return out[[*keys, "x", "y", "b", "c", "d", "x_next", "is_first"]]
 
     solved = knots.groupBy(*keys).applyInPandas(solve, schema)
-    ended = solved.withColumn("x_next", F.when(~F.isnan("x_next"), F.col("x_next")))
-    return with_group(ended, keys, {"_x0": F.min("x")}).withColumn("is_first", F.col("x") == F.col("_x0")).drop("_x0")
+    return solved.withColumn("x_next", F.when(~F.isnan("x_next"), F.col("x_next")))
 
 
 def segments_by_joins(knots: DataFrame, keys: list[str], max_rows: int) -> DataFrame:

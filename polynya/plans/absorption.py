@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polynya.functions.scalars import parse_number, regex_or_null
+from polynya.functions.scalars import regex_or_null
 from polynya.operators.aggregates import any_known, band_median, mean_cv
 from polynya.operators.joins import reference_rows
-from polynya.operators.relational import unpivot_columns
+from polynya.operators.relational import unpivot_numbered
 from polynya.operators.scale import null_safe_join
 from polynya.sources.text import name_layout
 
@@ -30,10 +30,10 @@ def absorption_long(readings: DataFrame, file: str, replicates: Sequence[str]) -
     keys = name_layout(F.col(file), "AM", list(SHIP_FIELDS), list(CAMP_FIELDS))
     named = readings.withColumns(keys)
     ids = [c for c in named.columns if c not in replicates]
-    long = unpivot_columns(named, ids, replicates, "replicate", "absorbance")
+    long = unpivot_numbered(named, ids, replicates, "replicate", "absorbance")
     return long.filter(F.col("sample_type").isin("r", "s")).select(
         *ids,
-        parse_number(F.col("replicate")).cast("int").alias("replicate"),
+        F.col("replicate").cast("int").alias("replicate"),
         (2.303 * F.col("absorbance") / 2).alias("absorption"),
     )
 

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polynya.functions.scalars import parse_number
 from polynya.operators.gaps import complete_grid, fill_from_below, nans_to_null
 from polynya.operators.joins import natural_join
-from polynya.operators.relational import unpivot_columns
+from polynya.operators.relational import unpivot_numbered
 from polynya.operators.statistics import lm, lm_predict, residual_compare
 
 # Density used without a profile, and the high-salinity subset.
@@ -35,8 +34,8 @@ def ctd_profile(casts: DataFrame, **kw) -> DataFrame:
 
 def dic_long(sheet: DataFrame, depths: Sequence[str]) -> DataFrame:
     """Wide sheet (date, one column per depth) to (date, depth, dic); surface counts as 0.5 m."""
-    long = unpivot_columns(sheet, ["date"], depths, "depth", "dic").filter(F.col("dic").isNotNull())
-    depth = parse_number(F.col("depth"))
+    long = unpivot_numbered(sheet, ["date"], depths, "depth", "dic").filter(F.col("dic").isNotNull())
+    depth = F.col("depth")
     return nans_to_null(long.withColumn("depth", F.when(depth == 0, F.lit(0.5)).otherwise(depth)))
 
 

@@ -11,9 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import StructType
 
-from polynya.functions.scalars import regex_or_null
+from polynya.functions.scalars import parse_number, regex_or_null
 from polynya.operators.scale import null_safe_join
 
 LINE_BREAK = r"\r\n|\r|\n"
@@ -145,22 +145,27 @@ def two_line_records(
 
 
 def labelled_header(
-    lines: DataFrame, keys: Sequence[str], labels: Mapping[str, tuple[str, DataType | str]]
+    lines: DataFrame, keys: Sequence[str], labels: Mapping[str, tuple[str, str]]
 ) -> DataFrame:
     """``Label unit: value`` lines to one typed row per file.
 
-    ``labels`` maps a column name to (pattern with one group, type).
+    ``labels`` maps a column name to (label, type). The unit is optional. A value is one word,
+    for a time two; text that does not read as the type is null.
     """
+    head = F.substring_index("line", ": ", 1)
+    tail = F.substring(F.col("line"), F.length(head) + F.lit(3), F.length("line"))
+    known = [label for label, _ in labels.values()]
+    label = F.when(head.isin(known), head).otherwise(F.regexp_replace(head, r" \S+$", ""))
+    parsed = lines.select(*keys, label.alias("_label"), tail.alias("_value"))
     aggs = []
-    for name, (pattern, kind) in labels.items():
-        value = F.max(regex_or_null(F.col("line"), pattern, 1))
+    for name, (text, kind) in labels.items():
+        words = F.substring_index("_value", " ", 2 if kind.startswith("timestamp") else 1)
+        value = F.max(F.when(F.col("_label") == text, words))
         aggs.append((value if kind == "string" else value.try_cast(kind)).alias(name))
-    return lines.groupBy(*keys).agg(*aggs)
+    return parsed.filter(F.col("_label").isin(known)).groupBy(*keys).agg(*aggs)
 
 
 def number_per_line(lines: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    from polynya.functions.scalars import parse_number
-
     return lines.select(*keys, F.col("pos").alias("row_index"), parse_number(F.col("line")).alias(out))
 
 

@@ -37,17 +37,17 @@ def spline_sql(source: str) -> str:
        (SELECT *, CAST(unnest(range(400, 701)) AS DOUBLE) AS u FROM sg) WHERE (u >= x OR i = 1) AND (u < x + h OR i = n - 1))"""
 
 
-v._view("knots", "SELECT sample AS k, wavelength AS x, round(avg(absorption), 9) AS y FROM spectra GROUP BY 1, 2", "spectra")
+v._view("knots", "SELECT sample AS k, wavelength AS x, round(avg(absorption), 12) AS y FROM spectra GROUP BY 1, 2", "spectra")
 
 
 @query(
     "spline_resample",
-    sql_with("knots", "," + spline_sql("knots") + "SELECT k AS sample, u AS wavelength, round(s, 9) AS absorption FROM fine", recursive=True),
+    sql_with("knots", "," + spline_sql("knots") + "SELECT k AS sample, u AS wavelength, round(s, 10) AS absorption FROM fine", recursive=True),
 )
 def spline_resample(t):
-    means = v.spectra(t).groupBy("sample", "wavelength").agg(F.round(F.avg("absorption"), 9).alias("absorption"))
+    means = v.spectra(t).groupBy("sample", "wavelength").agg(F.round(F.avg("absorption"), 12).alias("absorption"))
     out = spline.spline_resample(means, ["sample"], "wavelength", "absorption", 400.0, 700.0, 1.0)
-    return rounded(out, 9, "absorption")
+    return rounded(out, 10, "absorption")
 
 
 v._view(
@@ -70,7 +70,7 @@ _PAR = (
     + spline_sql("irradiance")
     + """, st AS (SELECT k, u, s, lead(u) OVER w AS u2, lead(s) OVER w AS s2 FROM fine WINDOW w AS (PARTITION BY k ORDER BY u)),
     par AS (SELECT k // 10 AS file, CAST(k % 10 AS DOUBLE) AS depth, round(sum((u2 - u) * (s + s2) / 2) * (0.045998::DOUBLE / 10000), 9) AS par FROM st GROUP BY k), """
-    + fit_sql("par", "file", "depth", "par", [fitting.DECAY], "exp(-s0_ * (x - 10))", 3)
+    + fit_sql("par", "file", "depth", "par", [fitting.DECAY], "exp(-s0_ * (x - 10))", 2)
     + f", line AS (SELECT * FROM {lm_sql('(SELECT file, depth AS x, CASE WHEN par > 0 THEN ln(par) END AS y FROM par)', 'file')})"
 )
 
@@ -140,7 +140,7 @@ def ctd_and_dic(t):
             for i, c in enumerate(names)
         ]
     )
-    long = carbon.dic_long(sheet, [f"`{c}`" for c in names])
+    long = carbon.dic_long(sheet, names)
     return carbon.ctd_profile(casts), long
 
 

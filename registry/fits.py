@@ -196,11 +196,7 @@ def trapezoid(t):
 def fit_sql(source: str, key: str, x: str, y: str, shapes, basis: str, rounds: int, low=None, high=None) -> str:
     """The grid search as CTEs ending in ``fit``; ``basis`` uses x and s0_, s1_ (shape values)."""
     names = [f"s{i}" for i in range(len(shapes))]
-    scale = {
-        fitting.log_scale: "exp({s}) / span",
-        fitting.zero_scale: "(exp({s}) - 1) / 100 / span",
-    }
-    value = lambda sh, col: scale[sh.to_value].format(s=col)
+    value = lambda sh, col: sh.value.format(s=col).replace("_span", "span")
     num = lambda f: f"CAST({f!r} AS DOUBLE)"
     amp = "sgy / sxx"
     if low:
@@ -250,10 +246,10 @@ def fit_sql(source: str, key: str, x: str, y: str, shapes, basis: str, rounds: i
     return ",\n".join(ctes)
 
 
-_SAT = fit_sql("curve_obs", "curve", "light", "p", [fitting.SATURATION], "1 - exp(-s0_ * x)", 3, low=True)
+_SAT = fit_sql("curve_obs", "curve", "light", "p", [fitting.SATURATION], "1 - exp(-s0_ * x)", 2, low=True)
 _INH = fit_sql(
     "curve_obs1", "curve", "light", "p", [fitting.SATURATION_2D, fitting.INHIBITION],
-    "(1 - exp(-s0_ * x)) * exp(-s1_ * x)", 4, low=True, high=10.0,
+    "(1 - exp(-s0_ * x)) * exp(-s1_ * x)", 3, low=True, high=10.0,
 )
 
 
@@ -303,7 +299,7 @@ def decay_obs(t):
     return t.lineitem.groupBy(k.alias("file"), d.alias("depth")).agg(F.round(F.avg(par), 9).alias("par"))
 
 
-_DECAY = fit_sql("decay_obs", "file", "depth", "par", [fitting.DECAY], "exp(-s0_ * (x - 10))", 3)
+_DECAY = fit_sql("decay_obs", "file", "depth", "par", [fitting.DECAY], "exp(-s0_ * (x - 10))", 2)
 
 
 @query(

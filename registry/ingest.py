@@ -97,14 +97,6 @@ HEADER = [
 ]
 
 
-def header_patterns():
-    out = {}
-    for name, label, unit, kind in HEADER:
-        value = r"(\S+ \S+)" if kind == "timestamp_ntz" else r"(\S+)"
-        out[name] = (f"{label}{' ' + chr(92) + 'S+' if unit else ''}: {value}", kind)
-    return out
-
-
 @query(
     "labelled_header",
     """SELECT o_orderkey AS file, 'CR' || o_custkey AS cruise_number, CAST(o_orderkey AS VARCHAR) AS acquisition_number, 'cam_' || o_orderkey || '.jpg' AS original_filename,
@@ -128,7 +120,7 @@ def labelled_header(t):
         for name, label, unit, _ in HEADER
     ]
     text = t.orders.select(F.col("o_orderkey").alias("file"), F.posexplode(F.array(*lines)).alias("pos", "line"))
-    return tx.labelled_header(text, ["file"], header_patterns())
+    return tx.labelled_header(text, ["file"], {n: (label, kind) for n, label, _, kind in HEADER})
 
 
 @query(

@@ -788,11 +788,10 @@ def unpivot_cols(t):
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_discount").alias("replicate_1"),
         F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("replicate_2"), F.col("l_quantity").alias("replicate_3"),
     )
-    long = rel.unpivot_columns(
+    return rel.unpivot_numbered(
         wide, ["l_orderkey", "l_linenumber", "l_partkey"],
         ["replicate_1", "replicate_2", "replicate_3"], "replicate", "absorbance",
     )
-    return long.withColumn("replicate", fn.parse_number(F.col("replicate")))
 
 
 @query(
