@@ -43,7 +43,7 @@ def group_quantiles(
         low, high = pick(F.floor(at)), pick(F.ceil(at))
         aggs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
     picked = sized.groupBy(*keys).agg(*aggs)
-    return slim.select(*keys).distinct().join(picked, list(keys), "left")
+    return null_safe_join(slim.select(*keys).distinct(), picked, keys, "left")
 
 
 def add_group_quantiles(

@@ -152,21 +152,28 @@ def next_rows_below(
     keys: Sequence[str],
     order: Sequence[Column | str],
     value: str,
-    target: str,
+    targets: Sequence[float],
+    target: str = "target",
     out: str = "next_below",
     n: int = 3,
     **kw,
 ) -> DataFrame:
-    """TRUE when the next ``n`` rows (this one excluded) are all below target; null near the end."""
+    """Every row once per target: are the next ``n`` rows (this one excluded) all below it?
 
+    Null for the last rows, which do not have ``n`` after them. The walk does not depend on
+    the target, so rows are sorted once and multiplied afterwards.
+    """
     def build(w: WindowSpec) -> dict[str, Column]:
-        verdict = F.lit(True)
-        for k in range(1, n + 1):
-            verdict = verdict & (F.lead(value, k).over(w) < F.col(target))
-        enough = F.count(F.lit(1)).over(w.rowsBetween(1, n)) == n
-        return {out: F.when(enough, verdict)}
-
-    return Ordered(df, keys, order, **kw).frame(0, n, build)
+        ahead = {f"_next{k}": F.lead(value, k).over(w) for k in range(1, n + 1)}
+        return ahead | {"_ahead": F.count(F.lit(1)).over(w.rowsBetween(1, n))}
+
+    walked = Ordered(df, keys, order, **kw).frame(0, n, build)
+    crossed = walked.withColumn(target, F.explode(F.array(*[F.lit(float(t)) for t in targets])))
+    verdict = F.lit(True)
+    for k in range(1, n + 1):
+        verdict = verdict & (F.col(f"_next{k}") < F.col(target))
+    judged = crossed.withColumn(out, F.when(F.col("_ahead") == n, verdict))
+    return judged.drop("_ahead", *[f"_next{k}" for k in range(1, n + 1)])
 
 
 def closest_to_target(

@@ -220,19 +220,6 @@ def even_grid(df: DataFrame, low: str, high: str, n: int, out: str) -> DataFrame
     )
 
 
-def nested(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "data") -> DataFrame:
-    """Group to a cell holding its rows, ordered. For groups whose size is known to be small."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*order, *[c for c in rest if c not in order])
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias(out))
-
-
-def unnested(df: DataFrame, keys: Sequence[str], column: str = "data") -> DataFrame:
-    return df.select(*keys, F.inline(column))
-
-
-
-
 def map_groups(
     df: DataFrame,
     keys: Sequence[str],

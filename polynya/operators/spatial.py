@@ -12,9 +12,9 @@ from pyspark.sql import Window
 from polynya.functions.geodesy import PolarStereographic
 from polynya.functions.scalars import clamp
 from polynya.operators.ordered import Ordered
-from polynya.operators.scale import null_safe_join
+from polynya.operators.scale import durable, null_safe_join
 
-LEAF_ROWS = 64
+LEAF_ROWS = 256
 MAX_LEVELS = 13
 
 
@@ -25,13 +25,15 @@ def nearest(
     cell_xy: tuple[str, str],
     cell_id: str,
     out: str = "distance",
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Add to every point the id and planar distance of its nearest cell (lowest id on ties).
 
     Exact, with no pairing of all points and cells: the cells are laid in nested tiles (each
     level cuts a side by four), and each point walks down the levels keeping only tiles that
     can still hold its nearest cell. Tile tables hold one row per occupied tile, so a crowded
-    tile is one row until the last level; levels are added until the leaves are small.
+    tile is one row until the last level; levels are added until the leaves are small. The
+    tiles a point still considers are written after each level, which keeps the plan flat.
     """
     px, py = point_xy
     cx, cy = cell_xy
@@ -59,12 +61,12 @@ def nearest(
             F.floor(F.col("_v") * n).alias("_j"),
         ]
 
-    levels = max(1, math.ceil(math.log(max(box["n"] / LEAF_ROWS, 1), 16)))
+    levels = max(1, math.ceil(math.log(max(box["n"] / leaf_rows, 1), 16)))
     while levels < MAX_LEVELS:
         fullest = unit.groupBy(*tile(levels)).count().agg(F.max("count")).first()[0]
-        if fullest <= LEAF_ROWS:
+        if fullest <= leaf_rows:
             break
-        levels += 1
+        levels = min(MAX_LEVELS, levels + max(1, math.ceil(math.log(fullest / leaf_rows, 16))))
 
     places = points.select(F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py")).filter(
         F.col("_px").isNotNull() & F.col("_py").isNotNull()
@@ -96,6 +98,8 @@ def nearest(
         front = scored.join(reach, ["_px", "_py"]).filter(
             F.col("_near") <= F.col("_reach") * (1 + 1e-12)
         ).select("_px", "_py", "_i", "_j")
+        if level < levels:
+            front = durable(front)
     leaves = unit.select("_cx", "_cy", "_cid", *tile(levels))
     dx, dy = F.col("_cx") - F.col("_px"), F.col("_cy") - F.col("_py")
     best = (

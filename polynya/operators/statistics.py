@@ -66,16 +66,20 @@ def lm_predict(
 ) -> DataFrame:
     """Add the fitted value (and the standard error of the fit) of one line per group.
 
-    Without keys the fit is a single row and travels with the plan as a scalar subquery would.
+    Without keys the fit is a single row, read as a scalar subquery.
     """
     cols = ["slope", "intercept"] + (["sigma", "mean_x", "sxx", "n"] if se else [])
-    line = fit.select(*keys, *[F.col(c).alias(f"_{c}") for c in cols])
-    joined = df.join(line, list(keys), "left") if keys else df.join(F.broadcast(line.limit(1)))
-    new = {out: F.col("_intercept") + F.col("_slope") * F.col(x)}
+    if keys:
+        line = fit.select(*keys, F.struct(*cols).alias("_line"))
+        joined = df.join(line, list(keys), "left")
+    else:
+        joined = df.withColumn("_line", fit.select(F.struct(*cols)).scalar())
+    part = lambda c: F.col("_line")[c]
+    new = {out: part("intercept") + part("slope") * F.col(x)}
     if se:
-        away = F.col(x) - F.col("_mean_x")
-        new[se] = F.col("_sigma") * F.sqrt(1 / F.col("_n") + away * away / F.col("_sxx"))
-    return joined.withColumns(new).drop(*[f"_{c}" for c in cols])
+        away = F.col(x) - part("mean_x")
+        new[se] = part("sigma") * F.sqrt(1 / part("n") + away * away / part("sxx"))
+    return joined.withColumns(new).drop("_line")
 
 
 def residual_compare(
@@ -142,7 +146,7 @@ def f_tail(stat: Column, df1: Column, df2: Column) -> Column:
     return F.try_divide(integral(cut), integral(F.lit(math.pi / 2)))
 
 
-def tukey_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
+def tukey_pairs(df: DataFrame, group: str, value: str, with_k: bool = False) -> DataFrame:
     """Differences of all pairs of group means with standard error and studentised range.
 
     Works on the one-row-per-group means; the pairs come from an array of those means, whose
@@ -158,7 +162,7 @@ def tukey_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
         (F.sum("n") - F.count(F.lit(1))).alias("df"),
     )
     first = one.select("ms", "df", "a", F.posexplode("a").alias("i", "lo"))
-    pairs = first.select("ms", "df", "lo", F.explode(F.expr("slice(a, i + 2, size(a))")).alias("hi"))
+    pairs = first.select("ms", "df", "a", "lo", F.explode(F.expr("slice(a, i + 2, size(a))")).alias("hi"))
     se = F.sqrt(F.col("ms") / 2 * (1 / F.col("lo.n") + 1 / F.col("hi.n")))
     diff = F.col("hi.m") - F.col("lo.m")
     return pairs.select(
@@ -168,6 +172,65 @@ def tukey_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
         se.alias("std_error"),
         F.try_divide(F.abs(diff), se).alias("q"),
         "df",
+        *([F.size("a").alias("k")] if with_k else []),
+    )
+
+
+def tukey_hsd(df: DataFrame, group: str, value: str, level: float = 0.95) -> DataFrame:
+    """Tukey's honest differences: ``tukey_pairs`` with adjusted p values and intervals.
+
+    The tail of the studentised range is a numeric double integral, evaluated for the few rows
+    of the pair table.
+    """
+    def tails(batches):
+        import numpy as np
+        import pandas as pd
+
+        z, wz = np.polynomial.legendre.leggauss(160)
+        z, wz = 8.5 * z, 8.5 * wz
+        u, wu = np.polynomial.legendre.leggauss(120)
+        density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        normal = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
+        at_z = normal(z)
+
+        def tail(q, k, nu):
+            # Scale s = sqrt(chi2 / nu): integrate over the range where its density matters.
+            spread = 8 / math.sqrt(2 * nu)
+            lo, hi = max(1e-9, 1 - spread), 1 + spread
+            s, ws = (hi - lo) / 2 * u + (hi + lo) / 2, (hi - lo) / 2 * wu
+            log_f = (
+                math.log(2) + nu / 2 * math.log(nu / 2) - math.lgamma(nu / 2)
+                + (nu - 1) * np.log(s) - nu * s * s / 2
+            )
+            inner = np.array(
+                [k * np.sum(wz * density * (at_z - normal(z - q * si)) ** (k - 1)) for si in s]
+            )
+            return float(min(1.0, max(0.0, 1 - np.sum(ws * np.exp(log_f) * inner))))
+
+        def quantile(k, nu):
+            lo, hi = 0.0, 200.0
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if tail(mid, k, nu) > 1 - level else (lo, mid)
+            return (lo + hi) / 2
+
+        known = {}
+        for pdf in batches:
+            p, low, high = [], [], []
+            for q, k, nu, d, se in zip(pdf["q"], pdf["k"], pdf["df"], pdf["estimate"], pdf["std_error"]):
+                if pd.isna(q) or nu < 1:
+                    p.append(None), low.append(None), high.append(None)
+                    continue
+                if (k, nu) not in known:
+                    known[k, nu] = quantile(k, nu)
+                reach = known[k, nu] * se
+                p.append(tail(q, k, nu)), low.append(d - reach), high.append(d + reach)
+            yield pdf.assign(adj_p_value=p, conf_low=low, conf_high=high)
+
+    pairs = tukey_pairs(df, group, value, with_k=True)
+    fields = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
+    return pairs.mapInPandas(
+        tails, f"{fields}, adj_p_value double, conf_low double, conf_high double"
     )
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polynya.functions.scalars import regex_or_null
-from polynya.operators.aggregates import any_known, band_median, mean_cv
+from polynya.operators.aggregates import any_known, band_median
 from polynya.operators.joins import reference_rows
 from polynya.operators.relational import unpivot_numbered
-from polynya.operators.scale import null_safe_join
+from polynya.operators.scale import durable, null_safe_join
 from polynya.sources.text import name_layout
 
 # Path factor, baseline band, band of the quality rules and their limits.
@@ -38,27 +38,32 @@ def absorption_long(readings: DataFrame, file: str, replicates: Sequence[str]) -
     )
 
 
-def corrected(spectra: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
-    """Mean of replicates by type, sample minus reference, minus the median of the baseline band."""
-    sample, reference = F.col("sample_type") == "s", F.col("sample_type") == "r"
-    wide = spectra.groupBy(*keys, "wavelength").agg(
-        F.avg(F.when(reference, F.col("absorption"))).alias("r"),
-        F.avg(F.when(sample, F.col("absorption"))).alias("s"),
+def replicate_means(spectra: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per wavelength: mean of reference (r) and sample (s), and the sample's |CV| in percent.
+
+    One aggregation gives what the correction and the replicate rule need.
+    """
+    of = lambda kind: F.when(F.col("sample_type") == kind, F.col("absorption"))
+    stats = spectra.groupBy(*keys, "wavelength").agg(
+        F.avg(of("r")).alias("r"), F.avg(of("s")).alias("s"), F.stddev_samp(of("s")).alias("_sd")
     )
-    raw = wide.withColumn("absorption", F.col("s") - F.col("r"))
+    cv = F.abs(F.try_divide(F.col("_sd") * 100, F.col("s")))
+    return stats.withColumn("cv_absorption", cv).drop("_sd")
+
+
+def subtract_reference(means: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+    """Sample minus reference, minus the median of the baseline band of the spectrum."""
+    raw = means.withColumn("absorption", F.col("s") - F.col("r"))
     base = band_median(
         raw, keys, F.col("absorption"), "wavelength", *BASELINE, "_base", strict=True, **kw
     )
-    return (
-        null_safe_join(raw, base, keys)
-        .withColumn("absorption", F.col("absorption") - F.col("_base"))
-        .drop("_base")
-    )
+    joined = null_safe_join(raw, base, keys)
+    return joined.withColumn("absorption", F.col("absorption") - F.col("_base")).drop("_base")
 
 
-def sample_cv(spectra: DataFrame, keys: Sequence[str]) -> DataFrame:
-    only = spectra.filter("sample_type = 's'")
-    return mean_cv(only, [*keys, "wavelength"], "absorption").drop("mean_absorption")
+def corrected(spectra: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+    """Corrected spectra with the means they come from."""
+    return subtract_reference(replicate_means(spectra, keys), keys, **kw).drop("cv_absorption")
 
 
 def dilution_table(df: DataFrame) -> DataFrame:
@@ -116,9 +121,12 @@ def quality_flags(df: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
 
 
 def flagged(spectra: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
-    """Corrected spectra of the ship with their quality flag."""
-    cdom = null_safe_join(
-        corrected(spectra, keys, **kw), sample_cv(spectra, keys), [*keys, "wavelength"], "left"
-    )
+    """Corrected spectra of the ship with their quality flag.
+
+    The means are far smaller than the readings and feed several steps, so they are written
+    once and the readings are scanned once.
+    """
+    means = durable(replicate_means(spectra, keys))
+    cdom = subtract_reference(means, keys, **kw)
     flags = quality_flags(cdom, keys, **kw)
     return null_safe_join(cdom, flags, keys).select(*keys, "wavelength", "absorption", "qf")

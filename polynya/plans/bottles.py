@@ -27,13 +27,12 @@ def bottle_table(lines: DataFrame, keys: Sequence[str] = ("file_name",)) -> Data
     """Lines (file_name, pos, line) to bottles with sensors, UTC time and cast number."""
     body = after_marker(lines, keys, "Bottle", skip=1)
     records = two_line_records(body, keys, FIELDS).drop("record")
-    stamp = F.try_to_timestamp(
-        F.concat_ws(" ", "year", "month", "day", "time"), F.lit("yyyy MMM dd HH:mm:ss")
-    )
+    day = F.try_to_date(F.concat_ws(" ", "year", "month", "day"), "yyyy MMM dd")
+    stamp = F.concat(day.cast("string"), F.lit(" "), F.col("time")).try_cast("timestamp_ntz")
     return records.select(
         *keys,
         parse_number(F.col("bottle")).alias("bottle"),
         *[parse_number(F.col(c)).alias(c) for c in SENSORS],
-        stamp.cast("timestamp_ntz").alias("date"),
+        stamp.alias("date"),
         cast_in_name(F.col("file_name")).alias("cast"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from polynya.functions.geodesy import SEA_ICE
 from polynya.operators.aggregates import mean_sd_n
-from polynya.operators.joins import cross_targets, keyed_override
+from polynya.operators.joins import keyed_override
 from polynya.operators.ordered import closest_to_target, next_rows_below
 from polynya.operators.relational import in_box, in_season
 from polynya.operators.spatial import nearest, nearest_projected
@@ -30,9 +30,8 @@ def open_water_days(
     over the three targets side by side, so targets do not multiply the rows that are sorted.
     """
     season = history.filter(in_season(F.col("ice_date"), first_month, start))
-    crossed = cross_targets(season, "sic_target", targets)
     flagged = next_rows_below(
-        crossed, ["station", "sic_target"], ["ice_date"], "sic", "sic_target", **kw
+        season, ["station"], ["ice_date"], "sic", targets, "sic_target", **kw
     )
     best = closest_to_target(
         flagged, ["station", "sic_target"], "next_below", "sic", "sic_target", "ice_date"

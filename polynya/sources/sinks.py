@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-CSV = {"header": "true", "nullValue": "NA", "emptyValue": "", "timestampNTZFormat": STAMP}
+CSV = {"header": "true", "nullValue": "NA", "timestampNTZFormat": STAMP}
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -413,9 +413,8 @@ _FIXED = f""", fix AS (SELECT * FROM {_OVERRIDE_SQL}),
 
 @query("next3_below", sql_with("ice_sampled", _DOW + "SELECT station, sic_target, ice_date, sic, next_below FROM led"))
 def next3_below(t):
-    crossed = joins.cross_targets(v.ice_daily(t), "sic_target", [0.1, 0.5, 0.8])
     return ordered.next_rows_below(
-        crossed, ["station", "sic_target"], ["ice_date"], "sic", "sic_target"
+        v.ice_daily(t), ["station"], ["ice_date"], "sic", [0.1, 0.5, 0.8], "sic_target"
     )
 
 
@@ -677,7 +676,7 @@ def signal_to_noise(t):
 )
 def track_segments(t):
     events = t.events.select("event_id", "user_id", "ts", "value")
-    one = ordered.track_segments(events, ["ts", "event_id"], "event_id", "value", max_rows=2500)
+    one = ordered.track_segments(events, ["ts", "event_id"], "event_id", "value")
     named = one.withColumnsRenamed({"xend": "xend_all", "yend": "yend_all"})
     return ordered.track_segments(named, ["ts", "event_id"], "event_id", "value", keys=["user_id"])
 
