@@ -22,21 +22,27 @@ BLOCK, SIDE, RANK, SIZE = "_block", "_side", "_rank", "_size"
 
 
 class Ordered:
-    """``df`` with groups ``keys`` walked by ``order`` (sort columns that fix a total order)."""
+    """``df`` with groups ``keys`` walked by ``order`` (sort columns that fix a total order).
+
+    ``max_rows=None``: the groups are small by construction, no check is made.
+    """
 
     def __init__(
         self,
         df: DataFrame,
         keys: Sequence[str],
         order: Sequence[Column | str],
-        max_rows: int = MAX_GROUP_ROWS,
+        max_rows: int | None = MAX_GROUP_ROWS,
     ):
         self.keys = list(keys)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
         self.columns = df.columns
         grouped = bool(self.keys)
-        biggest = largest_group(df, self.keys) if grouped else df.count()
-        self.split = biggest > max_rows
+        if max_rows is None:
+            biggest, self.split = 0, False
+        else:
+            biggest = largest_group(df, self.keys) if grouped else df.count()
+            self.split = biggest > max_rows
         self.df = df
         if self.split:
             total = df.count() if grouped else biggest

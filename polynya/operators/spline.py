@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from polynya.operators.ordered import Ordered
@@ -52,55 +53,93 @@ def evaluate(segments: DataFrame, keys: Sequence[str], start: float, stop: float
 
 
 def segments_in_task(knots: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per segment with its cubic; a group is solved in one vectorised call."""
+    """One row per segment with its cubic; all groups of a batch are solved in one go.
+
+    Rows arrive sorted by (keys, x) with their place in the group. The systems of different
+    groups do not touch (their coupling is zero), so one reduction over the batch solves all.
+    """
+    place = Window.partitionBy(*keys).orderBy("x")
+    numbered = (
+        knots.repartition(*keys)
+        .withColumn("_i", F.row_number().over(place))
+        .sortWithinPartitions(*keys, "x")
+    )
     fields = [StructField(c, DoubleType()) for c in COEFFICIENTS]
     schema = StructType(
         [knots.schema[k] for k in keys] + fields + [StructField("is_first", BooleanType())]
     )
 
-    def solve(key, pdf):
+    def solve(batches):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("x")
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        n = len(x)
-        if n == 1:
-            rows = {"x": x, "y": y, "b": [0.0], "c": [0.0], "d": [0.0], "x_next": [np.nan]}
-        else:
-            h, slope = np.diff(x), np.diff(y) / np.diff(x)
-            s = np.zeros(n)
-            if n > 2:
-                diag, rhs = np.empty(n), np.zeros(n)
-                diag[0], diag[-1] = -h[0], -h[-1]
-                diag[1:-1] = 2 * (h[:-1] + h[1:])
-                rhs[1:-1] = np.diff(slope)
-                if n > 3:
-                    second = np.diff(slope) / (x[2:] - x[:-2])
-                    rhs[0] = (second[1] - second[0]) * h[0] ** 2 / (x[3] - x[0])
-                    rhs[-1] = -(second[-1] - second[-2]) * h[-1] ** 2 / (x[-1] - x[-4])
-                low, up = np.append(0.0, h), np.append(h, 0.0)
-                stride = 1
-                shifted = lambda v, k, fill: np.concatenate([np.full(k, fill), v[:-k]]) if k > 0 else np.concatenate([v[-k:], np.full(-k, fill)])
-                while stride < n:
-                    p = -low / shifted(diag, stride, 1.0)
-                    q = -up / shifted(diag, -stride, 1.0)
-                    diag = diag + p * shifted(up, stride, 0.0) + q * shifted(low, -stride, 0.0)
-                    rhs = rhs + p * shifted(rhs, stride, 0.0) + q * shifted(rhs, -stride, 0.0)
-                    low, up = p * shifted(low, stride, 0.0), q * shifted(up, -stride, 0.0)
-                    stride *= 2
-                s = rhs / diag
-            rows = {
-                "x": x[:-1], "y": y[:-1], "b": slope - h * (s[1:] + 2 * s[:-1]), "c": 3 * s[:-1],
-                "d": np.diff(s) / h, "x_next": np.append(x[1:-1], np.nan),
-            }
-        out = pd.DataFrame(rows)
-        out["is_first"] = out.index == 0
-        for name, value in zip(keys, key):
-            out.insert(0, name, value)
-        return out[[*keys, "x", "y", "b", "c", "d", "x_next", "is_first"]]
-
-    solved = knots.groupBy(*keys).applyInPandas(solve, schema)
+        def shifted(v, k, fill):
+            out = np.full(len(v), fill)
+            if k > 0:
+                out[k:] = v[:-k]
+            else:
+                out[:k] = v[-k:]
+            return out
+
+        def segments(pdf):
+            x, y, i = (pdf[c].to_numpy() for c in ("x", "y", "_i"))
+            m = len(x)
+            first = i == 1
+            start = np.flatnonzero(first)
+            end = np.append(start[1:], m) - 1
+            size = np.repeat(end - start + 1, end - start + 1)
+            last = np.zeros(m, bool)
+            last[end] = True
+            h = np.where(last, 0.0, shifted(x, -1, np.nan) - x)
+            hp = np.where(first, 0.0, shifted(h, 1, 0.0))
+            with np.errstate(all="ignore"):
+                sl = np.where(last, 0.0, (shifted(y, -1, np.nan) - y) / h)
+            diag = np.where(first, -h, np.where(last, -hp, 2 * (h + hp)))
+            rhs = np.where(first | last, 0.0, sl - shifted(sl, 1, 0.0))
+            long = end - start > 2
+            for at, sign, edge in ((start[long], 1, start[long]), (end[long] - 3, -1, end[long])):
+                second = [
+                    (sl[at + k + 1] - sl[at + k]) / (x[at + k + 2] - x[at + k]) for k in (0, 1)
+                ]
+                width = h[at] if sign > 0 else h[edge - 1]
+                rhs[edge] = sign * (second[1] - second[0]) / (x[at + 3] - x[at]) * width**2
+            tiny = size < 3
+            low, up = np.where(tiny, 0.0, hp), np.where(tiny, 0.0, h)
+            diag[tiny], rhs[tiny] = 1.0, 0.0
+            stride = 1
+            while stride < min(size.max(), m):
+                p = -low / shifted(diag, stride, 1.0)
+                q = -up / shifted(diag, -stride, 1.0)
+                diag = diag + p * shifted(up, stride, 0.0) + q * shifted(low, -stride, 0.0)
+                rhs = rhs + p * shifted(rhs, stride, 0.0) + q * shifted(rhs, -stride, 0.0)
+                low, up = p * shifted(low, stride, 0.0), q * shifted(up, -stride, 0.0)
+                stride *= 2
+            s = rhs / diag
+            after = shifted(s, -1, 0.0)
+            inner = ~last & ~shifted(last, -1, True).astype(bool)
+            out = pdf[keys].assign(
+                x=x, y=y, b=sl - h * (after + 2 * s), c=3 * s,
+                d=np.divide(after - s, h, out=np.zeros(m), where=h > 0),
+                x_next=np.where(inner, shifted(x, -1, np.nan), np.nan), is_first=first,
+            )
+            one = size == 1
+            out.loc[one, ["b", "c", "d"]] = 0.0
+            return out[~last | one]
+
+        waiting = []
+        for pdf in batches:
+            starts = np.flatnonzero(pdf["_i"].to_numpy() == 1)
+            if len(starts) and (waiting or starts[-1] > 0):
+                done = pd.concat([*waiting, pdf.iloc[: starts[-1]]], ignore_index=True)
+                waiting = [pdf.iloc[starts[-1] :]]
+                if len(done):
+                    yield segments(done)
+            elif len(pdf):
+                waiting.append(pdf)
+        if waiting:
+            yield segments(pd.concat(waiting, ignore_index=True))
+
+    solved = numbered.select(*keys, "x", "y", "_i").mapInPandas(solve, schema)
     return solved.withColumn("x_next", F.when(~F.isnan("x_next"), F.col("x_next")))
 
 

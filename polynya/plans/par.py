@@ -16,9 +16,12 @@ PAR_FACTOR = 0.045998 / 10000
 
 
 def par_by_depth(irradiance: DataFrame, **kw) -> DataFrame:
-    """(file, depth, wavelength, irradiance) to (file, depth, par)."""
+    """(file, depth, wavelength, irradiance) to (file, depth, par).
+
+    The resampled spectra have the 301 points of the grid each.
+    """
     fine = spline_resample(irradiance, ["file", "depth"], "wavelength", "irradiance", *GRID, **kw)
-    return trapezoid(fine, ["file", "depth"], "wavelength", "irradiance", "par", PAR_FACTOR, **kw)
+    return trapezoid(fine, ["file", "depth"], "wavelength", "irradiance", "par", PAR_FACTOR, max_rows=None)
 
 
 def attenuation(par: DataFrame) -> tuple[DataFrame, DataFrame]:

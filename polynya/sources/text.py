@@ -155,7 +155,8 @@ def labelled_header(
     head = F.substring_index("line", ": ", 1)
     tail = F.substring(F.col("line"), F.length(head) + F.lit(3), F.length("line"))
     known = [label for label, _ in labels.values()]
-    label = F.when(head.isin(known), head).otherwise(F.regexp_replace(head, r" \S+$", ""))
+    unit = F.length(F.substring_index(head, " ", -1))
+    label = F.when(head.isin(known), head).otherwise(F.left(head, F.length(head) - unit - 1))
     parsed = lines.select(*keys, label.alias("_label"), tail.alias("_value"))
     aggs = []
     for name, (text, kind) in labels.items():
