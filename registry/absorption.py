@@ -10,14 +10,14 @@ from registry import views as v
 from registry.base import query
 from registry.views import sql_with
 
-_NAME = """CASE WHEN l_suppkey % 2 = 0 THEN 'data/GE2016AM_stnG' || l_suppkey || '_c01_bottle00' || l_linenumber || '_045_' ELSE
-   'data/GE2016IC_2016_' || (100 + l_suppkey) || '_wat_xx_x_0005m_' END || CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_returnflag = 'A' THEN 's' ELSE 'm' END || '.TXT'"""
+_NAME = """CASE WHEN l_suppkey % 2 = 0 THEN 'data/X2016AM_stnG' || l_suppkey || '_c01_bottle00' || l_linenumber || '_045_' ELSE
+   'data/X2016IC_2016_' || (100 + l_suppkey) || '_wat_xx_x_0005m_' END || CASE WHEN l_returnflag = 'R' THEN 'r' WHEN l_returnflag = 'A' THEN 's' ELSE 'm' END || '.TXT'"""
 
 
 @query(
     "cdom_absorption",
     f"""SELECT file, l_orderkey, l_extendedprice, wavelength, replicate, round(2.303::DOUBLE * a / 2, 9) AS absorption, sample_type,
-       CASE WHEN am THEN 'GE2016AM' ELSE 'GE2016IC' END AS mission,
+       CASE WHEN am THEN 'X2016AM' ELSE 'X2016IC' END AS mission,
        CASE WHEN am THEN 'stnG' || l_suppkey END AS station, CASE WHEN am THEN 'c01' END AS cast_no,
        CASE WHEN am THEN 'bottle00' || l_linenumber END AS bottle, CASE WHEN am THEN '045' END AS depth,
        CASE WHEN NOT am THEN '2016' END AS year, CASE WHEN NOT am THEN CAST(100 + l_suppkey AS VARCHAR) END AS jday,

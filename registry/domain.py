@@ -178,11 +178,11 @@ def dic_model_compare(t):
 
 # -- organic carbon -------------------------------------------------------------------------
 
-_SRC = ["atsushi", "christos", "raimbault"]
+_SRC = ["lab_a", "lab_b", "lab_c"]
 v._view(
     "doc",
     """SELECT CAST(o_orderkey % 80 AS BIGINT) AS jday, CAST(o_custkey % 25 AS DOUBLE) AS depth, o_totalprice / 1000 AS doc,
-       CASE o_orderstatus WHEN 'F' THEN 'atsushi' WHEN 'O' THEN 'christos' ELSE 'raimbault' END AS source FROM orders WHERE o_custkey % 50 != 7""",
+       CASE o_orderstatus WHEN 'F' THEN 'lab_a' WHEN 'O' THEN 'lab_b' ELSE 'lab_c' END AS source FROM orders WHERE o_custkey % 50 != 7""",
 )
 v._view(
     "cdom",
@@ -192,7 +192,7 @@ v._view(
 
 
 def doc(t):
-    source = F.when(F.col("o_orderstatus") == "F", "atsushi").when(F.col("o_orderstatus") == "O", "christos").otherwise("raimbault")
+    source = F.when(F.col("o_orderstatus") == "F", "lab_a").when(F.col("o_orderstatus") == "O", "lab_b").otherwise("lab_c")
     value = F.when(F.col("o_custkey") % 50 != 7, F.col("o_totalprice") / 1000)
     return t.orders.select(
         (F.col("o_orderkey") % 80).alias("jday"), (F.col("o_custkey") % 25).cast("double").alias("depth"),

@@ -134,8 +134,8 @@ def number_per_line(t):
     return tx.number_per_line(v.lines(t), ["doc_id"], "distance")
 
 
-_FILES = """(SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'data/GE2016AM_stn' || (o_custkey % 40) || '_c' || lpad(CAST(o_custkey % 99 AS VARCHAR), 3, '0') || '_b' || (o_custkey % 12) || '_045_s.TXT'
-    ELSE 'data/GE2016IC_2016_' || (o_custkey % 200) || '_wat_LS_0_3cm_r.TXT' END AS name,
+_FILES = """(SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'data/X2016AM_stn' || (o_custkey % 40) || '_c' || lpad(CAST(o_custkey % 99 AS VARCHAR), 3, '0') || '_b' || (o_custkey % 12) || '_045_s.TXT'
+    ELSE 'data/X2016IC_2016_' || (o_custkey % 200) || '_wat_LS_0_3cm_r.TXT' END AS name,
     'A' || strftime(o_orderdate, '%Y%j') || '.L3b_DAY.nc' AS modis, 'Arc_' || strftime(o_orderdate, '%Y%m%d') || '_res3.125.nc' AS ice,
     '1601' || lpad(CAST(o_custkey % 999 AS VARCHAR), 3, '0') || '.btl' AS btl, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders)"""
 
@@ -152,8 +152,8 @@ def filename_meta(t):
     k = F.col("o_custkey")
     name = F.when(
         k % 2 == 0,
-        F.concat(F.lit("data/GE2016AM_stn"), k % 40, F.format_string("_c%03d", k % 99), F.lit("_b"), k % 12, F.lit("_045_s.TXT")),
-    ).otherwise(F.concat(F.lit("data/GE2016IC_2016_"), k % 200, F.lit("_wat_LS_0_3cm_r.TXT")))
+        F.concat(F.lit("data/X2016AM_stn"), k % 40, F.format_string("_c%03d", k % 99), F.lit("_b"), k % 12, F.lit("_045_s.TXT")),
+    ).otherwise(F.concat(F.lit("data/X2016IC_2016_"), k % 200, F.lit("_wat_LS_0_3cm_r.TXT")))
     files = t.orders.select(
         "o_orderkey",
         name.alias("name"),
@@ -174,9 +174,9 @@ def filename_meta(t):
 
 @query(
     "union_sources",
-    """SELECT 'raimbault' AS source, user_id AS jday, value AS doc, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS BIGINT) AS serial FROM events WHERE event_type = 'click'
-       UNION ALL SELECT 'christos', user_id, value, props, NULL FROM events WHERE event_type = 'view' AND value != 139
-       UNION ALL SELECT 'atsushi', user_id, value, NULL, event_id FROM events WHERE event_type NOT IN ('click', 'view')""",
+    """SELECT 'lab_c' AS source, user_id AS jday, value AS doc, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS BIGINT) AS serial FROM events WHERE event_type = 'click'
+       UNION ALL SELECT 'lab_b', user_id, value, props, NULL FROM events WHERE event_type = 'view' AND value != 139
+       UNION ALL SELECT 'lab_a', user_id, value, NULL, event_id FROM events WHERE event_type NOT IN ('click', 'view')""",
 )
 def union_sources(t):
     e = t.events.select(
@@ -185,9 +185,9 @@ def union_sources(t):
     )
     return rel.union_sources(
         {
-            "raimbault": e.filter("event_type = 'click'").select("jday", "doc"),
-            "christos": e.filter("event_type = 'view' AND doc != 139").select("jday", "doc", "note"),
-            "atsushi": e.filter("event_type NOT IN ('click', 'view')").select("jday", "doc", "serial"),
+            "lab_c": e.filter("event_type = 'click'").select("jday", "doc"),
+            "lab_b": e.filter("event_type = 'view' AND doc != 139").select("jday", "doc", "note"),
+            "lab_a": e.filter("event_type NOT IN ('click', 'view')").select("jday", "doc", "serial"),
         }
     )
 
