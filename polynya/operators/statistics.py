@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from polynya.operators.ordered import Ordered
 from polynya.operators.relational import unpivot_columns
-from polynya.operators.scale import with_group
 
 
 def lm(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:

@@ -1,6 +1,6 @@
 """All bindings; importing a module registers its queries."""
 
+from registry import absorption, domain, fits, images, ingest, relational, spatial  # noqa: F401
 from registry.base import ORACLES, QUERIES
-from registry import relational, absorption, fits, spatial, images, ingest, domain
 
 __all__ = ["ORACLES", "QUERIES"]

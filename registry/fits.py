@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from polynya.operators import fitting, gaps, relational as rel
+from polynya.operators import fitting, relational as rel
 from polynya.operators import statistics as st
 from polynya.plans import light_curves as lc
 from registry import views as v

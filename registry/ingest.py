@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from polynya.functions.scalars import parse_number
 from polynya.operators import relational as rel
 from polynya.operators.ordered import Ordered
 from polynya.operators.scale import scratch_path

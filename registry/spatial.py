@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from polynya.functions import geodesy as geo
 from polynya.operators import spatial as sp
-from polynya.operators.scale import scratch_path
 from polynya.plans import fields, ice
-from polynya.sources import grids, sinks
+from polynya.sources import grids
 from registry import views as v
 from registry.base import query
 from registry.views import sql_with
