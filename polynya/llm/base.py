@@ -64,3 +64,42 @@ def unpack(body: bytes) -> list[np.ndarray]:
         out.append(np.frombuffer(body, np.dtype(chr(char)), n, at))
         at += int(width * n)
     return out
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, chars: int
+) -> list[tuple[str, int]]:
+    """Bounded training sample as (text, label), brought to the driver.
+
+    At most ``per_class`` labelled ids of each class for which ``learn`` (a rule on doc_id)
+    holds, picked by a hash of the id, and of each text one stretch of at most ``chars``
+    characters that starts at a hashed place. Only the fit is bounded; scores read whole texts.
+    Null ids, texts and labels are left out.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(
+        F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1) & learn
+    )
+    place = F.xxhash64(F.lit(label), F.col("doc_id"))
+    picked = [known.where(F.col("_y") == y).orderBy(place, "doc_id").limit(per_class) for y in (0, 1)]
+    few = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
+    room = F.greatest(F.length("text") - chars, F.lit(0))
+    start = F.pmod(F.xxhash64(F.lit("start"), F.col("doc_id")), room + 1) + 1
+    stretch = F.substr(F.col("text"), start.cast("int"), F.lit(chars)).alias("_text")
+    found = docs.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("doc_id", stretch, "_y")
+    rows = found.dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: (hash(r.doc_id) * 2654435761 % 2**32, r.doc_id))
+    return [(r._text, r._y) for r in rows]
+
+
+def scored(docs: DataFrame, score) -> DataFrame:
+    """``doc_id, score`` of every row; ``score(texts)`` gives a float per text, null as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = score([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(values, pa.float64())], names=["doc_id", "score"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
