@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polynya.llm import fingerprints, mixing, packing, quality, sharding, toxicity
+from polynya.llm import fingerprints, html, mixing, packing, quality, sharding, topk, toxicity
 from polynya.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op3_exact_top_k": lambda s, d: topk.op3_exact_top_k(table(s, d, "embeddings")),
     "op4_order_minhash": lambda s, d: fingerprints.op4_order_minhash(table(s, d, "documents")),
     "op5_quality": lambda s, d: quality.op5_quality(table(s, d, "documents"), table(s, d, "labels")),
     "op6_toxicity": lambda s, d: toxicity.op6_toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op8_source_mixing": lambda s, d: mixing.op8_source_mixing(table(s, d, "documents")),
+    "op7_html_rendering": lambda s, d: html.op7_html_rendering(table(s, d, "pages")),
     "op9_packing": lambda s, d: packing.op9_packing(table(s, d, "documents")),
     "op10_rendezvous_sharding": lambda s, d: sharding.op10_rendezvous_sharding(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op8_source_mixing": mixing.OP8_SQL}
+ORACLES: dict[str, str] = {"op3_exact_top_k": topk.OP3_SQL, "op8_source_mixing": mixing.OP8_SQL}
