@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polynya.llm import fingerprints, html, mixing, packing, quality, sharding, topk, toxicity
+from polynya.llm import fingerprints, html, jaccard, mixing, packing, quality, sharding, topk, toxicity
 from polynya.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_ngram_jaccard": lambda s, d: jaccard.op2_ngram_jaccard(table(s, d, "documents")),
     "op3_exact_top_k": lambda s, d: topk.op3_exact_top_k(table(s, d, "embeddings")),
     "op4_order_minhash": lambda s, d: fingerprints.op4_order_minhash(table(s, d, "documents")),
     "op5_quality": lambda s, d: quality.op5_quality(table(s, d, "documents"), table(s, d, "labels")),
@@ -22,4 +23,8 @@ QUERIES: dict[str, Query] = {
     "op10_rendezvous_sharding": lambda s, d: sharding.op10_rendezvous_sharding(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": topk.OP3_SQL, "op8_source_mixing": mixing.OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": jaccard.OP2_SQL,
+    "op3_exact_top_k": topk.OP3_SQL,
+    "op8_source_mixing": mixing.OP8_SQL,
+}
