@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polynya.llm import fingerprints, html, jaccard, mixing, packing, quality, sharding, topk, toxicity
+from polynya.llm import fingerprints, html, jaccard, lm, mixing, packing, quality, sharding, topk, toxicity
 from polynya.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_pitman_yor": lambda s, d: lm.op1_pitman_yor(table(s, d, "documents")),
     "op2_ngram_jaccard": lambda s, d: jaccard.op2_ngram_jaccard(table(s, d, "documents")),
     "op3_exact_top_k": lambda s, d: topk.op3_exact_top_k(table(s, d, "embeddings")),
     "op4_order_minhash": lambda s, d: fingerprints.op4_order_minhash(table(s, d, "documents")),
