@@ -13,19 +13,37 @@ from pyspark.sql import functions as F
 from polynya.operators.scale import scratch_path
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: later steps start from files that
-    outlive any executor."""
+    outlive any executor. The shuffle files of the write are not needed again, so Spark may
+    delete them when it ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table once everything made from it is written itself."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pieces(total: float, each: float, least: int = 1) -> int:
     """How many parts of about ``each`` a total needs; grows with the data."""
     return max(least, math.ceil((total or 0) / each))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polynya.llm.base import written
+from polynya.llm.base import forget, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = tidy(edges)
     before = mark(edges)
     while before[0]:
-        edges = tidy(_small(tidy(_large(edges))))
+        large = tidy(_large(edges))
+        forget(edges)
+        edges = tidy(_small(large))
+        forget(large)
         now = mark(edges)
         if now == before:
             break

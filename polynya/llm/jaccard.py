@@ -118,16 +118,20 @@ def sets(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """All columns of ``docs`` and ``_sid``."""
+    """``doc, sid``: every row as a struct, so its columns may have any names, and its set."""
     at = docs.columns.index("text")
+    name = "sid"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, s.words) for t in b.column(at).to_pylist()]
             ids = pa.array([set_id(f) if len(f) else None for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, "_sid"])
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sid", T.LongType())]))
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return marked.select(F.struct(*docs.columns).alias("doc"), F.col(name).alias("sid"))
 
 
 def dealt(sid: np.ndarray, size: np.ndarray, count: np.ndarray, value: np.ndarray, parts: int) -> Iterator[tuple]:
@@ -469,20 +473,21 @@ def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` without near duplicates, columns as they were: of each component the
     row with the smallest doc_id. Texts without words all stay."""
     marked = with_sets(docs, s)
-    rows = written(marked.select("doc_id", "_sid").withColumnRenamed("_sid", "sid"), "sets")
+    rows = written(marked.select("doc.doc_id", "sid"), "sets")
     found = class_components(docs, rows, s)
     best = Window.partitionBy("root").orderBy(F.col("first").asc_nulls_last(), "sid")
     kept = found.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(
-        F.col("sid").alias("_kept"), F.col("first").alias("_first")
+        F.col("sid").alias("kept"), F.col("first").alias("kept_id")
     )
     repeated = rows.where("sid is not null").groupBy("doc_id", "sid").count().where("count > 1")
-    again = bool(repeated.limit(1).count())
-    on = (F.col("_sid") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_first"))
-    out = marked.join(kept, on, "left").where(F.col("_kept").isNotNull() | F.col("_sid").isNull())
+    again = repeated.limit(1).count() > 0
+    on = (F.col("sid") == F.col("kept")) & F.col("doc.doc_id").eqNullSafe(F.col("kept_id"))
+    out = marked.join(kept, on, "left").where(F.col("kept").isNotNull() | F.col("sid").isNull())
     if again:
-        own = out.where("_sid is not null").dropDuplicates(["_sid", "doc_id"])
-        out = own.unionByName(out.where("_sid is null"))
-    return out.select(*docs.columns)
+        out = out.withColumn("doc_id", F.col("doc.doc_id"))
+        own = out.where("sid is not null").dropDuplicates(["sid", "doc_id"])
+        out = own.unionByName(out.where("sid is null"))
+    return out.select("doc.*")
 
 
 def op2_ngram_jaccard(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polynya.llm.base import crc_mod, pack, pieces, text_size, unpack, written
+from polynya.llm.base import crc_mod, forget, pack, pieces, text_size, unpack, written
 
 END = 0x9E3779B97F4A7C15
 K1, K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -53,7 +53,7 @@ class Settings:
     burn: int = 3
     samples: int = 2
     moves: int = 16
-    chunk_tokens: int = 1_500_000
+    chunk_tokens: int = 750_000
     chars_per_part: int = 12_000_000
     context_tokens: int = 2_000_000
     seed: int = 5
@@ -85,9 +85,11 @@ def encode(docs: DataFrame, learn, s: Settings) -> DataFrame:
         ids, train, tokens, ends, n, codes = [], [], [], [], 0, Codes()
 
         def flush() -> pa.RecordBatch:
+            # Bytes of equal rank lie together, which squeezes better.
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in codes), np.uint64, len(codes))
             body = pack(
-                np.concatenate(tokens), np.array(ends, np.int64), np.array(train, bool), np.append(np.uint64(END), hashes)
+                *np.concatenate(tokens).view(np.uint8).reshape(-1, 4).T, np.array(ends, np.int64), np.array(train, bool),
+                np.append(np.uint64(END), hashes),
             )
             return pa.RecordBatch.from_arrays(
                 [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([squeeze(body)], pa.binary())],
@@ -124,7 +126,8 @@ class Chunk:
     """A decoded chunk: tokens, their pairs, and where each document lies."""
 
     def __init__(self, body: bytes, parts: int):
-        self.code, self.ends, train, self.hashes = loosen(body)
+        *planes, self.ends, train, self.hashes = loosen(body)
+        self.code = np.stack(planes, 1).view(np.int32).ravel()
         starts = np.append(0, self.ends[:-1])
         before = np.append(0, self.code[:-1]).astype(np.int64)
         before[starts] = 0
@@ -132,13 +135,9 @@ class Chunk:
         self.starts = starts
         self.learn = np.repeat(train.astype(bool), np.diff(self.ends, prepend=0))
         self.first, self.second = np.divmod(self.pair, len(self.hashes))
-        self.parts = np.uint64(parts)
-
-    def word_parts(self) -> tuple[np.ndarray, np.ndarray]:
-        return (self.hashes % self.parts).astype(np.int32), self.hashes
-
-    def pair_parts(self) -> tuple[np.ndarray, np.ndarray]:
-        return pair_place(self.hashes[self.first], self.hashes[self.second], self.parts)
+        place, self.pair_key = pair_place(self.hashes[self.first], self.hashes[self.second], np.uint64(parts))
+        self.word_at = dict(by_part((self.hashes % np.uint64(parts)).astype(np.int32), self.hashes))
+        self.pair_at = dict(by_part(place, self.pair_key))
 
 
 def pair_place(first: np.ndarray, second: np.ndarray, parts: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +148,24 @@ def pair_place(first: np.ndarray, second: np.ndarray, parts: np.uint64) -> tuple
     return (x % parts).astype(np.int32), (x >> np.uint64(16)) & LOW48
 
 
-def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
+def by_part(part: np.ndarray, key: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each part, in ascending order of the keys when these are given."""
+    order = np.argsort(part, kind="stable") if key is None else np.lexsort((key, part))
     for at in np.split(order, np.flatnonzero(np.diff(part[order], prepend=-1))[1:]):
         if len(at):
             yield int(part[at[0]]), at
 
 
+def slim(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def steps(ids: np.ndarray) -> np.ndarray:
+    """Ascending numbers as their differences."""
+    return slim(np.diff(ids, prepend=0))
+
+
 def halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(32)).astype(np.uint16), key.astype(np.uint32)
 
@@ -176,12 +186,11 @@ def ask_counts(corpus: DataFrame, parts: int) -> DataFrame:
                 c = Chunk(body, parts)
                 words = np.bincount(c.code[c.learn], minlength=len(c.hashes)).astype(np.uint32)
                 pairs = np.bincount(c.which[c.learn], minlength=len(c.pair)).astype(np.uint32)
-                (wp, wk), (pp, pk) = c.word_parts(), c.pair_parts()
-                word_at, pair_at = dict(by_part(wp)), dict(by_part(pp))
                 rows = []
-                for part in sorted(word_at.keys() | pair_at.keys()):
-                    w, p = word_at.get(part, NONE), pair_at.get(part, NONE)
-                    rows.append((part, number, pack(wk[w], words[w], *halves(pk[p]), pairs[p])))
+                for part in sorted(c.word_at.keys() | c.pair_at.keys()):
+                    w, p = c.word_at.get(part, NONE), c.pair_at.get(part, NONE)
+                    asked = pack(c.hashes[w], slim(words[w]), *halves(c.pair_key[p]), slim(pairs[p]))
+                    rows.append((part, number, asked))
                 yield pd.DataFrame(rows, columns=["part", "chunk", "body"])
 
     return corpus.select("chunk", "body").mapInPandas(run, ASK)
@@ -190,78 +199,96 @@ def ask_counts(corpus: DataFrame, parts: int) -> DataFrame:
 NONE = np.empty(0, np.int64)
 
 
-def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per key asked: its total count, and whether this is the first place that asks for it."""
+def totals(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per key asked: its total count, whether this is the first place that asks for it, and its
+    number among the keys, in order, whose total is at least ``least``."""
     _, first, which = np.unique(keys, return_index=True, return_inverse=True)
     total = np.bincount(which, counts).astype(np.int64)
     is_first = np.zeros(len(keys), bool)
     is_first[first] = True
-    return total[which].astype(np.uint32), is_first
+    return total[which], is_first, (np.cumsum(total >= least) - 1)[which]
 
 
 def answer_counts(asks: DataFrame) -> DataFrame:
-    """``chunk, part, body``: totals in the order of the request; and of each key, who owns it."""
+    """``chunk, part, body``: totals in the order of the request; of each key, who owns it; and the
+    numbers of the words that occur and of the pairs that occur more than once."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
         bodies = [unpack(b) for b in group["body"]]
-        n_words, n_pairs = [len(b[0]) for b in bodies], [len(b[2]) for b in bodies]
-        w, wf = totals(np.concatenate([b[0] for b in bodies]), np.concatenate([b[1] for b in bodies]))
-        p, pf = totals(np.concatenate([whole(b[2], b[3]) for b in bodies]), np.concatenate([b[4] for b in bodies]))
+        words = totals(np.concatenate([b[0] for b in bodies]), np.concatenate([b[1] for b in bodies]), 1)
+        pairs = totals(
+            np.concatenate([whole(b[2], b[3]) for b in bodies]), np.concatenate([b[4] for b in bodies]), 2
+        )
         rows, at, to = [], 0, 0
-        for chunk, nw, n_p, part in zip(group["chunk"], n_words, n_pairs, group["part"], strict=True):
-            i, j = slice(at, at + nw), slice(to, to + n_p)
-            rows.append((chunk, part, squeeze(pack(w[i], wf[i], p[j], pf[j]))))
-            at, to = at + nw, to + n_p
+        for chunk, part, b in zip(group["chunk"], group["part"], bodies, strict=True):
+            told = []
+            for (total, owns, number), here, least in (
+                (words, slice(at, at + len(b[0])), 1), (pairs, slice(to, to + len(b[2])), 2)
+            ):
+                told += [slim(total[here]), owns[here], steps(number[here][total[here] >= least])]
+            rows.append((chunk, part, squeeze(pack(*told))))
+            at, to = at + len(b[0]), to + len(b[2])
         return pd.DataFrame(rows, columns=["chunk", "part", "body"])
 
     return asks.groupBy("part").applyInPandas(run, "chunk long, part int, body binary")
 
 
-def counted(c: Chunk, answers: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Answers put back into the order of the chunk: word totals, owned words, pair totals, owned pairs."""
-    wp, _ = c.word_parts()
-    pp, _ = c.pair_parts()
-    word_at, pair_at = dict(by_part(wp)), dict(by_part(pp))
-    words, owns = np.zeros(len(wp), np.int64), np.zeros(len(wp), bool)
-    pairs, owned = np.zeros(len(pp), np.int64), np.zeros(len(pp), bool)
-    for part, body in zip(answers["part"], answers["body"], strict=True):
-        w, wf, p, pf = loosen(body)
-        if len(w):
-            words[word_at[part]], owns[word_at[part]] = w, wf
-        if len(p):
-            pairs[pair_at[part]], owned[pair_at[part]] = p, pf
-    return words, owns, pairs, owned
+class Counted:
+    """Answers put back into the order of the chunk: of its words and its pairs the total counts,
+    whether the chunk owns them, and their numbers (-1 without one)."""
+
+    def __init__(self, c: Chunk, answers: pd.DataFrame):
+        self.words, self.pairs = np.zeros(len(c.hashes), np.int64), np.zeros(len(c.pair), np.int64)
+        self.owns, self.owned = np.zeros(len(c.hashes), bool), np.zeros(len(c.pair), bool)
+        self.word_id, self.pair_id = np.full(len(c.hashes), -1), np.full(len(c.pair), -1)
+        for part, body in zip(answers["part"], answers["body"], strict=True):
+            told = loosen(body)
+            for at, total, own, number, least, (count, mine, step) in (
+                (c.word_at.get(part, NONE), self.words, self.owns, self.word_id, 1, told[:3]),
+                (c.pair_at.get(part, NONE), self.pairs, self.owned, self.pair_id, 2, told[3:]),
+            ):
+                total[at], own[at] = count, mine
+                number[at[total[at] >= least]] = np.cumsum(step, dtype=np.int64)
 
 
-FACT = "kind string, first long, second long, n long, alone long, follows long, owned boolean"
+FACT = (
+    "kind string, first long, second long, n long, alone long, follows long, heads long, more long, id long"
+)
 
 
 def facts(corpus: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
     """Rows of the model, each from the chunk that owns it.
 
-    ``pair``: first and second word and count of a pair seen more than once. ``word``: a word, its count, in how
-    many owned pairs seen once it is the first (``alone``) and the second (``follows``).
+    ``pair``: first and second word and count of a pair seen more than once, and (``alone``) the
+    count of its first word. ``word``: a word, its count, and of the pairs that the chunk owns, in how many seen
+    once it is the first (``alone``) and the second (``follows``), and in how many seen more often
+    (``heads``, ``more``).
     """
 
     def run(corpus_rows: pd.DataFrame, answer_rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, body in zip(corpus_rows["chunk"], corpus_rows["body"], strict=True):
             c = Chunk(body, parts)
-            words, owns, pairs, owned = counted(c, answer_rows[answer_rows["chunk"] == number])
-            single = owned & (pairs == 1)
-            alone = np.bincount(c.first[single], minlength=len(words))
-            follows = np.bincount(c.second[single], minlength=len(words))
-            tell = owns & (words > 0) | (alone > 0) | (follows > 0)
+            got = Counted(c, answer_rows[answer_rows["chunk"] == number])
+            words, owns, pairs, owned = got.words, got.owns, got.pairs, got.owned
+            single, many = owned & (pairs == 1), owned & (pairs > 1)
+            roles = {
+                name: np.bincount(side[which], minlength=len(words))
+                for name, side, which in (
+                    ("alone", c.first, single), ("follows", c.second, single), ("heads", c.first, many), ("more", c.second, many)
+                )
+            }
+            tell = np.logical_or.reduce([owns & (words > 0), *(r > 0 for r in roles.values())])
             names = c.hashes.view(np.int64)
             out.append(pd.DataFrame({
-                "kind": "word", "first": names[tell], "second": 0, "n": words[tell], "alone": alone[tell],
-                "follows": follows[tell], "owned": owns[tell],
+                "kind": "word", "first": names[tell], "second": 0, "n": words[tell],
+                **{name: r[tell] for name, r in roles.items()}, "id": got.word_id[tell],
             }))
-            many = owned & (pairs > 1)
             out.append(pd.DataFrame({
                 "kind": "pair", "first": names[c.first[many]], "second": names[c.second[many]], "n": pairs[many],
-                "alone": words[c.first[many]], "follows": 0, "owned": True,
+                "alone": words[c.first[many]], "follows": 0, "heads": 0, "more": 0,
+                "id": got.pair_id[many],
             }))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=FACT_NAMES)
 
@@ -355,7 +382,7 @@ class Totals:
 
 
 def sample_seatings(pairs: DataFrame, words: DataFrame, total: Totals, s: Settings) -> DataFrame:
-    """``first, second, n, t0 ...`` of every pair seen more than once: tables in each sample."""
+    """``first, second, id, t0 ...`` of every pair seen more than once: tables in each sample."""
     # The parent as it stands when every pair has one table.
     types = words.select("first", (F.col("follows") + F.col("more")).alias("customers"))
     all_types = types.agg(F.sum("customers")).first()[0] or 0
@@ -368,32 +395,30 @@ def sample_seatings(pairs: DataFrame, words: DataFrame, total: Totals, s: Settin
     given = pairs.join(types.select(F.col("first").alias("second"), prior.alias("prior")), "second")
     split = F.greatest(F.ceil(F.col("alone") / s.context_tokens), F.lit(1)).cast("int")
     given = given.select(
-        "first", "second", "n", "prior", split.alias("split"),
+        "first", "second", "n", "id", "prior", split.alias("split"),
         F.pmod(F.xxhash64("second"), split).cast("int").alias("salt"),
     )
     last = F.greatest(F.ceil(F.col("n") / s.context_tokens), F.lit(1)).cast("int") - 1
     of_context = words.where("heads > 0").select(
         "first", "alone", F.explode(F.sequence(F.lit(0), last)).alias("salt")
     )
-    rows = given.join(of_context, ["first", "salt"])
-    groups = pieces(rows.count(), 400_000, 16)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("first", "salt"), F.lit(groups)).cast("int"))
+    part = F.pmod(F.xxhash64("first", "salt"), F.lit(pieces(pairs.count(), 400_000, 16))).cast("int")
     names = [f"t{i}" for i in range(s.samples)]
-    schema = "first long, second long, n long, " + ", ".join(f"{n} int" for n in names)
+    schema = "first long, second long, id long, " + ", ".join(f"{n} int" for n in names)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["first", "salt", "second"])
-        new = (group["first"].diff().fillna(1) != 0) | (group["salt"].diff().fillna(1) != 0)
-        context = np.cumsum(new.to_numpy()) - 1
-        lead = group[new.to_numpy()]
+    def run(key: tuple, group: pd.DataFrame, contexts: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["first", "salt", "second"]).merge(contexts, on=["first", "salt"])
+        new = ((group["first"].diff().fillna(1) != 0) | (group["salt"].diff().fillna(1) != 0)).to_numpy()
+        lead = group[new]
         rng = np.random.default_rng([s.seed, int(key[0])])
         drawn = gibbs(
-            group["n"].to_numpy(np.int64), context, group["prior"].to_numpy(float), lead["alone"].to_numpy(np.int64),
-            lead["split"].to_numpy(np.int64), s, rng,
+            group["n"].to_numpy(np.int64), np.cumsum(new) - 1, group["prior"].to_numpy(float),
+            lead["alone"].to_numpy(np.int64), lead["split"].to_numpy(np.int64), s, rng,
         )
-        return group[["first", "second", "n"]].assign(**dict(zip(names, drawn, strict=True)))
+        return group[["first", "second", "id"]].assign(**dict(zip(names, drawn, strict=True)))
 
-    return rows.groupBy("part").applyInPandas(run, schema)
+    left = given.withColumn("part", part).groupBy("part")
+    return left.cogroup(of_context.withColumn("part", part).groupBy("part")).applyInPandas(run, schema)
 
 
 def seat_parent(words: DataFrame, seated: DataFrame, total: Totals, s: Settings) -> DataFrame:
@@ -403,12 +428,12 @@ def seat_parent(words: DataFrame, seated: DataFrame, total: Totals, s: Settings)
     into = seated.groupBy(F.col("second").alias("first")).agg(*[F.sum(f"t{i}").alias(f"_c{i}") for i in names])
     out = seated.groupBy("first").agg(*[F.sum(f"t{i}").alias(f"_r{i}") for i in names])
     both = words.join(into, "first", "left").join(out, "first", "left").select(
-        "first",
+        "first", "id",
         *[(F.col("alone") + F.coalesce(f"_r{i}", F.lit(0))).cast("long").alias(f"r{i}") for i in names],
         *[(F.col("follows") + F.coalesce(f"_c{i}", F.lit(0))).cast("long").alias(f"c{i}") for i in names],
     )
     base = (s.root_strength + s.root_discount * total.words) / (total.words + 1)
-    kinds = ", ".join(["first long"] + [f"{k}{i} long" for k in "rcp" for i in names])
+    kinds = ", ".join(["first long", "id long"] + [f"{k}{i} long" for k in "rcp" for i in names])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -419,80 +444,78 @@ def seat_parent(words: DataFrame, seated: DataFrame, total: Totals, s: Settings)
                 drawn = np.empty(len(f), np.int64)
                 drawn[order] = seat_root(f[f"c{i}"].to_numpy(np.int64)[order], base, s.root_discount, rng)
                 f[f"p{i}"] = drawn
-            yield f[["first", *[f"{k}{i}" for k in "rcp" for i in names]]]
+            yield f[["first", "id", *[f"{k}{i}" for k in "rcp" for i in names]]]
 
     return both.mapInPandas(run, kinds)
 
 
 def ask_tables(corpus: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """Words of each chunk, and its pairs seen more than once, dealt by key."""
+    """Numbers of the words of each chunk that occur, and of its pairs seen more than once."""
 
     def run(corpus_rows: pd.DataFrame, answer_rows: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for number, body in zip(corpus_rows["chunk"], corpus_rows["body"], strict=True):
             c = Chunk(body, parts)
-            words, _, pairs, _ = counted(c, answer_rows[answer_rows["chunk"] == number])
-            (wp, wk), (pp, pk) = c.word_parts(), c.pair_parts()
-            w, p = np.flatnonzero(words > 0), np.flatnonzero(pairs > 1)
-            word_at, pair_at = dict(by_part(wp[w])), dict(by_part(pp[p]))
-            for part in sorted(word_at.keys() | pair_at.keys()):
-                i, j = w[word_at.get(part, NONE)], p[pair_at.get(part, NONE)]
-                rows.append((part, number, pack(wk[i], *halves(pk[j]))))
+            got = Counted(c, answer_rows[answer_rows["chunk"] == number])
+            for part in sorted(c.word_at.keys() | c.pair_at.keys()):
+                w, p = got.word_id[c.word_at.get(part, NONE)], got.pair_id[c.pair_at.get(part, NONE)]
+                rows.append((part, number, squeeze(pack(steps(w[w >= 0]), steps(p[p >= 0])))))
         return pd.DataFrame(rows, columns=["part", "chunk", "body"])
 
     left = corpus.select("chunk", "body").groupBy("chunk")
     return left.cogroup(answers.groupBy("chunk")).applyInPandas(run, ASK)
 
 
-def model_rows(seated: DataFrame, parent: DataFrame, parts: int, s: Settings) -> DataFrame:
-    """``part, key, word, v0 ...`` of words (context tables, then probabilities at the parent's
-    counts) and pairs (tables)."""
-    names = list(range(s.samples))
-    columns = [f"v{i}" for i in range(3 * s.samples)]
-    schema = "part int, key long, word boolean, " + ", ".join(f"{c} int" for c in columns)
+MODEL = "part int, word boolean, body binary"
 
-    def of_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            first, second = f["first"].to_numpy(np.int64).view(np.uint64), f["second"].to_numpy(np.int64).view(np.uint64)
-            part, key = pair_place(first, second, np.uint64(parts))
-            out = {"part": part, "key": key.view(np.int64), "word": False}
-            out |= {c: f[f"t{i}"].to_numpy() if i < s.samples else 0 for i, c in enumerate(columns)}
-            yield pd.DataFrame(out)
 
-    def of_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def model_rows(seated: DataFrame, parent: DataFrame, parts: int, s: Settings) -> DataFrame:
+    """What is known of words (tables of their context, customers and tables at the parent) and of
+    pairs (tables), per sample, packed by the part that will be asked for it."""
+    names = range(s.samples)
+    of_word, of_pair = [f"{k}{i}" for k in "rcp" for i in names], [f"t{i}" for i in names]
+
+    def packed(word: bool, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flush(f: pd.DataFrame) -> pd.DataFrame:
+            first = f["first"].to_numpy(np.int64).view(np.uint64)
+            if word:
+                part = (first % np.uint64(parts)).astype(np.int32)
+            else:
+                part, _ = pair_place(first, f["second"].to_numpy(np.int64).view(np.uint64), np.uint64(parts))
+            number, values = f["id"].to_numpy(np.int64), f[of_word if word else of_pair].to_numpy(np.int64)
+            rows = [
+                (p, word, squeeze(pack(steps(number[at]), *map(slim, values[at].T)))) for p, at in by_part(part, number)
+            ]
+            return pd.DataFrame(rows, columns=["part", "word", "body"])
+
+        held, n = [], 0
         for f in frames:
-            name = f["first"].to_numpy(np.int64)
-            out = {"part": (name.view(np.uint64) % np.uint64(parts)).astype(np.int32), "key": name, "word": True}
-            values = [f[f"{k}{i}"].to_numpy() for k in "rcp" for i in names]
-            out |= dict(zip(columns, values, strict=True))
-            yield pd.DataFrame(out)
+            held.append(f)
+            n += len(f)
+            if n >= 400_000:
+                yield flush(pd.concat(held, ignore_index=True))
+                held, n = [], 0
+        if n:
+            yield flush(pd.concat(held, ignore_index=True))
 
-    return seated.mapInPandas(of_pairs, schema).unionByName(parent.mapInPandas(of_words, schema))
+    pairs = seated.mapInPandas(lambda frames: packed(False, frames), MODEL)
+    return pairs.unionByName(parent.mapInPandas(lambda frames: packed(True, frames), MODEL))
 
 
 def answer_tables(asks: DataFrame, model: DataFrame, s: Settings) -> DataFrame:
-    width = 3 * s.samples
-
     def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = {}
-        for word in (True, False):
-            own = rows[rows["word"] == word].sort_values("key")
-            keys = own["key"].to_numpy(np.int64)
-            values = own[[f"v{i}" for i in range(width if word else s.samples)]].to_numpy(np.int32)
-            found[word] = (keys, values)
-
-        def look(word: bool, key: np.ndarray) -> np.ndarray:
-            keys, values = found[word]
-            if not len(keys):
-                return np.zeros((len(key), values.shape[1]), np.int32)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return np.where((keys[at] == key)[:, None], values[at], 0).astype(np.int32)
-
+        for word, width in ((True, 3 * s.samples), (False, s.samples)):
+            bodies = [loosen(b) for b in rows["body"][rows["word"] == word]]
+            ids = [np.cumsum(b[0], dtype=np.int64) for b in bodies]
+            found[word] = np.zeros((1 + max((int(i.max(initial=-1)) for i in ids), default=-1), width), np.int32)
+            for i, b in zip(ids, bodies, strict=True):
+                found[word][i] = np.stack(b[1:], 1)
         out = []
         for part, chunk, body in zip(asked["part"], asked["chunk"], asked["body"], strict=True):
-            w, high, low = unpack(body)
-            given = pack(look(True, w.view(np.int64)).ravel(), look(False, whole(high, low).view(np.int64)).ravel())
-            out.append((chunk, part, squeeze(given)))
+            w, p = (np.cumsum(x, dtype=np.int64) for x in loosen(body))
+            told = [slim(v) for v in (*found[True][w].T, *found[False][p].T)]
+            out.append((chunk, part, squeeze(pack(*told))))
         return pd.DataFrame(out, columns=["chunk", "part", "body"])
 
     return asks.groupBy("part").cogroup(model.groupBy("part")).applyInPandas(run, "chunk long, part int, body binary")
@@ -511,27 +534,27 @@ def score_chunks(corpus: DataFrame, answers: DataFrame, total: Totals, root: lis
         for number, ids, body in zip(corpus_rows["chunk"], corpus_rows["doc_id"], corpus_rows["body"], strict=True):
             c = Chunk(body, parts)
             mine = answer_rows[answer_rows["chunk"] == number]
-            words, _, pairs, _ = counted(c, mine[~mine["tables"]])
-            word_at, pair_at, (wp, _), (pp, _) = {}, {}, c.word_parts(), c.pair_parts()
-            w, p = np.flatnonzero(words > 0), np.flatnonzero(pairs > 1)
-            word_at, pair_at = dict(by_part(wp[w])), dict(by_part(pp[p]))
-            of_word = np.zeros((len(words), 3 * s.samples))
-            of_pair = np.repeat((pairs > 0).astype(float)[:, None], s.samples, 1)
+            got = Counted(c, mine[~mine["tables"]])
+            words, pairs = got.words, got.pairs
+            of_word = np.zeros((3 * s.samples, len(words)))
+            of_pair = np.repeat((pairs > 0).astype(float)[None, :], s.samples, 0)
             tables = mine[mine["tables"]]
             for part, given in zip(tables["part"], tables["body"], strict=True):
-                a, b = loosen(given)
-                if len(a):
-                    of_word[w[word_at[part]]] = a.reshape(-1, 3 * s.samples)
-                if len(b):
-                    of_pair[p[pair_at[part]]] = b.reshape(-1, s.samples)
+                told = loosen(given)
+                w, p = c.word_at.get(part, NONE), c.pair_at.get(part, NONE)
+                w, p = w[got.word_id[w] >= 0], p[got.pair_id[p] >= 0]
+                for i, values in enumerate(told[: 3 * s.samples]):
+                    of_word[i, w] = values
+                for i, values in enumerate(told[3 * s.samples :]):
+                    of_pair[i, p] = values
             chance = np.zeros(len(c.pair))
             follow = words[c.first].astype(float)
             for i, (customers, root_tables) in enumerate(root):
-                in_context, came, at_root = (of_word[:, k * s.samples + i] for k in range(3))
+                in_context, came, at_root = (of_word[k * s.samples + i] for k in range(3))
                 up = (s.root_strength + s.root_discount * root_tables) / (total.words + 1)
                 parent = (came - s.root_discount * at_root + up) / (s.root_strength + customers)
                 passed = s.strength + s.discount * in_context[c.first]
-                given = (pairs - s.discount * of_pair[:, i] + passed * parent[c.second]) / (s.strength + follow)
+                given = (pairs - s.discount * of_pair[i] + passed * parent[c.second]) / (s.strength + follow)
                 chance += given / len(root)
             base = np.log10((words + 1) / (total.tokens + total.words + 1))
             out.append(pd.DataFrame({
@@ -552,25 +575,24 @@ def score(docs: DataFrame, learn, s: Settings = Settings()) -> tuple[DataFrame,
     corpus = written(encode(docs, learn, s), "encoded")
     answers = written(answer_counts(ask_counts(corpus, parts)), "counts")
     found = written(facts(corpus, answers, parts), "facts")
-    pairs = found.where("kind = 'pair'").select("first", "second", "n", "alone")
-    told = found.where("kind = 'word'").select("first", "n", "alone", "follows", F.lit(0).alias("more"), F.lit(0).alias("heads"))
-    first, second = (
-        pairs.select(F.col(c).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("alone"), F.lit(0).alias("follows"),
-                     F.lit(int(c == "second")).alias("more"), F.lit(int(c == "first")).alias("heads"))
-        for c in ("first", "second")
-    )
-    words = told.unionByName(first).unionByName(second).groupBy("first").agg(
-        F.max("n").alias("n"), *[F.sum(c).alias(c) for c in ("alone", "follows", "more", "heads")]
+    pairs = found.where("kind = 'pair'").select("first", "second", "n", "alone", "id")
+    words = found.where("kind = 'word'").groupBy("first").agg(
+        F.max("n").alias("n"), F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("alone", "follows", "heads", "more")]
     )
     words = written(words, "words")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     total = Totals(int(sums[0]), int(sums[1]))
     seated = written(sample_seatings(pairs, words, total, s), "seated")
+    forget(found)
     parent = written(seat_parent(words, seated, total, s), "parent")
+    forget(words)
     sums = parent.agg(*[F.coalesce(F.sum(f"{k}{i}"), F.lit(0)) for i in range(s.samples) for k in "cp"]).first()
     root = [(int(sums[2 * i]), int(sums[2 * i + 1])) for i in range(s.samples)]
-    asks = ask_tables(corpus, answers, parts)
-    tables = answer_tables(asks, model_rows(seated, parent, parts, s), s)
+    asks = written(ask_tables(corpus, answers, parts), "asks")
+    tables = written(answer_tables(asks, model_rows(seated, parent, parts, s), s), "tables")
+    forget(seated)
+    forget(parent)
+    forget(asks)
     both = answers.withColumn("tables", F.lit(False)).unionByName(tables.withColumn("tables", F.lit(True)))
     return score_chunks(corpus, both, total, root, parts, s), total
 

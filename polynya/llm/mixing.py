@@ -74,38 +74,34 @@ def coin(key: Column, seed: str) -> Column:
 def mix(
     docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = "mix"
 ) -> DataFrame:
-    """All rows of ``docs`` with ``_size, _source_size, _target, _copies``.
+    """``doc, size, source_size, target, copies`` of every row; ``doc`` is the row itself, so its
+    columns may have any names.
 
     Rows with the same doc_id share a coin. A null text has size 0, a null source is a source,
     a null doc_id tosses the coin of the empty id. An empty table stays empty.
     """
-    sized = docs.withColumn("_size", words(F.col("text")))
-    rates = written(targets(sized.select("source", F.col("_size").alias("size")), weights, cap), "mix-rates")
-    few = rates.count() <= BROADCAST_SOURCES
-    side = rates.select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"), F.col("rate").alias("_rate"),
-    )
-    joined = sized.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.floor("_rate")
-    extra = F.when(coin(F.col("doc_id"), seed) < F.col("_rate") - whole, 1).otherwise(0)
-    return joined.withColumn("_copies", (whole + extra).cast("long")).drop("_source", "_rate")
+    sized = docs.select(F.struct(*docs.columns).alias("doc"), words(F.col("text")).alias("size"))
+    of_source = sized.select(F.col("doc.source").alias("source"), "size")
+    rates = written(targets(of_source, weights, cap), "mix-rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
+    joined = sized.join(rates, F.col("doc.source").eqNullSafe(F.col("source")))
+    whole = F.floor("rate")
+    extra = F.when(coin(F.col("doc.doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    copies = (whole + extra).cast("long").alias("copies")
+    return joined.select("doc", "size", "source_size", "target", copies)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each document as often as its copies say, without the columns of ``mix``."""
-    repeated = mixed.withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
-    return repeated.drop("_i", "_size", "_source_size", "_target", "_copies")
+    """Each document as often as its copies say, with its own columns."""
+    times = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
+    return mixed.select("doc", F.explode(times)).select("doc.*")
 
 
 def op8_source_mixing(docs: DataFrame) -> DataFrame:
     """One row per document: its size, its source's size and target, the words the mix takes."""
     return mix(docs.select("doc_id", "text", "source")).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
+        "doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
