@@ -391,10 +391,10 @@ def joined(group: pd.DataFrame, s: Settings) -> pd.DataFrame:
         join.weight = part["weight"].to_numpy(np.int64)
         side = part["side"].to_numpy()
         mine, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if len(other):
-            join.join(mine, other, False)
-        else:
+        if part["i"].iloc[0] == part["j"].iloc[0]:
             join.join(mine, mine, True)
+        elif len(mine) and len(other):
+            join.join(mine, other, False)
         sid = part["sid"].to_numpy(np.int64)
         out.append(pd.DataFrame({"sid": sid, "root": sid[join.group], "links": join.links}))
     return pd.concat(out, ignore_index=True)

@@ -253,7 +253,7 @@ class Counted:
 
 
 FACT = (
-    "kind string, first long, second long, n long, alone long, follows long, heads long, more long, id long"
+    "pair boolean, first long, second long, n int, alone int, follows int, heads int, more int, id int"
 )
 
 
@@ -282,11 +282,11 @@ def facts(corpus: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
             tell = np.logical_or.reduce([owns & (words > 0), *(r > 0 for r in roles.values())])
             names = c.hashes.view(np.int64)
             out.append(pd.DataFrame({
-                "kind": "word", "first": names[tell], "second": 0, "n": words[tell],
+                "pair": False, "first": names[tell], "second": 0, "n": words[tell],
                 **{name: r[tell] for name, r in roles.items()}, "id": got.word_id[tell],
             }))
             out.append(pd.DataFrame({
-                "kind": "pair", "first": names[c.first[many]], "second": names[c.second[many]], "n": pairs[many],
+                "pair": True, "first": names[c.first[many]], "second": names[c.second[many]], "n": pairs[many],
                 "alone": words[c.first[many]], "follows": 0, "heads": 0, "more": 0,
                 "id": got.pair_id[many],
             }))
@@ -333,7 +333,8 @@ def gibbs(
     tables = np.ones(len(count), np.int64)
     in_context = others + np.bincount(context, minlength=len(others)) * stretch
     blocks = []
-    for low, high in ((2, 4), (4, 8), (8, 16), (16, 1 << 62)):
+    two = np.flatnonzero(count == 2)
+    for low, high in ((3, 4), (4, 8), (8, 16), (16, 1 << 62)):
         rows = np.flatnonzero((count >= low) & (count < high))
         if len(rows):
             rows = rows[np.argsort(-count[rows], kind="stable")]
@@ -342,6 +343,12 @@ def gibbs(
             blocks.append([rows, sizes])
     kept = []
     for sweep in range(s.burn + s.samples):
+        # Two customers of a dish are seated anew together: at two tables or at one.
+        of, were = context[two], tables[two]
+        apart = (theta + d * (in_context[of] - (were - 1) * stretch[of])) * prior[two]
+        now = 1 + (rng.random(len(two)) * (apart + 1 - d) < apart)
+        tables[two] = now
+        in_context = in_context + np.bincount(of, now - were, len(others)) * stretch
         for block in blocks:
             rows, sizes = block
             for move in range(int(min(count[rows[0]], s.moves))):
@@ -575,8 +582,8 @@ def score(docs: DataFrame, learn, s: Settings = Settings()) -> tuple[DataFrame,
     corpus = written(encode(docs, learn, s), "encoded")
     answers = written(answer_counts(ask_counts(corpus, parts)), "counts")
     found = written(facts(corpus, answers, parts), "facts")
-    pairs = found.where("kind = 'pair'").select("first", "second", "n", "alone", "id")
-    words = found.where("kind = 'word'").groupBy("first").agg(
+    pairs = found.where("pair").select("first", "second", "n", "alone", "id")
+    words = found.where("not pair").groupBy("first").agg(
         F.max("n").alias("n"), F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("alone", "follows", "heads", "more")]
     )
     words = written(words, "words")
