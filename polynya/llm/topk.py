@@ -173,6 +173,7 @@ def search_shards(vectors: DataFrame, asked: DataFrame, s: Settings) -> DataFram
         search.start_from(kth, kth_id)
         search.walk(ball_tree(search.points, ids, s.leaf))
         new = (search.score > kth[:, None]) | ((search.score == kth[:, None]) & (search.found < kth_id[:, None]))
+        new &= search.score > np.iinfo(np.int64).min
         return pd.DataFrame({
             "query_id": np.repeat(own, s.k).reshape(new.shape)[new], "vec_id": search.found[new], "score": search.score[new],
         })
