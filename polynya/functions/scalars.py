@@ -13,6 +13,11 @@ def regex_or_null(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def known(x: Column) -> Column:
+    """Neither null nor NaN; models leave other rows out."""
+    return x.isNotNull() & ~F.isnan(x.cast("double"))
+
+
 def parse_number(text: Column) -> Column:
     """First number in a text, grouping commas removed; null if there is none."""
     plain = F.regexp_replace(text, r"(?<=[0-9]),(?=[0-9])", "")

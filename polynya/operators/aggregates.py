@@ -77,7 +77,7 @@ def has_ids(df: DataFrame, keys: Sequence[str], text: str, patterns: Sequence[st
     """Groups holding at least one id for each pattern: TRUE/FALSE per group."""
     ok = F.lit(True)
     for p in patterns:
-        ok = ok & F.bool_or(F.col(text).rlike(f"(?i){p}"))
+        ok = ok & F.bool_or(F.coalesce(F.col(text).rlike(f"(?i){p}"), F.lit(False)))
     return df.groupBy(*keys).agg(ok.alias("is_valid"))
 
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polynya.functions.scalars import known
 from polynya.operators.scale import MAX_GROUP_ROWS, null_safe_join
 
 # Grid points summed side by side in one row; keeps the stage within code generation.
@@ -78,27 +79,27 @@ def fit_separable(
     no shape fits, keeps its row with null parameters.
     """
     keys = list(keys)
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    given = df.filter(known(F.col(x)) & known(F.col(y))).select(
         *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
     some_null = F.lit(False)
     for k in keys:
         some_null = some_null | F.col(k).isNull()
-    groups = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
+    groups = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
         F.max("_n").alias("biggest"), F.bool_or(some_null).alias("nulls")
     ).first()
     packed = bool(groups["nulls"])
     ks = ["_k"] if packed else keys
     if packed:  # a struct compares null fields as equal, so plain equi-joins keep every group
-        known = known.select(F.struct(*keys).alias("_k"), "_x", "_y")
-    sizes = known.groupBy(*ks).agg(
+        given = given.select(F.struct(*keys).alias("_k"), "_x", "_y")
+    sizes = given.groupBy(*ks).agg(
         F.count(F.lit(1)).alias("_n"),
         F.avg("_y").alias("_my"),
         F.regr_sxx("_y", "_y").alias("_syy"),
         F.min("_y").alias("_ymin"),
         (F.max("_x") - F.least(F.min("_x"), F.lit(0.0))).alias("_span"),
     )
-    rows = known.join(sizes, ks).withColumn("_y", F.col("_y") - F.col("_my"))
+    rows = given.join(sizes, ks).withColumn("_y", F.col("_y") - F.col("_my"))
     # A curve over the limit is spread over several tasks; the others stay whole.
     spread = (groups["biggest"] or 0) > max_rows
     shares = f"ceil(_n / {max_rows})"
@@ -176,7 +177,7 @@ def fit_separable(
         picked = ["_n", "_span", "_my", "_sg", "_a", "_rss"]
         best = (
             scored.groupBy(*ks)
-            .agg(F.expr(f"min(struct(round(_rss, 9) AS _order, {', '.join([*names, *picked])})) AS _b"))
+            .agg(F.expr(f"min(struct(round(try_divide(_rss, _syy), 8) AS _order, {', '.join([*names, *picked])})) AS _b"))
             .selectExpr(*ks, *[f"_b.{c}" for c in (*names, *picked)])
         )
     final = best.selectExpr(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from polynya.functions.geodesy import PolarStereographic
-from polynya.functions.scalars import clamp
+from polynya.functions.scalars import clamp, known
 from polynya.operators.ordered import Ordered
 from polynya.operators.scale import durable, null_safe_join
 
@@ -38,7 +38,7 @@ def nearest(
     px, py = point_xy
     cx, cy = cell_xy
     spots = (
-        cells.filter(F.col(cx).isNotNull() & F.col(cy).isNotNull())
+        cells.filter(known(F.col(cx)) & known(F.col(cy)))
         .groupBy(F.col(cx).cast("double").alias("_cx"), F.col(cy).cast("double").alias("_cy"))
         .agg(F.min(cell_id).alias("_cid"))
     )
@@ -254,7 +254,8 @@ def inside_polygons(
 ) -> DataFrame:
     """(point, polygon) for every point inside, holes counted out (crossing parity).
 
-    Edges are cut into horizontal bands, points look only at the edges of their band, and only
+    A point id may come with several positions or several times; it is inside when one of its
+    positions is. Edges are cut into horizontal bands, points look only at the edges of their band, and only
     edges that a ray to the east really crosses leave the join.
     """
     span = edges.agg(
@@ -270,17 +271,18 @@ def inside_polygons(
     )
     at = points.select(
         point_id, F.col(x).alias("_x"), F.col(y).alias("_y"), band(F.col(y)).alias("_band")
-    ).filter(F.col(y).between(low, span["hi"] or 0.0))
+    ).filter(F.col("_y").between(low, span["hi"] or 0.0)).distinct()
     spans = (F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))
     cross_x = F.col("x1") + (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (
         F.col("x2") - F.col("x1")
     )
     crossed = at.join(cut, "_band").filter(spans & (F.col("_x") < cross_x))
     return (
-        crossed.groupBy(point_id, poly)
+        crossed.groupBy(point_id, "_x", "_y", poly)
         .agg((F.count(F.lit(1)) % 2).alias("_odd"))
         .filter(F.col("_odd") == 1)
         .select(point_id, poly)
+        .distinct()
     )
 
 

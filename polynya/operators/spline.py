@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from polynya.functions.scalars import known
 from polynya.operators.ordered import Ordered
 from polynya.operators.scale import MAX_GROUP_ROWS, durable, largest_group, null_safe_join, with_group
 
@@ -28,12 +29,17 @@ def spline_resample(
     """(keys, x, y) on the grid start…stop; equal x are averaged first."""
     keys = list(keys)
     knots = (
-        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+        df.filter(known(F.col(x)) & known(F.col(y)))
         .groupBy(*keys, F.col(x).cast("double").alias("x"))
         .agg(F.avg(y).alias("y"))
     )
     small = largest_group(knots, keys) <= max_rows
-    segments = segments_in_task(knots, keys) if small else segments_by_joins(knots, keys, max_rows)
+    if small or not keys:
+        segments = segments_in_task(knots, keys) if small else segments_by_joins(knots, keys, max_rows)
+    else:  # a struct compares null fields as equal, so plain equi-joins keep every group
+        packed = knots.select(F.struct(*keys).alias("_k"), "x", "y")
+        segments = segments_by_joins(packed, ["_k"], max_rows)
+        segments = segments.select(*[F.col("_k")[k].alias(k) for k in keys], *[c for c in segments.columns if c != "_k"])
     return evaluate(segments, keys, start, stop, by).withColumnsRenamed({"x": x, "y": y})
 
 

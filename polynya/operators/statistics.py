@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polynya.functions.scalars import known
 from polynya.operators.ordered import Ordered
 from polynya.operators.relational import unpivot_columns
 
@@ -18,10 +19,10 @@ from polynya.operators.relational import unpivot_columns
 def lm(df: DataFrame, keys: Sequence[str], x: Column, y: Column) -> DataFrame:
     """y ~ x per group: coefficients, standard errors, t values, R², residual error.
 
-    Rows with a null on either side are left out. Coefficients need two distinct x, errors
+    Rows with a null or NaN on either side are left out. Coefficients need two distinct x, errors
     three rows.
     """
-    both = x.isNotNull() & y.isNotNull()
+    both = known(x) & known(y)
     pairs = df.select(
         *keys, F.when(both, x.cast("double")).alias("_x"), F.when(both, y.cast("double")).alias("_y")
     )
@@ -94,7 +95,7 @@ def residual_compare(
 
 def anova_oneway(df: DataFrame, group: str, value: str, p_value: bool = False) -> DataFrame:
     """value ~ group: the two rows (group, residuals) of the table."""
-    per_group = df.filter(F.col(value).isNotNull()).groupBy(group).agg(
+    per_group = df.filter(known(F.col(value))).groupBy(group).agg(
         F.count(value).alias("_n"), F.avg(value).alias("_m"), F.regr_sxx(F.col(value), F.col(value)).alias("_ss")
     )
     all_ = per_group.agg(
@@ -151,7 +152,7 @@ def tukey_pairs(df: DataFrame, group: str, value: str, with_k: bool = False) ->
     Works on the one-row-per-group means; the pairs come from an array of those means, whose
     length is the number of groups.
     """
-    means = df.filter(F.col(value).isNotNull()).groupBy(group).agg(
+    means = df.filter(known(F.col(value))).groupBy(group).agg(
         F.count(value).alias("n"), F.avg(value).alias("m"), F.regr_sxx(F.col(value), F.col(value)).alias("ss")
     )
     cell = F.struct(F.col(group).alias("g"), "n", "m")
@@ -263,8 +264,7 @@ def interp_at(
 
     ``add``: return the averaged profile with the new points in it.
     """
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    profile = known.groupBy(*keys, x).agg(F.avg(y).alias(y))
+    profile = df.filter(known(F.col(x)) & known(F.col(y))).groupBy(*keys, x).agg(F.avg(y).alias(y))
     targets = profile.withColumn("_t", F.explode(F.array(*[F.lit(float(a)) for a in at])))
     point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     brackets = targets.groupBy(*keys, "_t").agg(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polynya.functions.scalars import regex_or_null
+from polynya.functions.scalars import parse_number, regex_or_null
 from polynya.operators.aggregates import any_known, band_median
 from polynya.operators.joins import reference_rows
 from polynya.operators.relational import unpivot_numbered
@@ -81,17 +81,20 @@ def dilution_table(df: DataFrame) -> DataFrame:
     )
 
 
-def undiluted(df: DataFrame, group: str = "jday", depth: str = "to_depth") -> DataFrame:
+def undiluted(df: DataFrame, group: str = "jday", depth: str = "to_depth", record: str | None = None) -> DataFrame:
     """Remove the part of the added water: its spectrum is the day's shallowest undiluted sample.
 
-    Rows without a dilution record (null ``f``) or without a reference keep their value.
+    Rows without a reference or without a share ``f`` keep their value. ``record`` names a
+    column that is null where there is no dilution record at all; without it a null ``f`` says so.
+    Depths such as ``30cm`` are compared by their number.
     """
+    df = df.withColumn("_depth", parse_number(F.col(depth).cast("string")))
     joined = reference_rows(
-        df, group, depth, F.col("f").isNull(), ["wavelength"], {"a_ref": "absorption"}
+        df, group, "_depth", F.col(record or "f").isNull(), ["wavelength"], {"a_ref": "absorption"}
     )
     own, f = F.col("absorption"), F.col("f")
     fixed = F.try_divide(own - F.col("a_ref") * (1 - f), f)
-    return joined.withColumn("absorption", F.coalesce(fixed, own))
+    return joined.withColumn("absorption", F.coalesce(fixed, own)).drop("_depth")
 
 
 def quality_flags(df: DataFrame, keys: Sequence[str], **kw) -> DataFrame:

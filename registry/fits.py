@@ -235,7 +235,7 @@ def fit_sql(source: str, key: str, x: str, y: str, shapes, basis: str, rounds: i
             WHERE sxx > sgg * 1e-6::DOUBLE AND n >= {len(shapes) + 2}))"""
         )
         ctes.append(
-            f"""best{r} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(rss, 9), {', '.join(names)}) AS rn
+            f"""best{r} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(rss / nullif(syy, 0), 8) NULLS FIRST, {', '.join(names)}) AS rn
             FROM score{r}) WHERE rn = 1)"""
         )
     shape_cols = ", ".join(f"{value(sh, n)} AS {sh.name}" for sh, n in zip(shapes, names))

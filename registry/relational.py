@@ -842,7 +842,7 @@ def seq_grid(t):
         regexp_matches(url, 'page=') AS paged, substring(url, 8, 6) AS part, split_part(url, '/', -1) AS base,
         regexp_replace(split_part(url, '/', -1), '\.[A-Za-z0-9]+$', '') AS stem,
         regexp_split_to_array(html, ' +')[2] AS second_word, 'id-' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS tag,
-        translate(substring(html, 50, 60), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ',
+        translate(html, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ',
           'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY') AS ascii,
         CASE regexp_extract(url, '/(en|fr|de)/', 1) WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' ELSE 'other' END AS language
         FROM pages""",
@@ -859,7 +859,7 @@ def fn_string(t):
         fn.strip_extension(fn.base_name(url)).alias("stem"),
         F.get(F.split(html, " +"), F.lit(1)).alias("second_word"),
         F.format_string("id-%06d", "page_id").alias("tag"),
-        fn.to_ascii(F.substring(html, 50, 60)).alias("ascii"),
+        fn.to_ascii(html).alias("ascii"),
         F.when(code == "en", "english").when(code == "fr", "french").otherwise("other").alias("language"),
     )
 

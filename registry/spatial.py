@@ -218,10 +218,10 @@ def grid_to_cells(t):
 
 @query(
     "bands_to_long",
-    """SELECT vec_id, CAST(make_timestamp(2016, 5, b, 6 * (b % 4), 0, 0) AS TIMESTAMP) AS time, CAST(embedding[b] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 9)) AS b FROM embeddings)""",
+    """SELECT vec_id, CAST(make_timestamp(2016, 1 + (b - 1) // 28, 1 + (b - 1) % 28, 6 * (b % 4), 0, 0) AS TIMESTAMP) AS time, CAST(embedding[b] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS b FROM embeddings)""",
 )
 def bands_to_long(t):
-    names = [f"X2016.05.{b:02d}.{6 * (b % 4):02d}.00.00" for b in range(1, 9)]
+    names = [f"X2016.{1 + (b - 1) // 28:02d}.{1 + (b - 1) % 28:02d}.{6 * (b % 4):02d}.00.00" for b in range(1, 65)]
     wide = t.embeddings.select(
         "vec_id", *[F.get("embedding", F.lit(b)).cast("double").alias(n) for b, n in enumerate(names)]
     )
