@@ -164,11 +164,11 @@ def test_clean_keeps_columns_and_rows(spark):
     assert quality.keep_good(docs, quality.fit([])).count() == len(rows)
 
 
-def test_whole_text_is_scored(spark):
-    tox = [f"you idiot {a} you moron {b}" for a in range(30) for b in range(30)]
-    fine = [f"we walk {a} by the river {b}" for a in range(30) for b in range(30)]
+def test_whole_text_is_scored():
+    tox = [f"walk{a} idiot by{b} moron river" for a in range(30) for b in range(30)]
+    fine = [f"we walk{a} along by{b} the river" for a in range(30) for b in range(30)]
     model = toxicity.fit([(t, 1) for t in tox] + [(t, 0) for t in fine])
     score = toxicity.scorer(model)
-    long = "we walk by the river " * 4000
-    late = long + "you idiot you moron " * 400
+    long = "we walk3 along by4 the river " * 4000
+    late = long + "walk3 idiot by4 moron river " * 400
     assert score([late])[0] > score([long])[0]
