@@ -124,7 +124,11 @@ def train_dictionaries(ordinary: Sequence[str], toxic: Sequence[str], s: Setting
     mixed = random.Random(s.seed)
     mixed.shuffle(telling)
     mixed.shuffle(usual)
-    return dictionary(usual[: s.ordinary_windows], s.ordinary_bytes), dictionary(telling, s.toxic_bytes)
+    toxic_part = dictionary(telling, s.toxic_bytes)
+    if telling and Counter(telling).most_common(1)[0][0].strip() not in toxic_part:
+        # Of very few words the trainer keeps none; they serve as they are.
+        toxic_part = b"".join(dict.fromkeys(telling))[-s.toxic_bytes :]
+    return dictionary(usual[: s.ordinary_windows], s.ordinary_bytes), toxic_part
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
