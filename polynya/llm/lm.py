@@ -150,7 +150,8 @@ def pair_place(first: np.ndarray, second: np.ndarray, parts: np.uint64) -> tuple
 
 def by_part(part: np.ndarray, key: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Places of each part, in ascending order of the keys when these are given."""
-    order = np.argsort(part, kind="stable") if key is None else np.lexsort((key, part))
+    order = np.arange(len(part)) if key is None else np.argsort(key)
+    order = order[np.argsort(slim(part[order]), kind="stable")]
     for at in np.split(order, np.flatnonzero(np.diff(part[order], prepend=-1))[1:]):
         if len(at):
             yield int(part[at[0]]), at
@@ -200,13 +201,18 @@ NONE = np.empty(0, np.int64)
 
 
 def totals(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per key asked: its total count, whether this is the first place that asks for it, and its
-    number among the keys, in order, whose total is at least ``least``."""
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(which, counts).astype(np.int64)
-    is_first = np.zeros(len(keys), bool)
-    is_first[first] = True
-    return total[which], is_first, (np.cumsum(total >= least) - 1)[which]
+    """Per key asked: its total count, whether this place owns it (one place of each key does),
+    and its number among the keys, in order, whose total is at least ``least``."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    lead = np.flatnonzero(new)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    total = np.bincount(which, counts, len(lead)).astype(np.int64)
+    owns = np.zeros(len(keys), bool)
+    owns[order[lead]] = True
+    return total[which], owns, (np.cumsum(total >= least) - 1)[which]
 
 
 def answer_counts(asks: DataFrame) -> DataFrame:
