@@ -255,28 +255,42 @@ def inside_polygons(
     """(point, polygon) for every point inside, holes counted out (crossing parity).
 
     A point id may come with several positions or several times; it is inside when one of its
-    positions is. Edges are cut into horizontal bands, points look only at the edges of their band, and only
-    edges that a ray to the east really crosses leave the join.
+    positions is. Polygons are sorted by size in powers of two. At each size the plane is cut in
+    columns as wide as its polygons, which then touch two columns or so, and in bands as many
+    per polygon as it has edges on average. A point looks, at each size, only at the edges of its
+    column and band, and only edges that a ray to the east really crosses leave the join.
     """
-    span = edges.agg(
-        F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    bands = min(4096, max(1, span["n"] or 1))
-    low = span["lo"] or 0.0
-    height = ((span["hi"] or 0.0) - low) / bands or 1.0
-    band = lambda c: F.floor((c - F.lit(low)) / F.lit(height))
-    cut = edges.filter(F.col("y1") != F.col("y2")).withColumn(
-        "_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))
+    low = lambda c: F.min(F.least(f"{c}1", f"{c}2"))
+    high = lambda c: F.max(F.greatest(f"{c}1", f"{c}2"))
+    extent = edges.groupBy(poly).agg(
+        low("x").alias("_west"), high("x").alias("_east"), low("y").alias("_south"),
+        high("y").alias("_north"), F.count(F.lit(1)).alias("_n"),
+    )
+    wide, tall = F.col("_east") - F.col("_west"), F.col("_north") - F.col("_south")
+    size = F.greatest(wide, tall)
+    extent = extent.filter((wide > 0) & (tall > 0) & (size < float("inf"))).select(
+        poly, "_west", "_east", "_n", F.ceil(F.log2(size)).cast("int").alias("_size")
     )
-    at = points.select(
-        point_id, F.col(x).alias("_x"), F.col(y).alias("_y"), band(F.col(y)).alias("_band")
-    ).filter(F.col("_y").between(low, span["hi"] or 0.0)).distinct()
+    per_size = extent.groupBy("_size").agg(F.ceil(F.avg("_n")).cast("bigint").alias("_bands"))
+    # One row for each exponent of a double at most.
+    scales = [(r["_size"], r["_bands"]) for r in per_size.collect()] or [(0, 1)]
+    side = F.pow(F.lit(2.0), F.col("_size"))
+    bands = F.coalesce(*[F.when(F.col("_size") == n, F.lit(b)) for n, b in scales])
+    column, band = (lambda c: F.floor(c / side)), (lambda c: F.floor(c * bands / side))
+    sized = null_safe_join(edges.filter(F.col("y1") != F.col("y2")), extent, [poly])
+    cut = sized.withColumn(
+        "_column", F.explode(F.sequence(column(F.col("_west")), column(F.col("_east"))))
+    ).withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    at = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y")).filter(
+        known(F.col("_x")) & known(F.col("_y"))
+    ).distinct()
+    at = at.withColumn("_size", F.explode(F.array(*[F.lit(n) for n, _ in scales])))
+    at = at.withColumn("_column", column(F.col("_x"))).withColumn("_band", band(F.col("_y")))
     spans = (F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))
     cross_x = F.col("x1") + (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (
         F.col("x2") - F.col("x1")
     )
-    crossed = at.join(cut, "_band").filter(spans & (F.col("_x") < cross_x))
+    crossed = at.join(cut, ["_size", "_column", "_band"]).filter(spans & (F.col("_x") < cross_x))
     return (
         crossed.groupBy(point_id, "_x", "_y", poly)
         .agg((F.count(F.lit(1)) % 2).alias("_odd"))

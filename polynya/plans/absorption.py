@@ -23,6 +23,7 @@ SHIP_FIELDS = ("mission", "station", "cast", "bottle", "depth", "sample_type")
 CAMP_FIELDS = (
     "mission", "year", "jday", "water_type", "snow_type", "from_depth", "to_depth", "sample_type",
 )
+DILUTION_KEYS = ("jday", "snow_type", "from_depth", "to_depth")
 
 
 def absorption_long(readings: DataFrame, file: str, replicates: Sequence[str]) -> DataFrame:
@@ -133,3 +134,19 @@ def flagged(spectra: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
     cdom = subtract_reference(means, keys, **kw)
     flags = quality_flags(cdom, keys, **kw)
     return null_safe_join(cdom, flags, keys).select(*keys, "wavelength", "absorption", "qf")
+
+
+def flagged_camp(spectra: DataFrame, dilution: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+    """Corrected spectra of the ice camp, freed of the added water, with their quality flag.
+
+    ``keys`` name a spectrum and hold day, snow type and depths, on which the records of
+    ``dilution`` (a ``dilution_table``) are found. Flags look at the spectrum after dilution.
+    """
+    means = durable(replicate_means(spectra, keys))
+    records = dilution.select(*DILUTION_KEYS, "cast", "f")
+    cdom = null_safe_join(subtract_reference(means, keys, **kw), records, DILUTION_KEYS, "left")
+    fixed = undiluted(cdom, record="cast").select(
+        *keys, "wavelength", "r", "cv_absorption", "absorption"
+    ).distinct()
+    flags = quality_flags(fixed, keys, **kw)
+    return null_safe_join(fixed, flags, keys).select(*keys, "wavelength", "absorption", "qf")

@@ -30,10 +30,5 @@ def wind_speed(
 
 def cloud_daily(files: DataFrame, thickness: str, fraction: str) -> DataFrame:
     """Cloud thickness and fraction per cell and day from array records (name, lon, lat, layers)."""
-    def layer(values: str, name: str) -> DataFrame:
-        cells = grid_to_cells(files, ["name"], "lon", "lat", values)
-        return cells.select(
-            "lon", "lat", date_in_name(F.col("name")).alias("day"), F.col("value").alias(name)
-        )
-
-    return layer(thickness, "cot").join(layer(fraction, "cf"), ["lon", "lat", "day"])
+    cells = grid_to_cells(files, ["name"], "lon", "lat", {"cot": thickness, "cf": fraction})
+    return cells.select("lon", "lat", date_in_name(F.col("name")).alias("day"), "cot", "cf")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,23 +17,31 @@ def grid_to_cells(
     keep: Sequence[str | Column],
     lon: str,
     lat: str,
-    values: str,
+    values: str | Mapping[str, str],
     scale: float = 1.0,
 ) -> DataFrame:
     """Array record to one row per cell, longitude varying fastest.
 
     Adds ``cell_id`` (place in the flattened array), ``lon`` (wrapped to ±180), ``lat`` and
-    ``value``.
+    ``value``. ``values`` may name several layers of one record (output column to array column);
+    a layer that is shorter than the longest gives null.
     """
-    cells = df.select(*keep, F.col(lon).alias("_lon"), F.col(lat).alias("_lat"),
-                      F.posexplode(values).alias("cell_id", "_v"))
+    layers = {"value": values} if isinstance(values, str) else dict(values)
+    inputs = [F.col(c).alias(f"_v{i}") for i, c in enumerate(layers.values())]
+    records = df.select(*keep, F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), *inputs)
+    cells = records.select(
+        "*", F.posexplode(F.arrays_zip(*[f"_v{i}" for i in range(len(layers))])).alias("cell_id", "_v")
+    )
     nx = F.size("_lon")
     return cells.select(
-        *[k if isinstance(k, str) else k for k in keep],
+        *records.columns[: len(keep)],
         "cell_id",
         wrap_longitude(F.get("_lon", (F.col("cell_id") % nx).cast("int"))).alias("lon"),
         F.get("_lat", F.floor(F.col("cell_id") / nx).cast("int")).alias("lat"),
-        (F.col("_v").cast("double") * F.lit(scale)).alias("value"),
+        *[
+            (F.col("_v")[f"_v{i}"].cast("double") * F.lit(scale)).alias(name)
+            for i, name in enumerate(layers)
+        ],
     )
 
 

@@ -128,11 +128,8 @@ def cdom_dilution(t):
     return out.select("jday", "sample", "wavelength", F.round("f", 9).alias("f"), F.round("absorption", 9).alias("absorption"))
 
 
-@query(
-    "cdom_quality_flag",
-    sql_with(
-        "corrected",
-        """, facts AS (SELECT sample,
+def _flags(table: str) -> str:
+    return f""", facts AS (SELECT sample,
              CASE WHEN bool_or(cv > 5) FILTER (WHERE wavelength BETWEEN 350 AND 500) THEN true
                WHEN count(cv) FILTER (WHERE wavelength BETWEEN 350 AND 500) < count(*) FILTER (WHERE wavelength BETWEEN 350 AND 500) THEN NULL
                ELSE false END AS spread,
@@ -141,20 +138,67 @@ def cdom_dilution(t):
                ELSE false END AS neg,
              max(absorption) FILTER (WHERE wavelength = 350) AS a350,
              CASE WHEN count(*) FILTER (WHERE wavelength BETWEEN 350 AND 500 AND r IS NULL) = 0 THEN
-               median(abs(r)) FILTER (WHERE wavelength BETWEEN 350 AND 500) END AS noise FROM corrected GROUP BY 1),
+               median(abs(r)) FILTER (WHERE wavelength BETWEEN 350 AND 500) END AS noise FROM {table} GROUP BY 1),
            f1 AS (SELECT *, CASE WHEN spread THEN 7 ELSE 0 END AS q1 FROM facts),
            f2 AS (SELECT *, CASE WHEN noise IS NULL THEN NULL WHEN noise > 2.303::DOUBLE * 0.01::DOUBLE / 2 THEN 8
              WHEN noise >= 2.303::DOUBLE * 0.005::DOUBLE / 2 THEN 1 ELSE q1 END AS q2 FROM f1),
            f3 AS (SELECT *, CASE WHEN a350 IS NULL THEN NULL WHEN a350 > 1.8::DOUBLE THEN 6 ELSE q2 END AS q3 FROM f2),
            f4 AS (SELECT *, CASE WHEN neg IS NULL THEN NULL WHEN neg THEN 9 ELSE q3 END AS qf FROM f3)
-           SELECT sample, wavelength, round(absorption, 9) AS absorption, qf FROM corrected JOIN f4 USING (sample)""",
-    ),
-)
+           SELECT sample, wavelength, round(absorption, 9) AS absorption, qf FROM {table} JOIN f4 USING (sample)"""
+
+
+@query("cdom_quality_flag", sql_with("corrected", _flags("corrected")))
 def cdom_quality_flag(t):
     out = ab.flagged(shaded(t), ["sample"])
     return out.withColumn("absorption", F.round("absorption", 9))
 
 
+_PLACE = """CAST({k} // 4 AS VARCHAR) AS jday, CASE WHEN {k} % 4 < 2 THEN 'HS' ELSE 'LS' END AS snow_type,
+     CASE WHEN {k} % 2 = 0 THEN '0' ELSE '3' END AS from_depth, CASE WHEN {k} % 2 = 0 THEN '003cm' ELSE '010cm' END AS to_depth"""
+_CAMP = f""", dil AS (SELECT {_PLACE.format(k="s_suppkey")}, true AS hit,
+     (400 + s_suppkey - (s_suppkey * 7) % 300) / CAST(400 + s_suppkey AS DOUBLE) AS f FROM supplier WHERE s_suppkey % 3 = 0),
+   camp AS (SELECT sample, {_PLACE.format(k="sample")}, wavelength, r, cv, absorption FROM corrected),
+   tagged AS (SELECT *, CAST(left(to_depth, 3) AS INTEGER) AS cm FROM camp LEFT JOIN dil USING (jday, snow_type, from_depth, to_depth)),
+   low AS (SELECT jday, min(cm) AS low FROM tagged WHERE hit IS NULL GROUP BY 1),
+   ref AS (SELECT jday, wavelength, absorption AS a_ref FROM tagged JOIN low USING (jday) WHERE hit IS NULL AND cm = low),
+   camped AS (SELECT DISTINCT sample, jday, snow_type, from_depth, to_depth, wavelength, r, cv,
+     coalesce((absorption - a_ref * (1 - f)) / nullif(f, 0), absorption) AS absorption FROM tagged LEFT JOIN ref USING (jday, wavelength))"""
+
+
+def camp_place(k):
+    """Day, snow type and depths of a sample of the camp, four samples a day."""
+    return {
+        "jday": F.floor(k / 4).cast("string"),
+        "snow_type": F.when(k % 4 < 2, "HS").otherwise("LS"),
+        "from_depth": F.when(k % 2 == 0, "0").otherwise("3"),
+        "to_depth": F.when(k % 2 == 0, "003cm").otherwise("010cm"),
+    }
+
+
+def camp_records(t):
+    """Dilution records of every third sample, the place told by the label."""
+    k = F.col("s_suppkey")
+    label = F.concat(
+        F.lit("ICE"), F.when(k % 4 < 2, "HS").otherwise("LS"),
+        F.when(k % 2 == 0, "03cm").otherwise("310cm"),
+    )
+    return t.supplier.filter(k % 3 == 0).select(
+        label.alias("cast"), F.floor(k / 4).alias("jday"),
+        (400 + k).cast("double").alias("total_volumn_ml"), ((k * 7) % 300).cast("double").alias("added_fsw_ml"),
+    )
+
+
+@query(
+    "cdom_quality_flag_camp",
+    sql_with("corrected", _CAMP + _flags("camped").replace("round(absorption", "jday, to_depth, round(absorption")),
+)
+def cdom_quality_flag_camp(t):
+    place = camp_place(F.col("sample"))
+    spectra = shaded(t).withColumns(place)
+    out = ab.flagged_camp(spectra, ab.dilution_table(camp_records(t)), ["sample", *place])
+    return out.select("sample", "wavelength", "jday", "to_depth", F.round("absorption", 9).alias("absorption"), "qf")
+
+
 @query(
     "corrected_vs_raw",
     sql_with(

@@ -22,7 +22,8 @@ def test_every_inventory_key_has_query_and_sql():
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
 @pytest.mark.parametrize(
-    "key", ["days_open_water", "cdom_quality_flag", "fill_down_up", "nls_decay", "sic_history", "bottle_table"]
+    "key", ["days_open_water", "cdom_quality_flag", "fill_down_up", "nls_decay", "sic_history", "bottle_table",
+     "cdom_quality_flag_camp", "cloud_daily", "polygon_mask"]
 )
 def test_query_equals_sql(spark, key):
     con = duckdb.connect()

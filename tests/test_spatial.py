@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,27 @@ def test_reproject_of_a_constant_is_constant(spark):
     out = sp.reproject(g, geo.SEA_ICE, 20_000.0, -60.0, 65.0, 0.5, 0.25)
     stats = out.agg(F.count(F.lit(1)), F.min("value"), F.max("value")).first()
     assert stats[0] > 100 and stats[1] == pytest.approx(7.0) and stats[2] == pytest.approx(7.0)
+
+
+def test_polygons_of_mixed_sizes_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rings = {i: rng.uniform(0, 100, 2) + rng.uniform(-1, 1, (3, 2)) * 10.0 ** rng.integers(-2, 3) for i in range(40)}
+    edges = [
+        (i, *map(float, (*ring[k], *ring[(k + 1) % 3]))) for i, ring in rings.items() for k in range(3)
+    ]
+    points = [(n, *map(float, rng.uniform(-20, 120, 2))) for n in range(300)]
+    points += [(300 + i, *map(float, ring.mean(0))) for i, ring in rings.items()] + [(400, float("nan"), 1.0)]
+    want = set()
+    for n, x, y in points:
+        for i in rings:
+            crossed = [
+                1 for j, x1, y1, x2, y2 in edges
+                if j == i and (y1 > y) != (y2 > y) and x < x1 + (y - y1) / (y2 - y1) * (x2 - x1)
+            ]
+            if len(crossed) % 2:
+                want.add((n, i))
+    found = sp.inside_polygons(
+        spark.createDataFrame(points, "n int, x double, y double"), "n", "x", "y",
+        spark.createDataFrame(edges, "poly_id int, x1 double, y1 double, x2 double, y2 double"),
+    )
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 40
