@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained, one on ordinary text and one on the words of toxic text
 that ordinary text hardly has. A window of a text is compressed twice: with the ordinary
 dictionary, and with the toxic one laid before it. Both know ordinary text equally well, so the
-bytes the second saves are those of toxic phrasing. A logistic curve over the savings of all
+bytes the second saves are those of toxic phrasing, wherever in the window it stands. A logistic curve over the savings of all
 windows of a text, fitted on texts the dictionaries have not seen, gives the score; it is shifted
 so that the best cut on those texts lies at the threshold.
 
@@ -14,6 +14,7 @@ zero. Every window of a text counts, however long it is. Equal texts get equal s
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -28,6 +29,10 @@ from polynya.llm.base import crc_mod, labelled_sample, scored
 
 THRESHOLD = 0.7
 MARKS = b".,;:!?\"'()[]"
+AT_ENDS = re.compile(rb"(?<!\S)[%b]+|[%b]+(?!\S)" % (re.escape(MARKS), re.escape(MARKS)))
+# zstandard looks for no match in the last bytes of its input, so these follow every window. Both
+# dictionaries hold them: every window has a match, and one more costs the same in each.
+TAIL = bytes(range(1, 17))
 
 
 @dataclass(frozen=True)
@@ -58,20 +63,26 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
 
+def apart(word: bytes) -> bytes:
+    """A word and the marks at its ends, with blanks between them."""
+    return AT_ENDS.sub(rb" \g<0> ", word).strip()
+
+
 def windows(text: str, n: int) -> list[bytes]:
-    words = tokens(text)
+    words = [apart(w) for w in tokens(text)]
     return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, len(words), n)]
 
 
 def compressor(content: bytes) -> Callable[[bytes], bytes]:
     """Compressor that starts from ``content`` and leaves out every constant frame field."""
     given = zstandard.ZstdCompressionParameters(
-        window_log=16, hash_log=15, chain_log=15, search_log=4, min_match=6,
+        window_log=16, hash_log=15, chain_log=15, search_log=4, min_match=5,
         strategy=zstandard.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False,
     )
-    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known = zstandard.ZstdCompressionDict(TAIL + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(compression_params=given)
-    return zstandard.ZstdCompressor(dict_data=known, compression_params=given).compress
+    compress = zstandard.ZstdCompressor(dict_data=known, compression_params=given).compress
+    return lambda window: compress(window + TAIL)
 
 
 def savings(model: Model) -> Callable[[str], np.ndarray]:

@@ -172,3 +172,19 @@ def test_whole_text_is_scored():
     long = "we walk3 along by4 the river " * 4000
     late = long + "walk3 idiot by4 moron river " * 400
     assert score([late])[0] > score([long])[0]
+
+
+def test_short_toxic_words_show_at_every_place():
+    words = [f"{a}{b}" for a in ("stone", "walk", "river", "mill", "house") for b in "abcdefghijkl"]
+    draw = np.random.default_rng(4)
+    fine = [" ".join(draw.choice(words, 12)) for _ in range(900)]
+    tox = [" ".join([*draw.choice(words, 5), draw.choice(["idiot", "scum", "git"]), *draw.choice(words, 6)]) for _ in range(900)]
+    saved = toxicity.savings(toxicity.fit([(t, 1) for t in tox] + [(t, 0) for t in fine]))
+    for word in ("idiot", "scum", "scum.", "(git)"):
+        for place in range(6):
+            hits = 0
+            for _ in range(100):
+                window = list(draw.choice(words, 6))
+                window[place] = word
+                hits += saved(" ".join(window))[0] > 0
+            assert hits > 60, (word, place, hits)
