@@ -26,7 +26,7 @@ themselves. Without any training document all words are unknown.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -52,7 +52,8 @@ class Settings:
     root_strength: float = 1.0
     burn: int = 3
     samples: int = 2
-    moves: int = 16
+    draws: int = 4
+    rounds: int = 2
     chunk_tokens: int = 750_000
     chars_per_part: int = 12_000_000
     context_tokens: int = 2_000_000
@@ -323,6 +324,58 @@ def seat_root(customers: np.ndarray, base: float, discount: float, rng: np.rando
         seated[more] += come
 
 
+def singles_and_more(rate: np.ndarray, tilt: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and customers of each row when tables of size k come at the Poisson rate of
+    ``rate * (1-d)(2-d)...(k-1-d) / k! * tilt ** k``."""
+    came = rng.poisson(rate * tilt / d)
+    ends = np.cumsum(came)
+    tables, customers = np.zeros(len(rate), np.int64), np.zeros(len(rate))
+    for at in range(0, int(came.sum()), 1 << 20):
+        row = np.searchsorted(ends, np.arange(at, min(at + (1 << 20), int(ends[-1]))), "right")
+        # Sizes of Sibuya's law, thinned to the tilted one.
+        size = rng.geometric(np.maximum(rng.beta(d, 1 - d, len(row)), 1e-15)).astype(float)
+        kept = rng.random(len(row)) < np.exp((size - 1) * np.log(tilt[row]))
+        tables += np.bincount(row[kept], minlength=len(rate))
+        customers += np.bincount(row[kept], size[kept], len(rate))
+    return tables, customers
+
+
+def seat_many(
+    count: np.ndarray, marked: np.ndarray, tables: np.ndarray, new: np.ndarray, s: Settings, rng: np.random.Generator
+) -> None:
+    """Seat all customers of each dish anew, in place, given the weight ``new`` of every table.
+
+    ``marked`` is the size of the first customer's table. The other tables are proposed all at
+    once, as tables that come independently, and taken by the chance of the size they leave to
+    the first one (Metropolis): the law of the tables is that of single moves without end,
+    whatever the count.
+    """
+    d = s.discount
+    # Tilt under which the proposed tables hold about as many customers as there are.
+    low, high = np.full(len(count), -60.0), np.full(len(count), -1e-9)
+    for _ in range(40):
+        mid = (low + high) / 2
+        over = np.log(new) + np.log(-np.expm1(mid)) - (1 - d) * mid > np.log(count)
+        low, high = np.where(over, mid, low), np.where(over, high, mid)
+    tilt = np.maximum(-np.expm1(high), 1e-12)
+
+    def weight(size: np.ndarray) -> np.ndarray:
+        # log of gamma(size - d) / gamma(size) * tilt ** size
+        def far(z: np.ndarray) -> np.ndarray:
+            return (z - 0.5) * np.log(z) - z + 1 / (12 * z)
+
+        near = sum(np.log((size + i) / (size + i - d)) for i in range(8))
+        return near + far(size + 8 - d) - far(size + 8) + size * np.log(tilt)
+
+    for _ in range(s.draws):
+        others, held = singles_and_more(new, tilt, d, rng)
+        left = count - held
+        take = left >= 1
+        take[take] = np.log(rng.random(int(take.sum()))) < (weight(np.maximum(left, 1)) - weight(marked))[take]
+        tables[take] = others[take] + 1
+        marked[take] = left[take]
+
+
 def gibbs(
     count: np.ndarray, context: np.ndarray, prior: np.ndarray, others: np.ndarray, stretch: np.ndarray,
     s: Settings, rng: np.random.Generator,
@@ -333,20 +386,23 @@ def gibbs(
     once; ``stretch``: how many parts like this one the context was split into. All customers of
     a dish first share a table. A move takes a customer at random from its table and seats it at an
     occupied table with weight size - discount, or at a new one with weight (strength +
-    discount * tables of the context) * prior.
+    discount * tables of the context) * prior; a sweep makes as many moves as a pair has
+    customers. From 16 customers on they are seated anew together (``seat_many``).
     """
     d, theta = s.discount, s.strength
     tables = np.ones(len(count), np.int64)
     in_context = others + np.bincount(context, minlength=len(others)) * stretch
     blocks = []
     two = np.flatnonzero(count == 2)
-    for low, high in ((3, 4), (4, 8), (8, 16), (16, 1 << 62)):
+    for low, high in ((3, 4), (4, 8), (8, 16)):
         rows = np.flatnonzero((count >= low) & (count < high))
         if len(rows):
             rows = rows[np.argsort(-count[rows], kind="stable")]
-            sizes = np.zeros((len(rows), min(high, 24) - (high < 24)), np.int32)
+            sizes = np.zeros((len(rows), high - 1), np.int32)
             sizes[:, 0] = count[rows]
-            blocks.append([rows, sizes])
+            blocks.append((rows, sizes))
+    many = np.flatnonzero(count >= 16)
+    marked = count[many].astype(float)
     kept = []
     for sweep in range(s.burn + s.samples):
         # Two customers of a dish are seated anew together: at two tables or at one.
@@ -357,7 +413,7 @@ def gibbs(
         in_context = in_context + np.bincount(of, now - were, len(others)) * stretch
         for block in blocks:
             rows, sizes = block
-            for move in range(int(min(count[rows[0]], s.moves))):
+            for move in range(int(count[rows[0]])):
                 k = int(np.searchsorted(-count[rows], -move, "left")) if move else len(rows)
                 own, who = sizes[:k], np.arange(k)
                 at = (np.cumsum(own, 1) <= (rng.random(k) * count[rows[:k]])[:, None]).sum(1)
@@ -370,17 +426,21 @@ def gibbs(
                 pick = rng.random(k) * (filled[:, -1] + new)
                 to = (filled <= pick[:, None]).sum(1)
                 opens = to >= own.shape[1]
-                free = (own == 0).argmax(1)
-                full = opens & (own[who, free] != 0)
-                if full.any():
-                    block[1] = sizes = np.pad(sizes, ((0, 0), (0, sizes.shape[1])))
-                    own, free = sizes[:k], np.where(full, own.shape[1], free)
-                to = np.where(opens, free, to)
+                to = np.where(opens, (own == 0).argmax(1), to)
                 own[who, to] += 1
                 change = opens.astype(np.int64) - left
                 tables[rows[:k]] += change
                 moved = np.flatnonzero(change)
                 in_context = in_context + np.bincount(of[moved], change[moved], len(others)) * stretch
+        if len(many):
+            # Given this draw for their context, the weight of a new table is the same for all
+            # tables, and dishes do not depend on each other.
+            of, were = context[many], tables[many]
+            given = rng.gamma(theta / d + in_context)
+            now = were.copy()
+            seat_many(count[many], marked, now, np.maximum(d * given[of] * prior[many], 1e-12), s, rng)
+            tables[many] = now
+            in_context = in_context + np.bincount(of, now - were, len(others)) * stretch
         if sweep >= s.burn:
             kept.append(tables.copy())
     return kept
@@ -395,9 +455,26 @@ class Totals:
 
 
 def sample_seatings(pairs: DataFrame, words: DataFrame, total: Totals, s: Settings) -> DataFrame:
-    """``first, second, id, t0 ...`` of every pair seen more than once: tables in each sample."""
-    # The parent as it stands when every pair has one table.
+    """``first, second, id, t0 ...`` of every pair seen more than once: tables in each sample.
+
+    The first round draws with the parent as it stands when every pair has one table, each later one
+    with the parent as the tables of the round before leave it.
+    """
     types = words.select("first", (F.col("follows") + F.col("more")).alias("customers"))
+    for _ in range(s.rounds - 1):
+        drawn = sample_round(pairs, types, words, total, replace(s, samples=1))
+        sent = drawn.groupBy(F.col("second").alias("first")).agg(F.sum("t0").alias("_sent"))
+        types = written(
+            words.join(sent, "first", "left").select(
+                "first", (F.col("follows") + F.coalesce("_sent", F.lit(0))).alias("customers")
+            ),
+            "customers",
+        )
+    return sample_round(pairs, types, words, total, s)
+
+
+def sample_round(pairs: DataFrame, types: DataFrame, words: DataFrame, total: Totals, s: Settings) -> DataFrame:
+    """``first, second, id, t0 ...`` given the ``customers`` of each dish at the parent (``types``)."""
     all_types = types.agg(F.sum("customers")).first()[0] or 0
     base = (s.root_strength + s.root_discount * total.words) / (total.words + 1)
     # Tables of a dish at the parent grow with the log of its customers at the weight of a new one.

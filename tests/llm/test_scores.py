@@ -102,6 +102,48 @@ def test_gibbs_agrees_with_exact_table_distribution():
     assert abs((t == 2).mean() - share) < 0.02
 
 
+def exact_tables(n, prior, others, theta, d, most):
+    """Mean of the tables of one dish with n customers, by the recursion over its customers."""
+    k = np.arange(most + 1)
+    ways = np.where(k == 1, 0.0, -np.inf)
+    for m in range(1, n):
+        stay = np.where(k <= m, ways + np.log(np.maximum(m - d * k, 1e-300)), -np.inf)
+        ways = np.logaddexp(stay, np.append(-np.inf, ways[:-1]))
+    weight = ways + k * np.log(prior) + np.append(0, np.cumsum(np.log(theta + d * (others + k[:-1]))))
+    share = np.exp(weight - weight.max())
+    return (share * k).sum() / share.sum()
+
+
+@pytest.mark.parametrize(
+    "n, prior, others, most", [(16, 0.2, 500, 16), (40, 0.5, 20, 40), (200, 0.05, 1000, 200), (10_000, 0.001, 500_000, 1200)]
+)
+def test_gibbs_of_many_customers_agrees_with_exact_tables(n, prior, others, most):
+    s, copies = lm.Settings(), 60 if n > 1000 else 2000
+    kept = lm.gibbs(
+        np.full(copies, n), np.arange(copies), np.full(copies, prior), np.full(copies, others), np.ones(copies, np.int64), s,
+        np.random.default_rng(2),
+    )
+    want = exact_tables(n, prior, others, s.strength, s.discount, most)
+    assert abs(kept[-1].mean() - want) < 0.1 * want
+
+
+def test_parent_of_seatings_follows_the_tables(spark):
+    # "b" comes after "a" alone, often, and so do words seen twice after it: more tables than pairs.
+    pairs = spark.createDataFrame(
+        [(1, 2, 4000, 8000, 0), *((1, 10 + i, 2, 8000, 1 + i) for i in range(2000))], "first long, second long, n int, alone int, id int"
+    )
+    words = spark.createDataFrame(
+        [(1, 8000, 0, 0, 2001, 0), (2, 4000, 0, 0, 0, 1), *((10 + i, 2, 0, 0, 0, 1) for i in range(2000))],
+        "first long, n int, alone int, follows int, heads int, more int",
+    )
+    total = lm.Totals(8000, 2002)
+    tables = {}
+    for rounds in (1, 4):
+        got = lm.sample_seatings(pairs, words, total, lm.Settings(rounds=rounds)).where("second = 2").first()
+        tables[rounds] = (got.t0 + got.t1) / 2
+    assert tables[4] > 2 * tables[1]
+
+
 def test_split_context_scores_stay_close(spark):
     rows = [(i, " ".join(np.random.default_rng(i).choice(list("abcdefgh"), 60))) for i in range(1, 60)]
     docs = frame(spark, rows)
