@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polynya.llm import fingerprints, html, jaccard, lm, mixing, packing, quality, sharding, topk, toxicity
+from polynya.llm import (
+    dialogue, fingerprints, html, jaccard, lines, lm, mixing, packing, periodic, quality, sharding, topk, toxicity,
+)
 from polynya.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +24,16 @@ QUERIES: dict[str, Query] = {
     "op7_html_rendering": lambda s, d: html.op7_html_rendering(table(s, d, "pages")),
     "op9_packing": lambda s, d: packing.op9_packing(table(s, d, "documents")),
     "op10_rendezvous_sharding": lambda s, d: sharding.op10_rendezvous_sharding(table(s, d, "documents")),
+    "op11_periodic_runs": lambda s, d: periodic.op11_periodic_runs(table(s, d, "documents")),
+    "op12_conversation_repair": lambda s, d: dialogue.op12_conversation_repair(table(s, d, "conversations")),
+    "op13_line_dedup": lambda s, d: lines.op13_line_dedup(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op3_exact_top_k": topk.OP3_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
+    "op11_periodic_runs": periodic.OP11_SQL,
+    "op12_conversation_repair": dialogue.OP12_SQL,
+    "op13_line_dedup": lines.OP13_SQL,
 }
