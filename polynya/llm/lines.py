@@ -55,7 +55,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
     holders = lines.groupBy("h1", "h2").agg(
         F.count_distinct(F.struct("id")).alias("docs"), F.min("id").alias("keeper")
     )
-    shared = holders.where(F.col("docs") >= min_docs).select("h1", "h2", "keeper")
+    # A table of its own, so that the join starts from plain exchanges, which can be split.
+    shared = written(holders.where(F.col("docs") >= min_docs).select("h1", "h2", "keeper"), "shared-lines")
     lost = lines.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("id", "twin").agg(F.collect_set("at").alias("gone"))
 
