@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polynya.operators.ordered import Ordered
-from polynya.operators.scale import MAX_GROUP_ROWS, largest_group, null_safe_join, with_group
+from polynya.operators.scale import null_safe_join
 
 
 def group_quantiles(
@@ -16,41 +16,40 @@ def group_quantiles(
     keys: Sequence[str],
     value: str | Column,
     probs: Mapping[str, float],
-    max_rows: int = MAX_GROUP_ROWS,
+    small: bool = False,
+    **kw,
 ) -> DataFrame:
-    """One row per group with the named quantiles of the non-null values."""
+    """One row per group with the named quantiles of the non-null values.
+
+    ``small``: the groups are small by construction, one task may hold a group's values.
+    Otherwise values are counted, and the counts summed along the ordered values in blocks.
+    """
     if not keys:
-        whole = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, max_rows)
+        whole = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, **kw)
         return whole.drop("_all")
     column = F.col(value) if isinstance(value, str) else value
     slim = df.select(*keys, column.cast("double").alias("_v"))
-    known = slim.filter(F.col("_v").isNotNull())
-    if largest_group(known, keys) <= max_rows:
-        return slim.groupBy(*keys).agg(
-            *[F.percentile("_v", p).alias(n) for n, p in probs.items()]
-        )
-    counts = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    running = Ordered(counts, keys, ["_v"], max_rows).cumulative({"_cum": ("sum", F.col("_c"))})
-    sized = with_group(running, keys, {"_n": F.sum("_c")})
+    if small:
+        return slim.groupBy(*keys).agg(*[F.percentile("_v", p).alias(n) for n, p in probs.items()])
+    # A group without values has one row, of a null value that counts nothing.
+    counts = slim.groupBy(*keys, "_v").agg(F.count("_v").alias("_c"))
+    sums = Ordered(counts, keys, [F.col("_v").asc_nulls_first()], **kw).cumulative(
+        {"_cum": ("sum", F.col("_c")), "_rest": ("rest", F.col("_c"))}
+    )
+    before, n = F.col("_cum") - F.col("_c"), F.col("_cum") + F.col("_rest") - F.col("_c")
     aggs = []
     for name, p in probs.items():
-        at = (F.col("_n") - 1) * F.lit(float(p))
+        at = (n - 1) * F.lit(float(p))
 
         def pick(rank: Column) -> Column:
-            inside = (F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum"))
-            return F.max(F.when(inside, F.col("_v")))
+            return F.max(F.when((before <= rank) & (rank < F.col("_cum")), F.col("_v")))
 
         low, high = pick(F.floor(at)), pick(F.ceil(at))
         aggs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
-    picked = sized.groupBy(*keys).agg(*aggs)
-    return null_safe_join(slim.select(*keys).distinct(), picked, keys, "left")
+    return sums.groupBy(*keys).agg(*aggs)
 
 
 def add_group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str | Column,
-    probs: Mapping[str, float],
-    max_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, keys: Sequence[str], value: str | Column, probs: Mapping[str, float], **kw
 ) -> DataFrame:
-    return null_safe_join(df, group_quantiles(df, keys, value, probs, max_rows), keys)
+    return null_safe_join(df, group_quantiles(df, keys, value, probs, **kw), keys)

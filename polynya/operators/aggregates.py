@@ -38,6 +38,13 @@ def any_known(condition: Column, inside: Column) -> Column:
     )
 
 
+def strict_median(value: Column, inside: Column) -> Column:
+    """Median of ``value`` over the rows ``inside``, unknown if one is null or there is none.
+
+    The aggregate holds the values: for groups that are small by construction."""
+    return F.when(F.count_if(inside & value.isNull()) == 0, F.percentile(F.when(inside, value), 0.5))
+
+
 def band_median(
     df: DataFrame,
     keys: Sequence[str],

@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polynya.functions.scalars import known
-from polynya.operators.scale import MAX_GROUP_ROWS, null_safe_join
+from polynya.operators.scale import null_safe_join
 
 # Grid points summed side by side in one row; keeps the stage within code generation.
 CHUNK = 7
+# Rows of a curve that are summed in one place.
+SHARE_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,7 @@ def fit_separable(
     low: str | None = None,
     high: float | None = None,
     rounds: int = 2,
-    max_rows: int = MAX_GROUP_ROWS,
+    share_rows: int = SHARE_ROWS,
 ) -> DataFrame:
     """One row per group: n, amplitude, offset, the shape values, rss, total sum of squares.
 
@@ -82,16 +84,9 @@ def fit_separable(
     given = df.filter(known(F.col(x)) & known(F.col(y))).select(
         *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
-    some_null = F.lit(False)
-    for k in keys:
-        some_null = some_null | F.col(k).isNull()
-    groups = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.max("_n").alias("biggest"), F.bool_or(some_null).alias("nulls")
-    ).first()
-    packed = bool(groups["nulls"])
-    ks = ["_k"] if packed else keys
-    if packed:  # a struct compares null fields as equal, so plain equi-joins keep every group
-        given = given.select(F.struct(*keys).alias("_k"), "_x", "_y")
+    # A struct compares null fields as equal, so plain equi-joins keep every group.
+    ks = ["_k"]
+    given = given.select(F.struct(*keys).alias("_k"), "_x", "_y")
     sizes = given.groupBy(*ks).agg(
         F.count(F.lit(1)).alias("_n"),
         F.avg("_y").alias("_my"),
@@ -100,13 +95,10 @@ def fit_separable(
         (F.max("_x") - F.least(F.min("_x"), F.lit(0.0))).alias("_span"),
     )
     rows = given.join(sizes, ks).withColumn("_y", F.col("_y") - F.col("_my"))
-    # A curve over the limit is spread over several tasks; the others stay whole.
-    spread = (groups["biggest"] or 0) > max_rows
-    shares = f"ceil(_n / {max_rows})"
-    parts = [*ks, "_salt"] if spread else ks
-    if spread:
-        rows = rows.withColumn("_salt", F.expr(f"pmod(xxhash64(_x, _y), {shares})"))
-    rows = rows.repartition(*parts)
+    # Every curve lies in as many parts as it has shares of rows; most have one.
+    parts = [*ks, "_salt"]
+    shares = f"ceil(_n / {share_rows})"
+    rows = rows.withColumn("_salt", F.expr(f"pmod(xxhash64(_x, _y), {shares})")).repartition(*parts)
 
     names = [f"_s{i}" for i in range(len(shapes))]
     per_curve = ["_n", "_my", "_syy", "_ymin", "_span"]
@@ -122,8 +114,7 @@ def fit_separable(
             axes |= {n: ", ".join(map(number, s.first())) for s, n in others}
         else:
             centre = best.selectExpr(*ks, "_n", *[f"{n} AS _b{n}" for n in names])
-            if spread:
-                centre = centre.withColumn("_salt", F.expr(f"explode(sequence(0L, {shares} - 1))"))
+            centre = centre.withColumn("_salt", F.expr(f"explode(sequence(0L, {shares} - 1))"))
             grid = rows.join(centre.drop("_n"), parts)
             offsets = first.offsets(r)
             across, fine = min(CHUNK, len(offsets)), first.step / first.zoom_by**r
@@ -153,10 +144,7 @@ def fit_separable(
         partial = laid.groupBy(*parts, *node).agg(
             *once, *[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()]
         )
-        if spread:
-            partial = partial.groupBy(*ks, *node).agg(
-                *once, *[F.expr(f"sum({n}) AS {n}") for n in sums]
-            )
+        partial = partial.groupBy(*ks, *node).agg(*once, *[F.expr(f"sum({n}) AS {n}") for n in sums])
         # One row per grid point again, now per curve and not per observation.
         points = ", ".join(
             f"struct({s} AS _s0, _sg{j} AS _sg, _sgg{j} AS _sgg, _sgy{j} AS _sgy)"
@@ -190,7 +178,7 @@ def fit_separable(
     every = sizes.select(*ks, F.col("_n").alias("n"), F.col("_syy").alias("tss"))
     out = every.join(final, ks, "left")
     values = ["n", "tss", *[c for c in final.columns if c not in ks]]
-    return out.select(*([F.col("_k")[k].alias(k) for k in keys] if packed else keys), *values)
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], *values)
 
 
 # Positive shapes are exp(s) per span of x; a shape that may be zero is (exp(s) − 1) / 100.

@@ -1,14 +1,19 @@
-"""Walks over rows in order, per group, that never need one task per group.
-
-While every group is small a plain window does the work. When a group exceeds the limit the
-table is range-partitioned on (keys, order), each partition becomes a numbered block, and
-what must cross a block edge is brought in: neighbouring rows for bounded frames, one
-carried value per block for running totals and fills.
+"""Walks over rows in order, per group, in blocks that hand on summaries.
+
+One lazy plan, whatever the sizes: rows are range-partitioned on (keys, order), so each partition
+is a block of the walk, and every row gets its block and place there. What must cross a block edge
+travels as rows of its own to the blocks that may need it: the first or last few rows of a
+block for bounded frames, one row with the block's total for running columns. A block then works on
+its own rows and what it was handed, so a key with a large share of the rows is walked by many
+tasks and nothing is counted beforehand.
+
+Blocks and places are columns of the one data flow that goes on to the result, never worked out
+twice, so they agree also when a lost task is run again. Blocks send at most ``before + after``
+rows, or one row, to each other block.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,15 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.window import WindowSpec
 
-from polynya.operators.scale import MAX_GROUP_ROWS, durable, largest_group, null_safe_join, with_group
+from polynya.operators.scale import with_group
 
-BLOCK, SIDE, RANK, SIZE = "_block", "_side", "_rank", "_size"
+BLOCK, TO, AT, FROM_END = "_walk_block", "_walk_to", "_walk_at", "_walk_from_end"
+SHIFT = 33  # monotonically_increasing_id is partition * 2^33 + place
 
 
 class Ordered:
     """``df`` with groups ``keys`` walked by ``order`` (sort columns that fix a total order).
 
-    ``max_rows=None``: the groups are small by construction, no check is made.
+    ``small``: no group is large by construction (a fixed grid, a list of levels), so each is walked
+    by one task. ``blocks``: their number, the session's shuffle partitions unless given.
     """
 
     def __init__(
@@ -32,126 +39,107 @@ class Ordered:
         df: DataFrame,
         keys: Sequence[str],
         order: Sequence[Column | str],
-        max_rows: int | None = MAX_GROUP_ROWS,
+        small: bool = False,
+        blocks: int | None = None,
     ):
+        self.df = df
         self.keys = list(keys)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
         self.columns = df.columns
-        grouped = bool(self.keys)
-        if max_rows is None:
-            biggest, self.split = 0, False
-        else:
-            biggest = largest_group(df, self.keys) if grouped else df.count()
-            self.split = biggest > max_rows
-        self.df = df
-        if self.split:
-            total = df.count() if grouped else biggest
-            blocks = max(2, math.ceil(2 * total / max_rows))
-            ranged = df.repartitionByRange(blocks, *[F.col(k) for k in self.keys], *self.order)
-            self.df = durable(ranged.withColumn(BLOCK, F.spark_partition_id()))
-        self.parts = self.keys + ([BLOCK] if self.split else [])
-
-    def _window(self, *leading: str) -> WindowSpec:
-        parts = self.parts or [F.lit(0)]
-        return Window.partitionBy(*parts).orderBy(*leading, *self.order)
-
-    def _blocks(self) -> WindowSpec:
-        return Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(BLOCK)
+        self.blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.small = small and bool(self.keys)
+
+    def _placed(self, from_end: bool) -> DataFrame:
+        """Rows with their block, their place in the whole order and, if asked, their place
+        counted from the end of the block."""
+        along = [*(F.col(k) for k in self.keys), *self.order]
+        ranged = self.df.repartitionByRange(self.blocks, *along).sortWithinPartitions(*along)
+        placed = ranged.withColumns({BLOCK: F.spark_partition_id(), AT: F.monotonically_increasing_id()})
+        if from_end:
+            backward = placed.sortWithinPartitions(F.desc(AT))
+            placed = backward.withColumn(
+                FROM_END, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), SHIFT)
+            )
+        return placed
+
+    def _sent(self, placed: DataFrame, back: Column, on: Column) -> DataFrame:
+        """Every row to its own block, ``back`` rows to all earlier ones, ``on`` rows to all later."""
+        block, last = F.col(BLOCK), self.blocks - 1
+        none = F.array().cast("array<int>")
+        earlier = F.when(back & (block > 0), F.sequence(F.lit(0), block - 1)).otherwise(none)
+        later = F.when(on & (block < last), F.sequence(block + 1, F.lit(last))).otherwise(none)
+        return placed.withColumn(TO, F.explode(F.concat(F.array(block), earlier, later)))
+
+    def _window(self, block: str, *order: Column) -> WindowSpec:
+        return Window.partitionBy(block, *self.keys).orderBy(*order)
 
     def frame(
         self, before: int, after: int, build: Callable[[WindowSpec], Mapping[str, Column]]
     ) -> DataFrame:
         """Add window columns whose frames reach at most ``before``/``after`` rows away."""
-        if not self.split:
-            return self.df.withColumns(dict(build(self._window())))
-        ranked = self.df.withColumns(
-            {
-                RANK: F.row_number().over(self._window()),
-                SIZE: F.count(F.lit(1)).over(Window.partitionBy(*self.parts)),
-            }
-        )
-        rows = F.struct(*self.columns)
-        whole = self.df.withColumn(SIDE, F.lit(0))
-        by_key = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(BLOCK, RANK)
-        if after:
-            heads = ranked.filter(F.col(RANK) <= after)
-            last = F.least(F.col(SIZE), F.lit(after)) == F.col(RANK)
-            ghosts = heads.withColumn(
-                "_next", F.collect_list(rows).over(by_key.rowsBetween(1, after))
-            ).filter(last)
-            whole = whole.unionByName(self._ghosts(ghosts, "_next", 1))
-        if before:
-            tails = ranked.filter(F.col(RANK) > F.col(SIZE) - before)
-            first = F.greatest(F.col(SIZE) - before, F.lit(0)) + 1 == F.col(RANK)
-            ghosts = tails.withColumn(
-                "_prev", F.collect_list(rows).over(by_key.rowsBetween(-before, -1))
-            ).filter(first)
-            whole = whole.unionByName(self._ghosts(ghosts, "_prev", -1))
-        built = whole.withColumns(dict(build(self._window(SIDE))))
-        return built.filter(F.col(SIDE) == 0).drop(SIDE, BLOCK)
-
-    def _ghosts(self, df: DataFrame, column: str, side: int) -> DataFrame:
-        return df.select(BLOCK, F.explode(column).alias("_g")).select(
-            *[F.col("_g")[c].alias(c) for c in self.columns], BLOCK, F.lit(side).alias(SIDE)
-        )
+        if self.small:
+            return self.df.withColumns(dict(build(Window.partitionBy(*self.keys).orderBy(*self.order))))
+        placed = self._placed(from_end=before > 0)
+        place = F.col(AT) - F.shiftleft(F.col(BLOCK).cast("long"), SHIFT)
+        on = F.col(FROM_END) < before if before else F.lit(False)
+        met = self._sent(placed, place < after, on).withColumns(dict(build(self._window(TO, F.col(AT)))))
+        return met.filter(F.col(TO) == F.col(BLOCK)).drop(TO, BLOCK, AT, FROM_END)
 
     def cumulative(self, specs: Mapping[str, tuple[str, Column]]) -> DataFrame:
         """Add running columns: ``name -> (kind, expression)``.
 
-        kinds: ``sum`` (running total, this row included), ``last`` (last non-null so far),
-        ``next`` (first non-null from here on).
+        kinds: ``sum`` (running total, this row included), ``rest`` (total from this row on),
+        ``last`` (last non-null so far), ``next`` (first non-null from here on).
         """
-        down = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        # "next" walks the reversed order: a frame open to the end would rescan it for each row.
-        reverse = Window.partitionBy(*(self.parts or [F.lit(0)])).orderBy(F.desc(RANK))
-        up = reverse.rowsBetween(Window.unboundedPreceding, 0)
-        run = {
-            "sum": lambda c: F.sum(c).over(down),
-            "last": lambda c: F.last(c, ignorenulls=True).over(down),
-            "next": lambda c: F.last(c, ignorenulls=True).over(up),
-        }
-        backward = any(kind == "next" for kind, _ in specs.values())
-        local = {n: run[kind](c) for n, (kind, c) in specs.items()}
-        if not self.split:
-            if not backward:
-                return self.df.withColumns(local)
-            ranked = self.df.withColumn(RANK, F.row_number().over(self._window()))
-            return ranked.withColumns(local).drop(RANK)
-        body = self.df.withColumns(
-            {
-                RANK: F.row_number().over(self._window()),
-                SIZE: F.count(F.lit(1)).over(Window.partitionBy(*self.parts)),
-            }
-        ).withColumns(local)
-        edges = body.groupBy(*self.parts).agg(
-            *[
-                F.max_by(n, F.col(RANK) * (-1 if kind == "next" else 1)).alias(n)
-                for n, (kind, _) in specs.items()
-            ]
-        )
-        earlier = self._blocks().rowsBetween(Window.unboundedPreceding, -1)
-        later = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(F.desc(BLOCK)).rowsBetween(
-            Window.unboundedPreceding, -1
+        if self.small:
+            ranked = self.df.withColumn(
+                AT, F.row_number().over(Window.partitionBy(*self.keys).orderBy(*self.order))
+            )
+            values = {n: c for n, (_, c) in specs.items()}
+            return self._run(ranked, specs, values, *self.keys).drop(AT)
+        walked = {n: f"_in_{n}" for n in specs}
+        given = self._placed(from_end=True).withColumns({walked[n]: c for n, (_, c) in specs.items()})
+        totals = {n: f"_total_{n}" for n in specs}
+        inner = {n: (kind, F.col(walked[n])) for n, (kind, _) in specs.items()}
+        local = self._run(
+            given, {totals[n]: s for n, s in inner.items()}, {totals[n]: c for n, (_, c) in inner.items()},
+            BLOCK, *self.keys,
         )
-        carry = {
-            "sum": lambda n: F.sum(n).over(earlier),
-            "last": lambda n: F.last(n, ignorenulls=True).over(earlier),
-            "next": lambda n: F.last(n, ignorenulls=True).over(later),
-        }
-        carried = edges.select(
-            *self.parts, *[carry[kind](n).alias(f"_in_{n}") for n, (kind, _) in specs.items()]
+        kinds = {kind for kind, _ in specs.values()}
+        backward, no = kinds & {"next", "rest"}, F.lit(False)
+        first = F.col(AT) == F.shiftleft(F.col(BLOCK).cast("long"), SHIFT)
+        sent = self._sent(
+            local, first if backward else no, F.col(FROM_END) == 0 if kinds - backward else no
         )
-        joined = null_safe_join(body, carried, self.parts)
-        merged = {
-            n: F.coalesce(F.col(n) + F.col(f"_in_{n}"), F.col(n), F.col(f"_in_{n}"))
-            if kind == "sum"
-            else F.coalesce(F.col(n), F.col(f"_in_{n}"))
+        # A handed-on row brings its block's total, in the direction in which the column runs.
+        values = {
+            n: F.when(F.col(TO) == F.col(BLOCK), F.col(walked[n])).when(
+                F.col(TO) < F.col(BLOCK) if kind in backward else F.col(TO) > F.col(BLOCK), F.col(totals[n])
+            )
             for n, (kind, _) in specs.items()
         }
-        return joined.withColumns(merged).drop(
-            RANK, SIZE, BLOCK, *[f"_in_{n}" for n in specs]
+        valued = sent.withColumns({walked[n]: v for n, v in values.items()})
+        met = self._run(valued, specs, {n: F.col(walked[n]) for n in specs}, TO, *self.keys)
+        return met.filter(F.col(TO) == F.col(BLOCK)).drop(
+            TO, BLOCK, AT, FROM_END, *walked.values(), *totals.values()
         )
 
+    @staticmethod
+    def _run(
+        df: DataFrame, specs: Mapping[str, tuple[str, Column]], values: Mapping[str, Column], *parts: str
+    ) -> DataFrame:
+        """Running columns along AT within ``parts``. A frame open to the end would rescan it for
+        each row, so ``rest`` and ``next`` walk the reversed order."""
+        down = Window.partitionBy(*parts).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+        up = Window.partitionBy(*parts).orderBy(F.desc(AT)).rowsBetween(Window.unboundedPreceding, 0)
+        run = {
+            "sum": lambda c: F.sum(c).over(down),
+            "rest": lambda c: F.sum(c).over(up),
+            "last": lambda c: F.last(c, ignorenulls=True).over(down),
+            "next": lambda c: F.last(c, ignorenulls=True).over(up),
+        }
+        return df.withColumns({n: run[kind](values[n]) for n, (kind, _) in specs.items()})
+
 
 def next_rows_below(
     df: DataFrame,

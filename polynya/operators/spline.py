@@ -24,21 +24,23 @@ COEFFICIENTS = ("x", "y", "b", "c", "d", "x_next")
 
 def spline_resample(
     df: DataFrame, keys: Sequence[str], x: str, y: str, start: float, stop: float, by: float,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_GROUP_ROWS, small: bool = False,
 ) -> DataFrame:
-    """(keys, x, y) on the grid start…stop; equal x are averaged first."""
+    """(keys, x, y) on the grid start…stop; equal x are averaged first.
+
+    ``small``: groups are small by construction, and none is counted."""
     keys = list(keys)
     knots = (
         df.filter(known(F.col(x)) & known(F.col(y)))
         .groupBy(*keys, F.col(x).cast("double").alias("x"))
         .agg(F.avg(y).alias("y"))
     )
-    small = largest_group(knots, keys) <= max_rows
+    small = small or largest_group(knots, keys) <= max_rows
     if small or not keys:
-        segments = segments_in_task(knots, keys) if small else segments_by_joins(knots, keys, max_rows)
+        segments = segments_in_task(knots, keys) if small else segments_by_joins(knots, keys)
     else:  # a struct compares null fields as equal, so plain equi-joins keep every group
         packed = knots.select(F.struct(*keys).alias("_k"), "x", "y")
-        segments = segments_by_joins(packed, ["_k"], max_rows)
+        segments = segments_by_joins(packed, ["_k"])
         segments = segments.select(*[F.col("_k")[k].alias(k) for k in keys], *[c for c in segments.columns if c != "_k"])
     return evaluate(segments, keys, start, stop, by).withColumnsRenamed({"x": x, "y": y})
 
@@ -149,11 +151,11 @@ def segments_in_task(knots: DataFrame, keys: list[str]) -> DataFrame:
     return solved.withColumn("x_next", F.when(~F.isnan("x_next"), F.col("x_next")))
 
 
-def segments_by_joins(knots: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
+def segments_by_joins(knots: DataFrame, keys: list[str]) -> DataFrame:
     """The same segments with the rows of a group spread over the cluster."""
-    ranked = Ordered(knots, keys, ["x"], max_rows).cumulative({"i": ("sum", F.lit(1))})
+    ranked = Ordered(knots, keys, ["x"]).cumulative({"i": ("sum", F.lit(1))})
     sized = with_group(ranked, keys, {"n": F.max("i")})
-    near = Ordered(sized, keys, ["x"], max_rows).frame(
+    near = Ordered(sized, keys, ["x"]).frame(
         1, 1,
         lambda w: {
             "xl": F.lag("x").over(w), "yl": F.lag("y").over(w),

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polynya.functions.scalars import parse_number, regex_or_null
-from polynya.operators.aggregates import any_known, band_median
+from polynya.operators.aggregates import any_known, strict_median
 from polynya.operators.joins import reference_rows
 from polynya.operators.relational import unpivot_numbered
-from polynya.operators.scale import durable, null_safe_join
+from polynya.operators.scale import durable, null_safe_join, with_group
 from polynya.sources.text import name_layout
 
 # Path factor, baseline band, band of the quality rules and their limits.
@@ -52,19 +52,17 @@ def replicate_means(spectra: DataFrame, keys: Sequence[str]) -> DataFrame:
     return stats.withColumn("cv_absorption", cv).drop("_sd")
 
 
-def subtract_reference(means: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+def subtract_reference(means: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sample minus reference, minus the median of the baseline band of the spectrum."""
     raw = means.withColumn("absorption", F.col("s") - F.col("r"))
-    base = band_median(
-        raw, keys, F.col("absorption"), "wavelength", *BASELINE, "_base", strict=True, **kw
-    )
-    joined = null_safe_join(raw, base, keys)
+    band = F.col("wavelength").between(*BASELINE)
+    joined = with_group(raw, keys, {"_base": strict_median(F.col("absorption"), band)})
     return joined.withColumn("absorption", F.col("absorption") - F.col("_base")).drop("_base")
 
 
-def corrected(spectra: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+def corrected(spectra: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Corrected spectra with the means they come from."""
-    return subtract_reference(replicate_means(spectra, keys), keys, **kw).drop("cv_absorption")
+    return subtract_reference(replicate_means(spectra, keys), keys).drop("cv_absorption")
 
 
 def dilution_table(df: DataFrame) -> DataFrame:
@@ -98,16 +96,15 @@ def undiluted(df: DataFrame, group: str = "jday", depth: str = "to_depth", recor
     return joined.withColumn("absorption", F.coalesce(fixed, own)).drop("_depth")
 
 
-def quality_flags(df: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+def quality_flags(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Flag per spectrum from columns wavelength, r, absorption, cv_absorption.
 
     Later rules win; an unknown condition makes the flag unknown, except for the replicate rule.
+    One aggregate per spectrum; its median sees the wavelengths of one band of one instrument.
     """
     band = F.col("wavelength").between(*QUALITY_BAND)
-    noise = band_median(
-        df, keys, F.abs("r"), "wavelength", *QUALITY_BAND, "_noise", strict=True, **kw
-    )
     facts = df.groupBy(*keys).agg(
+        strict_median(F.abs("r"), band).alias("_noise"),
         any_known(F.col("cv_absorption") > 5, band).alias("_spread"),
         any_known(F.col("absorption") < 0, band).alias("_negative"),
         F.max(F.when(F.col("wavelength") == 350, F.col("absorption"))).alias("_a350"),
@@ -121,22 +118,22 @@ def quality_flags(df: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
     flag = rule(flag, F.col("_noise") > R_HIGH, 8)
     flag = rule(flag, F.col("_a350") > F.lit(1.8), 6)
     flag = rule(flag, F.col("_negative"), 9)
-    return null_safe_join(facts, noise, keys).select(*keys, flag.alias("qf"))
+    return facts.select(*keys, flag.alias("qf"))
 
 
-def flagged(spectra: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+def flagged(spectra: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Corrected spectra of the ship with their quality flag.
 
     The means are far smaller than the readings and feed several steps, so they are written
     once and the readings are scanned once.
     """
     means = durable(replicate_means(spectra, keys))
-    cdom = subtract_reference(means, keys, **kw)
-    flags = quality_flags(cdom, keys, **kw)
+    cdom = subtract_reference(means, keys)
+    flags = quality_flags(cdom, keys)
     return null_safe_join(cdom, flags, keys).select(*keys, "wavelength", "absorption", "qf")
 
 
-def flagged_camp(spectra: DataFrame, dilution: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+def flagged_camp(spectra: DataFrame, dilution: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Corrected spectra of the ice camp, freed of the added water, with their quality flag.
 
     ``keys`` name a spectrum and hold day, snow type and depths, on which the records of
@@ -144,9 +141,9 @@ def flagged_camp(spectra: DataFrame, dilution: DataFrame, keys: Sequence[str], *
     """
     means = durable(replicate_means(spectra, keys))
     records = dilution.select(*DILUTION_KEYS, "cast", "f")
-    cdom = null_safe_join(subtract_reference(means, keys, **kw), records, DILUTION_KEYS, "left")
+    cdom = null_safe_join(subtract_reference(means, keys), records, DILUTION_KEYS, "left")
     fixed = undiluted(cdom, record="cast").select(
         *keys, "wavelength", "r", "cv_absorption", "absorption"
     ).distinct()
-    flags = quality_flags(fixed, keys, **kw)
+    flags = quality_flags(fixed, keys)
     return null_safe_join(fixed, flags, keys).select(*keys, "wavelength", "absorption", "qf")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from polynya.functions.scalars import safe_log
 from polynya.operators.fitting import nls_decay
+from polynya.operators.scale import durable
 from polynya.operators.spline import spline_resample
 from polynya.operators.statistics import lm, trapezoid
 
@@ -18,10 +19,11 @@ PAR_FACTOR = 0.045998 / 10000
 def par_by_depth(irradiance: DataFrame, **kw) -> DataFrame:
     """(file, depth, wavelength, irradiance) to (file, depth, par).
 
-    The resampled spectra have the 301 points of the grid each.
+    A spectrum has as many knots as its instrument has channels, resampled the 301 points of the
+    grid; the result is one row per depth and feeds several fits, so it is written once.
     """
-    fine = spline_resample(irradiance, ["file", "depth"], "wavelength", "irradiance", *GRID, **kw)
-    return trapezoid(fine, ["file", "depth"], "wavelength", "irradiance", "par", PAR_FACTOR, max_rows=None)
+    fine = spline_resample(irradiance, ["file", "depth"], "wavelength", "irradiance", *GRID, small=True, **kw)
+    return durable(trapezoid(fine, ["file", "depth"], "wavelength", "irradiance", "par", PAR_FACTOR, small=True))
 
 
 def attenuation(par: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ def curves(spark):
 
 @pytest.mark.parametrize("limit", [10_000, 9])
 def test_saturating_recovers(curves, limit):
-    got = {r["k"]: r for r in fitting.pe_saturating(curves, ["k"], max_rows=limit, rounds=3).collect()}
+    got = {r["k"]: r for r in fitting.pe_saturating(curves, ["k"], share_rows=limit, rounds=3).collect()}
     two = got["two"]
     assert two["ps"] == pytest.approx(3.0, rel=1e-2) and two["alpha"] == pytest.approx(0.03, rel=1e-2)
     assert two["p0"] == pytest.approx(0.2, abs=1e-2) and two["rss"] < 1e-4
@@ -40,9 +40,9 @@ def test_saturating_recovers(curves, limit):
 
 @pytest.mark.parametrize("limit", [10_000, 11])
 def test_photoinhibition_recovers(curves, limit):
-    got = {r["k"]: r for r in fitting.pe_photoinhibition(curves, ["k"], max_rows=limit).collect()}
+    got = {r["k"]: r for r in fitting.pe_photoinhibition(curves, ["k"], share_rows=limit).collect()}
     assert got["one"]["rss"] < 1e-2
-    bounded = {r["k"]: r for r in fitting.pe_photoinhibition(curves, ["k"], ps_max=1.5, max_rows=limit).collect()}
+    bounded = {r["k"]: r for r in fitting.pe_photoinhibition(curves, ["k"], ps_max=1.5, share_rows=limit).collect()}
     assert bounded["one"]["ps"] <= 1.5 and bounded["one"]["rss"] > got["one"]["rss"]
 
 

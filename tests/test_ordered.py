@@ -10,7 +10,7 @@ from polynya.functions.quantiles import group_quantiles
 from polynya.operators import gaps, ordered
 from polynya.operators.aggregates import box_stats
 from polynya.operators.ordered import Ordered
-from polynya.operators.scale import largest_group, null_safe_join, with_group
+from polynya.operators.scale import null_safe_join, with_group
 from polynya.operators.statistics import trapezoid
 from tests.conftest import rows
 
@@ -27,25 +27,25 @@ def skewed(spark):
     return spark.createDataFrame(data, "k string, pos int, v double").cache()
 
 
-@pytest.mark.parametrize("limit", [10_000, 60, 7])
-def test_cumulative_matches_window(skewed, limit):
-    assert largest_group(skewed, ["k"]) >= 300
+@pytest.mark.parametrize("blocks", [1, 4, 23])
+def test_cumulative_matches_window(skewed, blocks):
     w = Window.partitionBy("k").orderBy("pos")
     want = skewed.withColumns(
         {
             "s": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "l": F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "x": F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+            "r": F.sum("v").over(w.rowsBetween(0, Window.unboundedFollowing)),
         }
     )
-    got = Ordered(skewed, ["k"], ["pos"], max_rows=limit).cumulative(
-        {"s": ("sum", F.col("v")), "l": ("last", F.col("v")), "x": ("next", F.col("v"))}
+    got = Ordered(skewed, ["k"], ["pos"], blocks=blocks).cumulative(
+        {"s": ("sum", F.col("v")), "l": ("last", F.col("v")), "x": ("next", F.col("v")), "r": ("rest", F.col("v"))}
     )
     assert rows(got, *want.columns) == rows(want)
 
 
-@pytest.mark.parametrize("limit", [10_000, 50, 3])
-def test_frame_matches_window(skewed, limit):
+@pytest.mark.parametrize("blocks", [1, 5, 400])
+def test_frame_matches_window(skewed, blocks):
     def build(w):
         return {
             "a": F.lead("v", 2).over(w),
@@ -54,45 +54,45 @@ def test_frame_matches_window(skewed, limit):
         }
 
     want = skewed.withColumns(build(Window.partitionBy("k").orderBy("pos")))
-    got = Ordered(skewed, ["k"], ["pos"], max_rows=limit).frame(3, 3, build)
+    got = Ordered(skewed, ["k"], ["pos"], blocks=blocks).frame(3, 3, build)
     assert rows(got, *want.columns) == rows(want)
 
 
 def test_one_sequence_without_keys(skewed):
-    one = ordered.track_segments(skewed, ["pos"], "pos", "v", max_rows=40)
+    one = ordered.track_segments(skewed, ["pos"], "pos", "v", blocks=9)
     want = skewed.withColumn("xend", F.lead("pos").over(Window.orderBy("pos")))
     assert rows(one, "pos", "xend") == rows(want, "pos", "xend")
 
 
-@pytest.mark.parametrize("limit", [10_000, 40])
-def test_runs_and_sorted(spark, limit):
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_runs_and_sorted(spark, blocks):
     data = [("a", i, v) for i, v in enumerate([1, 1, 2, 2, 2, None, None, 1] * 12)]
     df = spark.createDataFrame(data, "k string, i int, v int")
-    got = rows(ordered.run_lengths(df, ["k"], ["i"], "v", max_rows=limit), "i", "run_id", "run_length")
+    got = rows(ordered.run_lengths(df, ["k"], ["i"], "v", blocks=blocks), "i", "run_id", "run_length")
     assert got[:9] == [
         (0, 1, 2), (1, 1, 2), (2, 2, 3), (3, 2, 3), (4, 2, 3), (5, 3, 2), (6, 3, 2), (7, 4, 3), (8, 4, 3),
     ]
-    assert rows(ordered.sorted_check(df, ["k"], ["i"], "v", max_rows=limit)) == [("a", False)]
+    assert rows(ordered.sorted_check(df, ["k"], ["i"], "v", blocks=blocks)) == [("a", False)]
     up = df.withColumn("v", F.col("i"))
-    assert rows(ordered.sorted_check(up, ["k"], ["i"], "v", max_rows=limit)) == [("a", True)]
+    assert rows(ordered.sorted_check(up, ["k"], ["i"], "v", blocks=blocks)) == [("a", True)]
 
 
-@pytest.mark.parametrize("limit", [10_000, 30])
-def test_quantiles(skewed, limit):
+@pytest.mark.parametrize("blocks", [1, 11])
+def test_quantiles(skewed, blocks):
     want = skewed.groupBy("k").agg(
         F.percentile("v", 0.25).alias("q"), F.percentile("v", 0.5).alias("m"), F.percentile("v", 0.999).alias("z")
     )
-    got = group_quantiles(skewed, ["k"], "v", {"q": 0.25, "m": 0.5, "z": 0.999}, max_rows=limit)
+    got = group_quantiles(skewed, ["k"], "v", {"q": 0.25, "m": 0.5, "z": 0.999}, blocks=blocks)
     for g, w in zip(rows(got, "k", "q", "m", "z"), rows(want)):
         assert g[0] == w[0] and g[1:] == pytest.approx(w[1:])
-    whole = group_quantiles(skewed, [], "v", {"m": 0.5}, max_rows=limit)
+    whole = group_quantiles(skewed, [], "v", {"m": 0.5}, blocks=blocks)
     assert whole.first()["m"] == skewed.agg(F.percentile("v", 0.5)).first()[0]
 
 
 def test_quantiles_keep_empty_groups(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 1.0), (None, 2.0)], "k string, v double")
-    for limit in (100, 1):
-        assert rows(group_quantiles(df, ["k"], "v", {"m": 0.5}, max_rows=limit)) == [
+    for blocks in (1, 5):
+        assert rows(group_quantiles(df, ["k"], "v", {"m": 0.5}, blocks=blocks)) == [
             (None, 2.0), ("a", None), ("b", 1.0),
         ]
 
@@ -100,18 +100,18 @@ def test_quantiles_keep_empty_groups(spark):
 def test_fills(spark):
     data = [("g", 1, None), ("g", 2, 5.0), ("g", 3, None), ("g", 4, 7.0), ("h", 1, None)]
     df = spark.createDataFrame(data, "k string, i int, v double")
-    for limit in (100, 2):
-        got = rows(gaps.fill_down_up(df, ["k"], ["i"], ["v"], max_rows=limit), "k", "i", "v")
+    for blocks in (1, 3):
+        got = rows(gaps.fill_down_up(df, ["k"], ["i"], ["v"], blocks=blocks), "k", "i", "v")
         assert got == [("g", 1, 5.0), ("g", 2, 5.0), ("g", 3, 5.0), ("g", 4, 7.0), ("h", 1, None)]
-        got = rows(gaps.fill_from_below(df, ["k"], ["i"], ["v"], max_rows=limit), "k", "i", "v")
+        got = rows(gaps.fill_from_below(df, ["k"], ["i"], ["v"], blocks=blocks), "k", "i", "v")
         assert got == [("g", 1, 5.0), ("g", 2, 5.0), ("g", 3, 7.0), ("g", 4, 7.0), ("h", 1, None)]
 
 
 def test_trapezoid_split(spark):
     df = spark.range(0, 101).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("x"))
     df = df.withColumn("y", F.col("x") * 2)
-    for limit in (1000, 9):
-        assert trapezoid(df, ["k"], "x", "y", "area", max_rows=limit).first()["area"] == pytest.approx(10_000)
+    for blocks in (1, 9):
+        assert trapezoid(df, ["k"], "x", "y", "area", blocks=blocks).first()["area"] == pytest.approx(10_000)
 
 
 def test_with_group_and_null_keys(skewed):
@@ -128,3 +128,15 @@ def test_box_stats(spark):
     got = box_stats(df, ["k"], "v").first()
     assert (got["n"], got["outliers"], got["whisker_low"], got["whisker_high"]) == (6, 1, 1.0, 5.0)
     assert (got["q1"], got["median"], got["q3"]) == (2.25, 3.5, 4.75)
+
+
+def test_blocks_share_a_hot_group_and_start_no_job(spark, skewed):
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    spark.sparkContext.setJobGroup("plan", "plan")
+    out = ordered.run_lengths(skewed, ["k"], ["pos"], "v", blocks=9)
+    filled = gaps.fill_down_up(skewed, ["k"], ["pos"], ["v"], blocks=9)
+    assert not jobs("plan")
+    spark.sparkContext.setJobGroup("run", "run")
+    walked = Ordered(skewed, ["k"], ["pos"], blocks=9)._placed(from_end=False)
+    assert walked.filter("k = 'hot'").select("_walk_block").distinct().count() >= 3
+    assert out.count() == filled.count() == 900
