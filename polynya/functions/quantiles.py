@@ -33,7 +33,7 @@ def group_quantiles(
         return slim.groupBy(*keys).agg(*[F.percentile("_v", p).alias(n) for n, p in probs.items()])
     # A group without values has one row, of a null value that counts nothing.
     counts = slim.groupBy(*keys, "_v").agg(F.count("_v").alias("_c"))
-    sums = Ordered(counts, keys, [F.col("_v").asc_nulls_first()], **kw).cumulative(
+    sums = Ordered(counts, keys, ["_v"], **kw).cumulative(
         {"_cum": ("sum", F.col("_c")), "_rest": ("rest", F.col("_c"))}
     )
     before, n = F.col("_cum") - F.col("_c"), F.col("_cum") + F.col("_rest") - F.col("_c")

@@ -1,37 +1,45 @@
-"""Walks over rows in order, per group, in blocks that hand on summaries.
-
-One lazy plan, whatever the sizes: rows are range-partitioned on (keys, order), so each partition
-is a block of the walk, and every row gets its block and place there. What must cross a block edge
-travels as rows of its own to the blocks that may need it: the first or last few rows of a
-block for bounded frames, one row with the block's total for running columns. A block then works on
-its own rows and what it was handed, so a key with a large share of the rows is walked by many
-tasks and nothing is counted beforehand.
-
-Blocks and places are columns of the one data flow that goes on to the result, never worked out
-twice, so they agree also when a lost task is run again. Blocks send at most ``before + after``
-rows, or one row, to each other block.
+"""Walks over rows in order, per group, without a task that holds a large group.
+
+One pass over keys and order takes a fixed number of rows by hash. A key with a large share of
+them is cut at sampled places of its order into blocks of about equal size; where it is cut
+changes the work of a task, never a result. Windows run per key and block. What must cross a block
+edge is brought in: the first or last few rows of a block for bounded frames, one total a block for
+running columns. Keys that are not cut, mostly all of them, take a plain window.
+
+A row's block is a function of its own order values and the cuts, so every part of a plan and
+every repeated task agrees on it.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.window import WindowSpec
 
-from polynya.operators.scale import with_group
+from polynya.operators.scale import null_safe_join, with_group
+
+BLOCK, SIDE, RANK, ALL, CUTS = "_walk_block", "_walk_side", "_walk_rank", "_walk_all", "_walk_cuts"
+SAMPLE = 4096
+STRIDE = 32  # cuts are searched in two steps of about so many
+
 
-BLOCK, TO, AT, FROM_END = "_walk_block", "_walk_to", "_walk_at", "_walk_from_end"
-SHIFT = 33  # monotonically_increasing_id is partition * 2^33 + place
+def sort_key(values: Sequence) -> list:
+    """Python order of order values as Spark sorts them: null first, NaN last."""
+    return [(v is not None, v != v, 0 if v is None or v != v else v) for v in values]
 
 
 class Ordered:
-    """``df`` with groups ``keys`` walked by ``order`` (sort columns that fix a total order).
+    """``df`` with groups ``keys`` walked by ``order`` (ascending columns that fix a total order).
 
-    ``small``: no group is large by construction (a fixed grid, a list of levels), so each is walked
-    by one task. ``blocks``: their number, the session's shuffle partitions unless given.
+    ``small``: no group is large by construction (a fixed grid, a list of levels). ``blocks``: into
+    how many parts all rows are thought cut; a key is cut when two or more of them are its own.
+    ``like``: a walk of the same rows, whose cuts are taken.
     """
 
     def __init__(
@@ -41,49 +49,93 @@ class Ordered:
         order: Sequence[Column | str],
         small: bool = False,
         blocks: int | None = None,
+        like: Ordered | None = None,
     ):
-        self.df = df
-        self.keys = list(keys)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
         self.columns = df.columns
-        self.blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.small = small and bool(self.keys)
-
-    def _placed(self, from_end: bool) -> DataFrame:
-        """Rows with their block, their place in the whole order and, if asked, their place
-        counted from the end of the block."""
-        along = [*(F.col(k) for k in self.keys), *self.order]
-        ranged = self.df.repartitionByRange(self.blocks, *along).sortWithinPartitions(*along)
-        placed = ranged.withColumns({BLOCK: F.spark_partition_id(), AT: F.monotonically_increasing_id()})
-        if from_end:
-            backward = placed.sortWithinPartitions(F.desc(AT))
-            placed = backward.withColumn(
-                FROM_END, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), SHIFT)
-            )
-        return placed
-
-    def _sent(self, placed: DataFrame, back: Column, on: Column) -> DataFrame:
-        """Every row to its own block, ``back`` rows to all earlier ones, ``on`` rows to all later."""
-        block, last = F.col(BLOCK), self.blocks - 1
-        none = F.array().cast("array<int>")
-        earlier = F.when(back & (block > 0), F.sequence(F.lit(0), block - 1)).otherwise(none)
-        later = F.when(on & (block < last), F.sequence(block + 1, F.lit(last))).otherwise(none)
-        return placed.withColumn(TO, F.explode(F.concat(F.array(block), earlier, later)))
-
-    def _window(self, block: str, *order: Column) -> WindowSpec:
-        return Window.partitionBy(block, *self.keys).orderBy(*order)
+        self.keys = list(keys) or [ALL]
+        self.df = df if keys else df.withColumn(ALL, F.lit(0))
+        self.place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order)])
+        blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.cuts = like.cuts if like else [] if small and keys else self._sampled(blocks)
+        if self.cuts:
+            self.df = self._in_blocks()
+        self.parts = self.keys + ([BLOCK] if self.cuts else [])
+
+    def _sampled(self, blocks: int) -> list[tuple[tuple, list[list]]]:
+        """(key, cuts) of each key that is cut."""
+        along = self.df.select(F.struct(*self.keys).alias("k"), self.place.alias("o"))
+        slot = F.pmod(F.xxhash64("k", "o"), F.lit(SAMPLE))
+        picked = F.min(F.struct(F.xxhash64(F.lit(1), "k", "o").alias("h"), "k", "o")).alias("row")
+        rows = [r.row for r in along.groupBy(slot.alias("slot")).agg(picked).collect()]
+        found = defaultdict(list)
+        for r in rows:
+            found[tuple(r.k)].append(list(r.o))
+        cuts = []
+        for key, places in found.items():
+            own = min(math.floor(blocks * len(places) / len(rows)), len(places))
+            if own >= 2:
+                places.sort(key=sort_key)
+                cuts.append((key, [places[i * len(places) // own] for i in range(1, own)]))
+        return cuts
+
+    def _in_blocks(self) -> DataFrame:
+        """Rows with the number of cuts at or before them; null for keys that are not cut."""
+        kinds = self.df.select(*self.keys, self.place.alias("_o")).schema
+        schema = T.StructType(
+            [T.StructField(f"_k{i}", kinds[k].dataType) for i, k in enumerate(self.keys)]
+            + [T.StructField(CUTS, T.ArrayType(T.ArrayType(kinds["_o"].dataType)))]
+        )
+        rows = [
+            (*key, [[tuple(c) for c in cuts[i : i + STRIDE]] for i in range(0, len(cuts), STRIDE)])
+            for key, cuts in self.cuts
+        ]
+        table = self.df.sparkSession.createDataFrame(rows, schema)
+        met = F.lit(True)
+        for i, k in enumerate(self.keys):
+            met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        # At most as many rows as the sample has.
+        joined = self.df.join(F.broadcast(table), met, "left").withColumn("_o", self.place)
+        reached = lambda c: c <= F.col("_o")
+        coarse = F.size(F.filter(CUTS, lambda g: reached(F.get(g, F.lit(0)))))
+        fine = F.size(F.filter(F.get(CUTS, coarse - 1), reached))
+        block = F.when(coarse == 0, 0).otherwise((coarse - 1) * STRIDE + fine)
+        return joined.withColumn(BLOCK, F.when(F.col(CUTS).isNotNull(), block)).drop(
+            "_o", CUTS, *[f"_k{i}" for i in range(len(self.keys))]
+        )
+
+    def _window(self, *leading: str) -> WindowSpec:
+        return Window.partitionBy(*self.parts).orderBy(*leading, *self.order)
 
     def frame(
         self, before: int, after: int, build: Callable[[WindowSpec], Mapping[str, Column]]
     ) -> DataFrame:
         """Add window columns whose frames reach at most ``before``/``after`` rows away."""
-        if self.small:
-            return self.df.withColumns(dict(build(Window.partitionBy(*self.keys).orderBy(*self.order))))
-        placed = self._placed(from_end=before > 0)
-        place = F.col(AT) - F.shiftleft(F.col(BLOCK).cast("long"), SHIFT)
-        on = F.col(FROM_END) < before if before else F.lit(False)
-        met = self._sent(placed, place < after, on).withColumns(dict(build(self._window(TO, F.col(AT)))))
-        return met.filter(F.col(TO) == F.col(BLOCK)).drop(TO, BLOCK, AT, FROM_END)
+        if not self.cuts:
+            return self.df.withColumns(dict(build(self._window()))).drop(ALL)
+        whole = self.df.withColumn(SIDE, F.lit(0))
+        if after:
+            whole = whole.unionByName(self._neighbours(after, 1))
+        if before:
+            whole = whole.unionByName(self._neighbours(before, -1))
+        built = whole.withColumns(dict(build(self._window(SIDE))))
+        return built.filter(F.col(SIDE) == 0).drop(SIDE, BLOCK, ALL)
+
+    def _neighbours(self, n: int, side: int) -> DataFrame:
+        """For each block the ``n`` rows after it (side 1) or before it (side -1).
+
+        Only the first (last) ``n`` rows of each block are looked at, and Spark keeps no more of
+        them before the shuffle.
+        """
+        along = self.order if side > 0 else [o.desc() for o in self.order]
+        edge = F.row_number().over(Window.partitionBy(*self.parts).orderBy(*along))
+        edges = self.df.filter(F.col(BLOCK).isNotNull()).withColumn(RANK, edge).filter(F.col(RANK) <= n)
+        ahead = Window.partitionBy(*self.keys).orderBy(F.col(BLOCK) * side, RANK)
+        last = F.max(RANK).over(Window.partitionBy(*self.parts)) == F.col(RANK)
+        cell = F.struct(*dict.fromkeys([*self.columns, *self.keys]))
+        near = edges.withColumns({"_near": F.collect_list(cell).over(ahead.rowsBetween(1, n)), "_last": last})
+        found = near.filter("_last").select(BLOCK, F.explode("_near").alias("_row"))
+        return found.select("_row.*", BLOCK, F.lit(side).alias(SIDE))
 
     def cumulative(self, specs: Mapping[str, tuple[str, Column]]) -> DataFrame:
         """Add running columns: ``name -> (kind, expression)``.
@@ -91,54 +143,50 @@ class Ordered:
         kinds: ``sum`` (running total, this row included), ``rest`` (total from this row on),
         ``last`` (last non-null so far), ``next`` (first non-null from here on).
         """
-        if self.small:
-            ranked = self.df.withColumn(
-                AT, F.row_number().over(Window.partitionBy(*self.keys).orderBy(*self.order))
-            )
-            values = {n: c for n, (_, c) in specs.items()}
-            return self._run(ranked, specs, values, *self.keys).drop(AT)
-        walked = {n: f"_in_{n}" for n in specs}
-        given = self._placed(from_end=True).withColumns({walked[n]: c for n, (_, c) in specs.items()})
-        totals = {n: f"_total_{n}" for n in specs}
-        inner = {n: (kind, F.col(walked[n])) for n, (kind, _) in specs.items()}
-        local = self._run(
-            given, {totals[n]: s for n, s in inner.items()}, {totals[n]: c for n, (_, c) in inner.items()},
-            BLOCK, *self.keys,
-        )
-        kinds = {kind for kind, _ in specs.values()}
-        backward, no = kinds & {"next", "rest"}, F.lit(False)
-        first = F.col(AT) == F.shiftleft(F.col(BLOCK).cast("long"), SHIFT)
-        sent = self._sent(
-            local, first if backward else no, F.col(FROM_END) == 0 if kinds - backward else no
-        )
-        # A handed-on row brings its block's total, in the direction in which the column runs.
-        values = {
-            n: F.when(F.col(TO) == F.col(BLOCK), F.col(walked[n])).when(
-                F.col(TO) < F.col(BLOCK) if kind in backward else F.col(TO) > F.col(BLOCK), F.col(totals[n])
-            )
-            for n, (kind, _) in specs.items()
-        }
-        valued = sent.withColumns({walked[n]: v for n, v in values.items()})
-        met = self._run(valued, specs, {n: F.col(walked[n]) for n in specs}, TO, *self.keys)
-        return met.filter(F.col(TO) == F.col(BLOCK)).drop(
-            TO, BLOCK, AT, FROM_END, *walked.values(), *totals.values()
-        )
-
-    @staticmethod
-    def _run(
-        df: DataFrame, specs: Mapping[str, tuple[str, Column]], values: Mapping[str, Column], *parts: str
-    ) -> DataFrame:
-        """Running columns along AT within ``parts``. A frame open to the end would rescan it for
-        each row, so ``rest`` and ``next`` walk the reversed order."""
-        down = Window.partitionBy(*parts).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
-        up = Window.partitionBy(*parts).orderBy(F.desc(AT)).rowsBetween(Window.unboundedPreceding, 0)
+        down = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        # Backward kinds walk the reversed order: a frame open to the end would rescan it for
+        # each row.
+        back = Window.partitionBy(*self.parts).orderBy(*[o.desc() for o in self.order])
+        up = back.rowsBetween(Window.unboundedPreceding, 0)
         run = {
             "sum": lambda c: F.sum(c).over(down),
             "rest": lambda c: F.sum(c).over(up),
             "last": lambda c: F.last(c, ignorenulls=True).over(down),
             "next": lambda c: F.last(c, ignorenulls=True).over(up),
         }
-        return df.withColumns({n: run[kind](values[n]) for n, (kind, _) in specs.items()})
+        local = self.df.withColumns({n: run[kind](c) for n, (kind, c) in specs.items()})
+        if not self.cuts:
+            return local.drop(ALL)
+        known = lambda c: F.when(c.isNotNull(), self.place)
+        total = {
+            "sum": F.sum,
+            "rest": F.sum,
+            "last": lambda c: F.max_by(c, known(c)),
+            "next": lambda c: F.min_by(c, known(c)),
+        }
+        edges = self.df.filter(F.col(BLOCK).isNotNull()).groupBy(*self.parts).agg(
+            *[total[kind](c).alias(f"_in_{n}") for n, (kind, c) in specs.items()]
+        )
+        blocks = Window.partitionBy(*self.keys)
+        earlier = blocks.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        later = blocks.orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+        carry = {
+            "sum": lambda n: F.sum(n).over(earlier),
+            "rest": lambda n: F.sum(n).over(later),
+            "last": lambda n: F.last(n, ignorenulls=True).over(earlier),
+            "next": lambda n: F.last(n, ignorenulls=True).over(later),
+        }
+        carried = edges.select(
+            *self.parts, *[carry[kind](F.col(f"_in_{n}")).alias(f"_in_{n}") for n, (kind, _) in specs.items()]
+        )
+        joined = null_safe_join(local, F.broadcast(carried), self.parts, "left")  # a row a block
+        merged = {
+            n: F.coalesce(F.col(n) + F.col(f"_in_{n}"), F.col(n), F.col(f"_in_{n}"))
+            if kind in ("sum", "rest")
+            else F.coalesce(F.col(n), F.col(f"_in_{n}"))
+            for n, (kind, _) in specs.items()
+        }
+        return joined.withColumns(merged).drop(BLOCK, ALL, *[f"_in_{n}" for n in specs])
 
 
 def next_rows_below(
@@ -202,7 +250,8 @@ def run_lengths(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, **kw
 ) -> DataFrame:
     """Number the runs of equal values and put run number and length on every row."""
-    changed = Ordered(df, keys, order, **kw).frame(
+    walk = Ordered(df, keys, order, **kw)
+    changed = walk.frame(
         1,
         0,
         lambda w: {
@@ -211,7 +260,7 @@ def run_lengths(
         },
     )
     starts = changed.withColumn("_new", F.when(F.col("_at").isNull(), 1).otherwise(F.col("_new")))
-    numbered = Ordered(starts.drop("_at"), keys, order, **kw).cumulative(
+    numbered = Ordered(starts.drop("_at"), keys, order, like=walk).cumulative(
         {"run_id": ("sum", F.col("_new"))}
     )
     return with_group(

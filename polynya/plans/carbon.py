@@ -17,10 +17,10 @@ FIXED_DENSITY = 1027.0
 HIGH_DIC, HIGH_SALINITY = 25600.0, 32.3
 
 
-def ctd_profile(casts: DataFrame, **kw) -> DataFrame:
+def ctd_profile(casts: DataFrame) -> DataFrame:
     """Casts (date, depth, sigt, psal) to one profile per day with 0.5 and 1.5 m present.
 
-    Casts of a day are averaged; a gap takes the value of the next deeper level.
+    Casts of a day are averaged to one row a level; a gap takes the value of the next deeper level.
     """
     mean = nans_to_null(casts).groupBy("date", "depth").agg(
         F.avg("sigt").alias("sigt"), F.avg("psal").alias("psal"), F.count(F.lit(1)).alias("n")
@@ -29,7 +29,7 @@ def ctd_profile(casts: DataFrame, **kw) -> DataFrame:
         {"water_density": F.col("sigt") + 1000, "doy": F.dayofyear("date")}
     )
     grid = complete_grid(full, "date", "depth", [0.5, 1.5])
-    return fill_from_below(grid, ["date"], ["depth"], ["sigt", "psal", "water_density", "doy"], **kw)
+    return fill_from_below(grid, ["date"], ["depth"], ["sigt", "psal", "water_density", "doy"], small=True)
 
 
 def dic_long(sheet: DataFrame, depths: Sequence[str]) -> DataFrame:
@@ -39,10 +39,10 @@ def dic_long(sheet: DataFrame, depths: Sequence[str]) -> DataFrame:
     return nans_to_null(long.withColumn("depth", F.when(depth == 0, F.lit(0.5)).otherwise(depth)))
 
 
-def dic_insitu(dic: DataFrame, ctd: DataFrame, **kw) -> DataFrame:
+def dic_insitu(dic: DataFrame, ctd: DataFrame) -> DataFrame:
     """µmol per kg to µg per litre with the density of the profile (next deeper one if missing)."""
     joined = natural_join(dic, ctd, "left")
-    filled = fill_from_below(joined, ["date"], ["depth"], ["water_density"], **kw)
+    filled = fill_from_below(joined, ["date"], ["depth"], ["water_density"], small=True)
     return filled.withColumn("dic", F.col("dic") * F.col("water_density") / 1e6 * 12 * 1000)
 
 

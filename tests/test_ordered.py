@@ -130,13 +130,22 @@ def test_box_stats(spark):
     assert (got["q1"], got["median"], got["q3"]) == (2.25, 3.5, 4.75)
 
 
-def test_blocks_share_a_hot_group_and_start_no_job(spark, skewed):
-    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
-    spark.sparkContext.setJobGroup("plan", "plan")
-    out = ordered.run_lengths(skewed, ["k"], ["pos"], "v", blocks=9)
-    filled = gaps.fill_down_up(skewed, ["k"], ["pos"], ["v"], blocks=9)
-    assert not jobs("plan")
-    spark.sparkContext.setJobGroup("run", "run")
-    walked = Ordered(skewed, ["k"], ["pos"], blocks=9)._placed(from_end=False)
-    assert walked.filter("k = 'hot'").select("_walk_block").distinct().count() >= 3
-    assert out.count() == filled.count() == 900
+def test_a_hot_group_is_cut_and_the_others_are_not(spark, skewed):
+    walk = Ordered(skewed, ["k"], ["pos"], blocks=9)
+    blocks = dict(rows(walk.df.groupBy("k").agg(F.count_distinct("_walk_block").alias("n"))))
+    assert blocks["hot"] == 3 and set(blocks) == {"hot", "a", "b", "c", None}
+    assert all(n <= 2 for k, n in blocks.items() if k != "hot")
+    assert Ordered(skewed, ["k"], ["pos"], small=True).cuts == []
+    sizes = walk.df.filter("k = 'hot'").groupBy("_walk_block").count()
+    assert max(r["count"] for r in sizes.collect()) < 150
+
+
+def test_order_values_of_every_kind(spark):
+    nan = float("nan")
+    data = [(None, nan), (None, 1.0), ("", None), ("a", nan), ("a", 2.0), ("é", 1.0), ("b", None)] * 1
+    df = spark.createDataFrame([(s, x, i) for i, (s, x) in enumerate(data)], "s string, x double, i int")
+    w = Window.orderBy("s", "x", "i")
+    want = df.withColumn("n", F.lead("i").over(w)).withColumn("t", F.sum("i").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    led = Ordered(df, [], ["s", "x", "i"], blocks=5).frame(0, 1, lambda v: {"n": F.lead("i").over(v)})
+    got = Ordered(led, [], ["s", "x", "i"], blocks=5).cumulative({"t": ("sum", F.col("i"))})
+    assert rows(got, "i", "n", "t") == rows(want, "i", "n", "t")
