@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -12,6 +15,7 @@ from polynya.functions.quantiles import add_group_quantiles
 from polynya.operators.scale import null_safe_join, with_group
 
 IMAGE = ["image_id"]
+SHORT = 8  # radius up to which a window is read pixel by pixel
 
 
 def crop_flip(
@@ -40,18 +44,41 @@ def ice_share(pixels: DataFrame) -> DataFrame:
 
 
 def _sliding(pixels: DataFrame, along: str, across: str, radius: int, f) -> DataFrame:
-    """Minimum or maximum over ``radius`` pixels either way along one axis.
+    """Minimum or maximum over ``radius`` pixels either way along one axis; missing pixels have no say.
 
     Lines are cut into tiles; pixels near a tile's edge also visit the neighbouring tile, so a
-    window holds one tile with its margins however long the line is.
+    task holds one tile with its margins however long the line is. In a tile, blocks as long as the
+    window are scanned forwards and backwards: a window is the end of one block and the start of
+    the next, so the work does not depend on the radius. Short windows are read pixel by pixel,
+    which costs less than the scans' sorts.
     """
-    width = max(4 * radius, 1024)
+    width, side = max(4 * radius, 1024), 2 * radius + 1
     tile = lambda c: F.floor(c / width)
+    block = lambda c: F.floor(c / side)
+    line = [*IMAGE, across, "_tile"]
     visits = pixels.withColumn(
         "_tile", F.explode(F.sequence(tile(F.col(along) - radius), tile(F.col(along) + radius)))
     )
-    w = Window.partitionBy(*IMAGE, across, "_tile").orderBy(along).rangeBetween(-radius, radius)
-    return visits.withColumn("v", f("v").over(w)).filter(F.col("_tile") == tile(F.col(along))).drop("_tile")
+    if radius <= SHORT:
+        w = Window.partitionBy(*line).orderBy(along).rangeBetween(-radius, radius)
+        return visits.withColumn("v", f("v").over(w)).filter(F.col("_tile") == tile(F.col(along))).drop("_tile")
+    visits = visits.repartition(*line)
+    best = F.least if f is F.min else F.greatest
+    so_far = lambda order: f("v").over(
+        Window.partitionBy(*line, block(F.col(along))).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    # The scan at the last pixel within the radius, if that pixel lies in the block at the window's end.
+    reached = lambda order: Window.partitionBy(*line).orderBy(order).rangeBetween(Window.unboundedPreceding, radius)
+    up, down = F.col(along).asc(), F.col(along).desc()
+    scanned = visits.withColumns({"_to": so_far(up), "_from": so_far(down)})
+    cell = lambda c: F.struct(F.col(along).alias("at"), F.col(c).alias("v"))
+    met = scanned.withColumns(
+        {"_right": F.last(cell("_to")).over(reached(up)), "_left": F.last(cell("_from")).over(reached(down))}
+    )
+    part = lambda c, edge: F.when(block(F.col(f"{c}.at")) == block(edge), F.col(f"{c}.v"))
+    value = best(part("_right", F.col(along) + radius), part("_left", F.col(along) - radius))
+    kept = met.filter(F.col("_tile") == tile(F.col(along)))
+    return kept.withColumn("v", value).drop("_tile", "_to", "_from", "_right", "_left")
 
 
 def opening(pixels: DataFrame, radius: int) -> DataFrame:
@@ -66,9 +93,11 @@ def remove_background(pixels: DataFrame, radius: int = 300) -> DataFrame:
     return joined.withColumn("v", F.col("v") - F.col("_b")).drop("_b")
 
 
-def stretch(pixels: DataFrame, low: float = 0.01, high: float = 0.99, **kw) -> DataFrame:
-    """Contrast stretch to the low and high quantiles of each image, clipped to 0…1."""
-    limits = add_group_quantiles(pixels, IMAGE, "v", {"_lo": low, "_hi": high}, **kw)
+def stretch(pixels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Contrast stretch to the low and high quantiles of each image, clipped to 0…1.
+
+    The quantiles count the distinct levels of one picture."""
+    limits = add_group_quantiles(pixels, IMAGE, "v", {"_lo": low, "_hi": high}, small=True)
     scaled = F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     return limits.withColumn("v", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("_lo", "_hi")
 
@@ -103,40 +132,83 @@ def binarise(pixels: DataFrame) -> DataFrame:
     return joined.withColumn("bw", F.when(F.col("v") > F.col("level"), 1).otherwise(0))
 
 
-def remove_small(pixels: DataFrame, size: int = 5) -> DataFrame:
+def remove_small(pixels: DataFrame, size: int = 5, side: int = 128) -> DataFrame:
     """Clear set pixels (bw = 1) whose 8-connected component has fewer than ``size`` pixels.
 
-    A component is large when ``size`` of its pixels lie within size − 1 steps of any of its
-    pixels, so a fixed number of rounds decides: each pixel keeps the ids it can reach (fewer
-    than ``size``) or the mark that there are enough.
+    From any pixel of a component with ``size`` pixels, as many are reached in size − 1 steps. So
+    each tile is labelled with a margin of size − 1 pixels, and what it holds of a component
+    decides for the tile's own pixels. One shuffle; a task holds one tile at a time.
     """
-    here = F.struct("row", "col")
-    state = pixels.filter("bw = 1").select(
-        *IMAGE, "row", "col", F.array(here).alias("_ids"), F.lit(size <= 1).alias("_big")
+    margin = size - 1
+    side = max(side, 4 * size)
+    own = lambda c: F.floor(F.col(c) / side).cast("int")
+    visited = lambda c: F.sequence(
+        F.floor((F.col(c) - margin) / side).cast("int"), F.floor((F.col(c) + margin) / side).cast("int")
     )
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])
-    for _ in range(size - 1):
-        sent = state.withColumn("_m", F.explode(moves)).select(
-            *IMAGE,
-            (F.col("row") + F.col("_m.a")).alias("row"),
-            (F.col("col") + F.col("_m.b")).alias("col"),
-            ((F.col("_m.a") == 0) & (F.col("_m.b") == 0)).alias("_self"),
-            F.when(~F.col("_big"), F.col("_ids")).alias("_ids"),
-            "_big",
-        )
-        met = sent.groupBy(*IMAGE, "row", "col").agg(
-            F.bool_or("_self").alias("_self"),
-            F.bool_or("_big").alias("_big"),
-            F.array_distinct(F.flatten(F.collect_list("_ids"))).alias("_ids"),
-        )
-        state = met.filter("_self").select(
-            *IMAGE, "row", "col", "_ids", (F.col("_big") | (F.size("_ids") >= size)).alias("_big")
-        )
-    large = state.select(*IMAGE, "row", "col", "_big")
-    joined = pixels.join(large, [*IMAGE, "row", "col"], "left")
-    keep = (F.col("bw") == 1) & F.coalesce("_big", F.lit(False))
-    return joined.withColumn("bw", F.when(keep, 1).otherwise(0)).drop("_big")
+    is_set = F.coalesce(F.col("bw") == 1, F.lit(False))
+    seen = pixels
+    for axis, tile in (("row", "_tile_row"), ("col", "_tile_col")):
+        seen = seen.withColumn(tile, F.explode(F.when(is_set, visited(axis)).otherwise(F.array(own(axis)))))
+    names = pixels.columns
+    tile = ["_tile_key", "_tile_row", "_tile_col"]
+    dealt = seen.withColumn("_tile_key", F.xxhash64(*IMAGE, "_tile_row", "_tile_col"))
+    dealt = dealt.repartition(*tile).sortWithinPartitions(*tile)
+    bw = pixels.schema["bw"].dataType.simpleString()
+
+    def cleaned(rows: pa.Table, number: np.ndarray) -> list[pa.RecordBatch]:
+        value = lambda c: rows.column(c).to_numpy().astype(np.int64)
+        row = value("row") - value("_tile_row") * side + margin
+        col = value("col") - value("_tile_col") * side + margin
+        is_set = pc.fill_null(pc.equal(rows.column("bw"), 1), False).to_numpy()
+        cells = np.stack([number, row, col])[:, is_set]
+        large = np.zeros(len(number), bool)
+        large[is_set] = component_sizes(*cells, side + 2 * margin) >= size
+        inner = (row >= margin) & (row < side + margin) & (col >= margin) & (col < side + margin)
+        flags = pa.array(large.astype(np.int32)).cast(rows.schema.field("bw").type)
+        out = rows.set_column(rows.schema.names.index("bw"), "bw", flags)
+        return out.select(names).filter(pa.array(inner)).to_batches()
+
+    def work(batches):
+        held = None
+        for b in batches:
+            rows = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            at = np.stack([rows.column(c).to_numpy() for c in tile])
+            number = np.cumsum(np.append(0, (at[:, 1:] != at[:, :-1]).any(axis=0))) if rows.num_rows else at[0]
+            cut = int(np.searchsorted(number, number[-1])) if rows.num_rows else 0
+            if cut:
+                yield from cleaned(rows.slice(0, cut), number[:cut])
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield from cleaned(held, np.zeros(held.num_rows, np.int64))
+
+    schema = ", ".join(f"`{f.name}` {bw if f.name == 'bw' else f.dataType.simpleString()}" for f in pixels.schema)
+    return dealt.mapInArrow(work, schema)
+
+
+def component_sizes(tile: np.ndarray, row: np.ndarray, col: np.ndarray, side: int) -> np.ndarray:
+    """For each cell the number of cells in its 8-connected component of the same tile.
+
+    Rows and columns lie in 0…side − 1. Neighbours are looked up among the sorted cells; of two
+    neighbours' roots the higher is hung on the lower until all neighbours share one.
+    """
+    wide = side + 2
+    cells, at = np.unique((tile * wide + row + 1) * wide + col + 1, return_inverse=True)
+    ends = []
+    for step in (1, wide - 1, wide, wide + 1):
+        place = np.minimum(np.searchsorted(cells, cells + step), max(len(cells) - 1, 0))
+        met = np.flatnonzero(cells[place] == cells + step) if len(cells) else place
+        ends.append(np.stack([met, place[met]]))
+    a, b = np.concatenate(ends, axis=1)
+    root = np.arange(len(cells))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return np.bincount(root, minlength=len(cells))[root][at]
 
 
 def grey_histogram(pixels: DataFrame, width: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:

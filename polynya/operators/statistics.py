@@ -93,17 +93,33 @@ def residual_compare(
     return unpivot_columns(wide, [*ids, observed], list(predicted), "method", "residual")
 
 
-def anova_oneway(df: DataFrame, group: str, value: str, p_value: bool = False) -> DataFrame:
-    """value ~ group: the two rows (group, residuals) of the table."""
-    per_group = df.filter(known(F.col(value))).groupBy(group).agg(
-        F.count(value).alias("_n"), F.avg(value).alias("_m"), F.regr_sxx(F.col(value), F.col(value)).alias("_ss")
+def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group: n, mean m and the sum of squares ss around the mean (mergeable moments)."""
+    return df.filter(known(F.col(value))).groupBy(group).agg(
+        F.count(value).alias("n"), F.avg(value).alias("m"), F.regr_sxx(F.col(value), F.col(value)).alias("ss")
     )
-    all_ = per_group.agg(
-        F.sum("_n").alias("n"),
+
+
+def variance_parts(moments: DataFrame) -> DataFrame:
+    """One row: n, number of groups k, sums of squares between and within groups.
+
+    Means are taken from a centre among them before they are squared, so that a spread far
+    below the level of the values is not lost.
+    """
+    centred = moments.crossJoin(F.broadcast(moments.agg(F.avg("m").alias("_c"))))  # one row
+    d = F.col("m") - F.col("_c")
+    shift = F.sum(F.col("n") * d)
+    return centred.agg(
+        F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("k"),
-        (F.sum(F.col("_n") * F.col("_m") * F.col("_m")) - F.sum(F.col("_n") * F.col("_m")) * F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("between"),
-        F.sum("_ss").alias("within"),
+        (F.sum(F.col("n") * d * d) - shift * shift / F.sum("n")).alias("between"),
+        F.sum("ss").alias("within"),
     )
+
+
+def anova_oneway(df: DataFrame, group: str, value: str, p_value: bool = False) -> DataFrame:
+    """value ~ group: the two rows (group, residuals) of the table."""
+    all_ = variance_parts(group_moments(df, group, value))
     df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
     ms1, ms2 = F.try_divide("between", df1), F.try_divide("within", df2)
     stat = F.try_divide(ms1, ms2)
@@ -146,23 +162,34 @@ def f_tail(stat: Column, df1: Column, df2: Column) -> Column:
     return F.try_divide(integral(cut), integral(F.lit(math.pi / 2)))
 
 
+PAIR_BLOCKS = 16
+
+
 def tukey_pairs(df: DataFrame, group: str, value: str, with_k: bool = False) -> DataFrame:
     """Differences of all pairs of group means with standard error and studentised range.
 
-    Works on the one-row-per-group means; the pairs come from an array of those means, whose
-    length is the number of groups.
+    Groups are dealt to blocks, and every pair of blocks is one key of an equi-join: no row holds
+    all means, and no task more than two blocks of them.
     """
-    means = df.filter(known(F.col(value))).groupBy(group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("m"), F.regr_sxx(F.col(value), F.col(value)).alias("ss")
+    means = group_moments(df, group, value)
+    pooled = variance_parts(means).select(
+        (F.col("within") / (F.col("n") - F.col("k"))).alias("ms"), (F.col("n") - F.col("k")).alias("df"), "k"
+    )
+    block = F.pmod(F.xxhash64(group), F.lit(PAIR_BLOCKS)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))).alias("_other")
+    dealt = means.select(F.col(group).alias("g"), "n", "m", block.alias("_block"), other).withColumn(
+        "_pair", F.struct(F.least("_block", "_other").alias("a"), F.greatest("_block", "_other").alias("b"))
     )
-    cell = F.struct(F.col(group).alias("g"), "n", "m")
-    one = means.agg(
-        F.array_sort(F.collect_list(cell)).alias("a"),
-        (F.sum("ss") / (F.sum("n") - F.count(F.lit(1)))).alias("ms"),
-        (F.sum("n") - F.count(F.lit(1))).alias("df"),
+    lo, hi = dealt.alias("lo"), dealt.alias("hi")
+    # A pair of groups meets at the pair of their blocks alone.
+    met = lo.join(
+        hi,
+        (F.col("lo._pair") == F.col("hi._pair"))
+        & (F.col("lo._other") == F.col("hi._block"))
+        & (F.col("hi._other") == F.col("lo._block"))
+        & (F.col("lo.g") < F.col("hi.g")),
     )
-    first = one.select("ms", "df", "a", F.posexplode("a").alias("i", "lo"))
-    pairs = first.select("ms", "df", "a", "lo", F.explode(F.expr("slice(a, i + 2, size(a))")).alias("hi"))
+    pairs = met.crossJoin(F.broadcast(pooled))  # one row
     se = F.sqrt(F.col("ms") / 2 * (1 / F.col("lo.n") + 1 / F.col("hi.n")))
     diff = F.col("hi.m") - F.col("lo.m")
     return pairs.select(
@@ -172,7 +199,7 @@ def tukey_pairs(df: DataFrame, group: str, value: str, with_k: bool = False) ->
         se.alias("std_error"),
         F.try_divide(F.abs(diff), se).alias("q"),
         "df",
-        *([F.size("a").alias("k")] if with_k else []),
+        *([F.col("k")] if with_k else []),
     )
 
 

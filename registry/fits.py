@@ -100,7 +100,8 @@ def residual_compare(t):
 # -- analysis of variance, pairs, correlations ----------------------------------------------
 
 _GROUPS = """, g AS (SELECT source, count(value) AS n, avg(value) AS m, regr_sxx(value, value) AS ss FROM sources GROUP BY 1),
-   a AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b, sum(ss) AS w FROM g)"""
+   c AS (SELECT avg(m) AS c FROM g),
+   a AS (SELECT sum(n) AS n, count(*) AS k, sum(n * (m - c) * (m - c)) - sum(n * (m - c)) * sum(n * (m - c)) / sum(n) AS b, sum(ss) AS w FROM g, c)"""
 
 
 @query(
@@ -109,15 +110,18 @@ _GROUPS = """, g AS (SELECT source, count(value) AS n, avg(value) AS m, regr_sxx
         "sources",
         _GROUPS
         + """SELECT 'source' AS term, CAST(k - 1 AS BIGINT) AS df, round(b, 4) AS sumsq, round(b / (k - 1), 4) AS meansq,
-             round((b / (k - 1)) / (w / (n - k)), 6) AS statistic FROM a
-             UNION ALL SELECT 'Residuals', CAST(n - k AS BIGINT), round(w, 4), round(w / (n - k), 4), NULL FROM a""",
+             round((b / (k - 1)) / (w / (n - k)), 6) AS statistic,
+             round(list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+               * pow(sin(cut / 2000 * i), n - k - 1) * pow(cos(cut / 2000 * i), k - 2))) * cut / 6000
+               / (list_sum(list_transform(range(2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+               * pow(sin(pi() / 4000 * i), n - k - 1) * pow(cos(pi() / 4000 * i), k - 2))) * pi() / 12000), 6) AS p_value
+             FROM (SELECT *, asin(sqrt((n - k)::DOUBLE / ((n - k) + (k - 1) * (b / (k - 1)) / (w / (n - k))))) AS cut FROM a)
+             UNION ALL SELECT 'Residuals', CAST(n - k AS BIGINT), round(w, 4), round(w / (n - k), 4), NULL, NULL FROM a""",
     ),
 )
 def anova_oneway(t):
-    out = st.anova_oneway(v.sources(t), "source", "value")
-    return out.withColumns(
-        {"sumsq": F.round("sumsq", 4), "meansq": F.round("meansq", 4), "statistic": F.round("statistic", 6)}
-    )
+    out = st.anova_oneway(v.sources(t), "source", "value", p_value=True)
+    return rounded(rounded(out, 4, "sumsq", "meansq"), 6, "statistic", "p_value")
 
 
 @query(

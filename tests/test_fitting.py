@@ -1,6 +1,7 @@
 """Fits and splines: known curves, and the spread plans against the plain ones."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -145,3 +146,22 @@ def test_tukey(spark):
         assert (r["conf_high"] - r["estimate"]) / r["std_error"] == pytest.approx(3.5317, abs=2e-3)
     table = st.anova_oneway(df, "g", "v", p_value=True).collect()
     assert table[0]["df"] == 2 and table[1]["df"] == 24 and table[0]["p_value"] < 1e-6
+
+
+def test_anova_and_pairs_far_from_zero(spark):
+    """Groups 1e-3 apart around 1e9: what is left of the spread after storage, not of a difference of squares."""
+    import itertools
+
+    values = {g: [1e9 + 1e-3 * g + 1e-3 * ((7 * i) % 11 - 5) for i in range(30)] for g in range(40)}
+    df = spark.createDataFrame([(g, x) for g, xs in values.items() for x in xs], "g int, x double").repartition(5)
+    exact = {g: [Fraction(x) for x in xs] for g, xs in values.items()}
+    mean = {g: sum(xs) / len(xs) for g, xs in exact.items()}
+    grand = sum(map(sum, exact.values())) / sum(map(len, exact.values()))
+    between = float(sum(30 * (m - grand) ** 2 for m in mean.values()))
+    within = float(sum((x - mean[g]) ** 2 for g, xs in exact.items() for x in xs))
+    got = {r["term"]: r for r in st.anova_oneway(df, "g", "x").collect()}
+    assert got["g"]["sumsq"] == pytest.approx(between, rel=1e-3)
+    assert got["Residuals"]["sumsq"] == pytest.approx(within, rel=1e-3)
+    pairs = {(r["group1"], r["group2"]): r["estimate"] for r in st.tukey_pairs(df, "g", "x").collect()}
+    assert set(pairs) == set(itertools.combinations(range(40), 2))
+    assert pairs[3, 9] == pytest.approx(float(mean[9] - mean[3]), abs=3e-7)

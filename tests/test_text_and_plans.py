@@ -197,3 +197,39 @@ def test_otsu(spark):
     df = spark.createDataFrame(data, "image_id int, row int, col int, v double")
     got = im.binarise(df)
     assert got.filter("bw = 1").count() == 20
+
+
+def test_components_over_tile_edges_equal_flood_fill(spark):
+    import random
+
+    rng = random.Random(3)
+    on = {(r, c) for r in range(-30, 60) for c in range(70) if rng.random() < 0.3}
+    data = [(1, r, c, 1 if (r, c) in on else None if (r + c) % 9 == 0 else 0, "x") for r in range(-30, 60) for c in range(70)]
+    df = spark.createDataFrame(data, "image_id int, row int, col int, bw int, _tile string").repartition(3)
+    for size in (1, 5, 9):
+        got = {(r["row"], r["col"]) for r in im.remove_small(df, size, side=16).collect() if r["bw"] == 1}
+        want, left = set(), set(on)
+        while left:
+            todo, part = [left.pop()], []
+            while todo:
+                r, c = todo.pop()
+                part.append((r, c))
+                near = {(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            want |= set(part) if len(part) >= size else set()
+        assert got == want
+
+
+def test_sliding_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    px = {(r, c): float(rng.randint(0, 99)) for r in range(6) for c in range(90) if rng.random() < 0.8}
+    df = spark.createDataFrame([(1, r, c, v) for (r, c), v in px.items()], "image_id int, row int, col int, v double")
+    for radius in (2, 9, 14, 50):
+        for f, pick in ((F.min, min), (F.max, max)):
+            got = {(r["row"], r["col"]): r["v"] for r in im._sliding(df, "col", "row", radius, f).collect()}
+            assert got == {
+                (r, c): pick(px[r, k] for k in range(c - radius, c + radius + 1) if (r, k) in px) for r, c in px
+            }
