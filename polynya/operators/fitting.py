@@ -50,6 +50,11 @@ class Shape:
         fine = self.step / self.zoom_by**round_
         return [(i - half) * fine for i in range(self.zoom_points)]
 
+    def on_edge(self, s: str) -> str:
+        """Did the winner end at the edge of the first grid? A floor is a value, not an edge."""
+        above = f"{s} > {number(self.high - self.step / 2)}"
+        return above if math.isfinite(self.floor) else f"({s} < {number(self.low + self.step / 2)} OR {above})"
+
     def parameter(self, s: str) -> str:
         return f"({self.value.format(s=s)})"
 
@@ -72,13 +77,14 @@ def fit_separable(
     rounds: int = 2,
     share_rows: int = SHARE_ROWS,
 ) -> DataFrame:
-    """One row per group: n, amplitude, offset, the shape values, rss, total sum of squares.
+    """One row per group: n, amplitude, offset, the shape values, rss, total sum of squares, at_edge.
 
     g is ``basis * weight``, SQL text over ``_x``: the basis uses the first shape's value
     ``{0}``, the weight those of the others (``{1}``). The first shape is a LOG_SCALE one, so
     its grid values are multiples of each other. ``low`` is the lower bound of the amplitude,
     SQL text over the smallest y (``_ymin``). A group with fewer rows than parameters, or that
-    no shape fits, keeps its row with null parameters.
+    no shape fits, keeps its row with null parameters. ``at_edge`` marks a curve whose best shape
+    lies at the edge of the grid: the data hardly tell it from shapes beyond.
     """
     keys = list(keys)
     given = df.filter(known(F.col(x)) & known(F.col(y))).select(
@@ -174,6 +180,7 @@ def fit_separable(
         "_my - _a * _sg / _n AS offset",
         *[f"{s.parameter(n)} AS {s.name}" for s, n in zip(shapes, names)],
         "greatest(_rss, 0D) AS rss",
+        " OR ".join(s.on_edge(n) for s, n in zip(shapes, names)) + " AS at_edge",
     )
     every = sizes.select(*ks, F.col("_n").alias("n"), F.col("_syy").alias("tss"))
     out = every.join(final, ks, "left")
@@ -199,7 +206,7 @@ def pe_saturating(df: DataFrame, keys: Sequence[str], light: str = "light", p: s
     fit = fit_separable(df, keys, light, p, [SATURATION], "1 - exp(-{0} * _x)", low=PS_FLOOR, **kw)
     return fit.selectExpr(
         *keys, "n", "tss", "amplitude AS ps", "kappa * amplitude AS alpha",
-        "CAST(NULL AS DOUBLE) AS beta", "offset AS p0", "rss",
+        "CAST(NULL AS DOUBLE) AS beta", "offset AS p0", "rss", "at_edge",
     )
 
 
@@ -215,7 +222,7 @@ def pe_photoinhibition(
     )
     return fit.selectExpr(
         *keys, "n", "tss", "amplitude AS ps", "kappa * amplitude AS alpha",
-        "mu * amplitude AS beta", "offset AS p0", "rss",
+        "mu * amplitude AS beta", "offset AS p0", "rss", "at_edge",
     )
 
 
@@ -226,7 +233,7 @@ def nls_decay(
     fit = fit_separable(
         df, keys, depth, par, [DECAY], f"exp(-{{0}} * (_x - {number(reference)}))", **kw
     )
-    return fit.selectExpr(*keys, "n", "amplitude AS a0", "kd", "offset AS k", "rss")
+    return fit.selectExpr(*keys, "n", "amplitude AS a0", "kd", "offset AS k", "rss", "at_edge")
 
 
 def saturating_curve(light: Column) -> Column:
@@ -239,3 +246,13 @@ def predict_curve(params: DataFrame, keys: Sequence[str], at: DataFrame, light:
     fitted = params.filter(F.col("ps").isNotNull()).select(*keys, "ps", "alpha", "beta", "p0")
     joined = null_safe_join(at, fitted, keys)
     return joined.withColumn("fitted", saturating_curve(F.col(light))).drop("ps", "alpha", "beta", "p0")
+
+
+def predict_decay(
+    params: DataFrame, keys: Sequence[str], at: DataFrame, depth: str = "depth", reference: float = 10.0
+) -> DataFrame:
+    """Fitted decay at every row of ``at``; rows of unfitted groups are dropped."""
+    fitted = params.filter(F.col("a0").isNotNull()).select(*keys, "a0", "kd", "k")
+    joined = null_safe_join(at, fitted, keys)
+    value = F.col("a0") * F.exp(-F.col("kd") * (F.col(depth) - F.lit(reference))) + F.col("k")
+    return joined.withColumn("fitted", value).drop("a0", "kd", "k")

@@ -125,6 +125,8 @@ v._view(
     "dic_obs", "ctd",
 )
 
+v.SHARED |= {"ctd", "cast_mean", "dic_obs", "dic_place"}
+
 
 def ctd_and_dic(t):
     nan = F.lit(float("nan"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -250,6 +251,11 @@ def fit_sql(source: str, key: str, x: str, y: str, shapes, basis: str, rounds: i
     return ",\n".join(ctes)
 
 
+def tagged(sql: str, tag: str) -> str:
+    """The fit with its CTEs renamed, so that one query can hold several."""
+    return re.sub(r"\b(pts|sizes|base|g\d|score\d|best\d|fit)\b", rf"{tag}\1", sql)
+
+
 _SAT = fit_sql("curve_obs", "curve", "light", "p", [fitting.SATURATION], "1 - exp(-s0_ * x)", 2, low=True)
 _INH = fit_sql(
     "curve_obs1", "curve", "light", "p", [fitting.SATURATION_2D, fitting.INHIBITION],
@@ -321,6 +327,20 @@ def nls_decay(t):
     )
 
 
+@query(
+    "nls_decay_fitted",
+    sql_with(
+        "decay_obs",
+        "," + _DECAY + """ SELECT file, depth, par, round(amplitude * exp(-kd * (depth - 10)) + off, 5) AS fitted
+           FROM decay_obs JOIN fit ON k = file WHERE amplitude IS NOT NULL""",
+    ),
+)
+def nls_decay_fitted(t):
+    obs = decay_obs(t)
+    out = fitting.predict_decay(fitting.nls_decay(obs, ["file"], "depth", "par"), ["file"], obs)
+    return rounded(out, 5, "fitted")
+
+
 # Curves of three different lengths: some too short to fit.
 v._view(
     "short_obs",
@@ -372,6 +392,22 @@ def predict_curve(t):
     return out.select("kind", "curve", F.round("light", 4).alias("light"), F.round("fitted", 5).alias("fitted"))
 
 
+@query(
+    "predict_curve_inhibited",
+    sql_with(
+        "curve_obs1",
+        "," + _INH + """ SELECT curve, round(light, 4) AS light,
+           round(amplitude * (1 - exp(-kappa * light)) * exp(-mu * light) + off, 5) AS fitted
+           FROM curve_obs1 JOIN fit ON k = curve WHERE amplitude IS NOT NULL""",
+    ),
+)
+def predict_curve_inhibited(t):
+    obs = v.curve_obs(t, inhibited=True)
+    params = fitting.pe_photoinhibition(obs, ["curve"], ps_max=10.0)
+    out = fitting.predict_curve(params, ["curve"], obs.select("curve", "light"))
+    return out.select("curve", F.round("light", 4).alias("light"), F.round("fitted", 5).alias("fitted"))
+
+
 # -- light-response pipeline ----------------------------------------------------------------
 
 v._view(
@@ -456,6 +492,40 @@ def pe_metrics(t):
     return out.select("curve", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
+_CHOSEN = "(SELECT p.* FROM production p JOIN choice USING (curve) WHERE p IS NOT NULL AND model_type = '{}')"
+_MODELS = (
+    tagged(
+        fit_sql(
+            _CHOSEN.format("model1"), "curve", "light", "p", [fitting.SATURATION_2D, fitting.INHIBITION],
+            "(1 - exp(-s0_ * x)) * exp(-s1_ * x)", 3, low=True,
+        ),
+        "one_",
+    )
+    + ","
+    + tagged(fit_sql(_CHOSEN.format("model2"), "curve", "light", "p", [fitting.SATURATION], "1 - exp(-s0_ * x)", 2, low=True), "two_")
+)
+
+
+@query(
+    "pe_chosen_metrics",
+    sql_with(
+        "production",
+        _CHOICE + "," + _MODELS
+        + """ SELECT 'model1' AS model_type, k AS curve, n, round(1 - rss / nullif(n * (tss / nullif(n - 1, 0)), 0), 5) AS r2,
+             amplitude IS NOT NULL AS is_fitted, mu * amplitude IS NOT NULL AS has_beta FROM one_fit
+             UNION ALL SELECT 'model2', k, n, round(1 - rss / nullif(n * (tss / nullif(n - 1, 0)), 0), 5), amplitude IS NOT NULL, false FROM two_fit""",
+    ),
+)
+def pe_chosen_metrics(t):
+    usable = production(t).filter(F.col("p").isNotNull())
+    chosen = lc.model_choice(usable, ["curve"], ["l_orderkey", "l_linenumber"])
+    out = lc.metrics(lc.fit_curves(usable.join(chosen, "curve"), ["curve"]))
+    return out.select(
+        "model_type", "curve", "n", F.round("r2", 5).alias("r2"), F.col("ps").isNotNull().alias("is_fitted"),
+        F.col("beta").isNotNull().alias("has_beta"),
+    )
+
+
 @query(
     "pe_normalised",
     sql_with(

@@ -10,6 +10,8 @@ from registry.base import Tables
 # SQL text of each view; ``sql_with`` puts the needed ones in front of a query.
 VIEWS: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
+# Views that a query reads several times and that cost more than a scan.
+SHARED: set[str] = set()
 
 
 def _view(name: str, sql: str, *needs: str) -> None:
@@ -28,7 +30,7 @@ def sql_with(names: str, body: str, recursive: bool = False) -> str:
 
     for n in names.split():
         visit(n)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in ordered)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({VIEWS[n]})" for n in ordered)
     word = "WITH RECURSIVE" if recursive else "WITH"
     return f"{word} {ctes}\n{body}"
 

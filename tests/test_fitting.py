@@ -165,3 +165,17 @@ def test_anova_and_pairs_far_from_zero(spark):
     pairs = {(r["group1"], r["group2"]): r["estimate"] for r in st.tukey_pairs(df, "g", "x").collect()}
     assert set(pairs) == set(itertools.combinations(range(40), 2))
     assert pairs[3, 9] == pytest.approx(float(mean[9] - mean[3]), abs=3e-7)
+
+
+def test_edge_of_the_grid_is_marked_and_decay_is_predicted(spark):
+    lights = [0.0] + [float(x) for x in range(50, 1000, 50)]
+    data = [("steep", x, p) for x, p in curve(2.0, 60.0, 0.0, 0.1, lights)]
+    data += [("plain", x, p) for x, p in curve(2.0, 0.02, 0.0, 0.1, lights)]
+    df = spark.createDataFrame(data, "k string, light double, p double")
+    got = {r["k"]: r["at_edge"] for r in fitting.pe_saturating(df, ["k"]).collect()}
+    assert got == {"steep": True, "plain": False}
+    points = [("f", float(d), 3 * math.exp(-0.2 * (d - 10)) + 1) for d in range(0, 40, 2)] + [("short", 1.0, 2.0)]
+    obs = spark.createDataFrame(points, "file string, depth double, par double")
+    out = fitting.predict_decay(fitting.nls_decay(obs, ["file"], "depth", "par"), ["file"], obs).collect()
+    assert {r["file"] for r in out} == {"f"}
+    assert all(r["fitted"] == pytest.approx(r["par"], rel=1e-2) for r in out)
