@@ -173,11 +173,12 @@ def bin_lookup(bins: DataFrame, rows: int, bin_num: str = "bin_num") -> DataFram
 
 def reproject(
     grid: DataFrame, projection: PolarStereographic, resolution: float, west: float, south: float,
-    dx: float, dy: float, low: float | None = None, high: float | None = None,
+    dx: float, dy: float, low: float | None = None, high: float | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
     """Regular lon/lat grid (ix, iy, lon, lat, value) to a grid in projected metres, bilinear.
 
-    Cells with a missing neighbour are dropped; ``low``/``high`` clamp the result.
+    Cells with a missing neighbour are dropped; ``low``/``high`` clamp the result. ``by`` names the
+    columns of several grids on the same cells, such as days.
     """
     x, y = projection.forward(F.col("lon"), F.col("lat"))
     corners = grid.select(x.alias("x"), y.alias("y")).agg(
@@ -198,8 +199,8 @@ def reproject(
     )
     near = place.select("px", "py", F.inline(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])))
     value = (
-        near.join(grid.select("ix", "iy", "value"), ["ix", "iy"])
-        .groupBy("px", "py")
+        near.join(grid.select(*by, "ix", "iy", "value"), ["ix", "iy"])
+        .groupBy(*by, "px", "py")
         .agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.count("value").alias("_n"))
         .filter(F.col("_n") == 4)
     )
@@ -207,7 +208,7 @@ def reproject(
     if low is not None:
         v = clamp(v, low, high)
     return value.select(
-        ((F.col("px") + 0.5) * resolution).alias("x"), ((F.col("py") + 0.5) * resolution).alias("y"),
+        *by, ((F.col("px") + 0.5) * resolution).alias("x"), ((F.col("py") + 0.5) * resolution).alias("y"),
         v.alias("value"),
     )
 
@@ -272,10 +273,10 @@ def inside_polygons(
         poly, "_west", "_east", "_n", F.ceil(F.log2(size)).cast("int").alias("_size")
     )
     per_size = extent.groupBy("_size").agg(F.ceil(F.avg("_n")).cast("bigint").alias("_bands"))
-    # One row for each exponent of a double at most.
-    scales = [(r["_size"], r["_bands"]) for r in per_size.collect()] or [(0, 1)]
-    side = F.pow(F.lit(2.0), F.col("_size"))
-    bands = F.coalesce(*[F.when(F.col("_size") == n, F.lit(b)) for n, b in scales])
+    # One row; it lists one entry for each exponent of a double at most.
+    scales = per_size.agg(F.collect_list(F.struct("_size", "_bands")).alias("_scales"))
+    extent = extent.join(F.broadcast(per_size), "_size")
+    side, bands = F.pow(F.lit(2.0), F.col("_size")), F.col("_bands")
     column, band = (lambda c: F.floor(c / side)), (lambda c: F.floor(c * bands / side))
     sized = null_safe_join(edges.filter(F.col("y1") != F.col("y2")), extent, [poly])
     cut = sized.withColumn(
@@ -284,13 +285,13 @@ def inside_polygons(
     at = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y")).filter(
         known(F.col("_x")) & known(F.col("_y"))
     ).distinct()
-    at = at.withColumn("_size", F.explode(F.array(*[F.lit(n) for n, _ in scales])))
+    at = at.crossJoin(F.broadcast(scales)).select("*", F.inline("_scales")).drop("_scales")
     at = at.withColumn("_column", column(F.col("_x"))).withColumn("_band", band(F.col("_y")))
     spans = (F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))
     cross_x = F.col("x1") + (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (
         F.col("x2") - F.col("x1")
     )
-    crossed = at.join(cut, ["_size", "_column", "_band"]).filter(spans & (F.col("_x") < cross_x))
+    crossed = at.join(cut.drop("_bands"), ["_size", "_column", "_band"]).filter(spans & (F.col("_x") < cross_x))
     return (
         crossed.groupBy(point_id, "_x", "_y", poly)
         .agg((F.count(F.lit(1)) % 2).alias("_odd"))
@@ -313,10 +314,9 @@ def polygon_mask(
                 for c in ("x", "y")
                 for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest))
             ]
-        ).first()
-        kept = cells.filter(
-            F.col(x).between(e["lo_x"], e["hi_x"]) & F.col(y).between(e["lo_y"], e["hi_y"])
         )
+        within = F.col(x).between(F.col("lo_x"), F.col("hi_x")) & F.col(y).between(F.col("lo_y"), F.col("hi_y"))
+        kept = cells.crossJoin(F.broadcast(e)).filter(within).drop(*e.columns)  # one row
     inside = inside_polygons(kept, cell_id, x, y, edges, poly).select(cell_id).distinct()
     return null_safe_join(kept, inside, [cell_id], "left_anti")
 

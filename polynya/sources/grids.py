@@ -45,6 +45,30 @@ def grid_to_cells(
     )
 
 
+def crop_arrays(
+    df: DataFrame, lon: str, lat: str, layers: Sequence[str], west: float, east: float, south: float, north: float
+) -> DataFrame:
+    """Array records cut to a box (closed edges), columns from west to east.
+
+    Longitudes may run from 0 to 360 or from −180 to 180. The axis is turned so that it starts at
+    ``west``: a box over the seam, also one with ``west`` above ``east``, is one range of columns,
+    and longitudes come out rising from ``west``. A record outside the box keeps empty arrays.
+    """
+    nx = F.size(lon)
+    along = F.transform(lon, lambda x, i: F.struct(F.pmod(x - F.lit(west), F.lit(360.0)).alias("d"), i.alias("i")))
+    span = (east - west) % 360.0
+    cols = F.array_sort(F.filter(along, lambda c: c["d"] <= span))
+    rows = F.filter(F.transform(lat, lambda y, i: F.struct(y.alias("y"), i.alias("i"))), lambda r: r["y"].between(south, north))
+    placed = df.withColumns({"_cols": cols, "_rows": rows, "_nx": nx})
+    pick = lambda layer: F.flatten(
+        F.transform("_rows", lambda r: F.transform("_cols", lambda c: F.get(layer, (r["i"] * F.col("_nx") + c["i"]).cast("int"))))
+    )
+    cut = {layer: pick(layer) for layer in layers}
+    cut[lon] = F.transform("_cols", lambda c: F.lit(west) + c["d"])
+    cut[lat] = F.transform("_rows", lambda r: r["y"])
+    return placed.withColumns(cut).drop("_cols", "_rows", "_nx")
+
+
 def bands_to_long(
     df: DataFrame, ids: Sequence[str], bands: Sequence[str], time: str, value: str
 ) -> DataFrame:

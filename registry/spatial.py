@@ -30,6 +30,12 @@ def inverse_sql(p: geo.PolarStereographic, x: str, y: str) -> tuple[str, str]:
     return f"({num(p.lon_0)} + degrees(atan2({x}, -{y})))", f"degrees({chi} + {terms})"
 
 
+def crossing_sql(points: str, pid: str, edges: str) -> str:
+    """Pairs (point, polygon) inside, by crossing parity."""
+    return f"""SELECT p.{pid}, e.poly_id FROM {points} p JOIN {edges} e ON (e.y1 > p.lat) != (e.y2 > p.lat)
+        AND p.lon < e.x1 + (p.lat - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) GROUP BY 1, 2 HAVING count(*) % 2 = 1"""
+
+
 _SX, _SY = forward_sql(geo.SEA_ICE, "lon", "lat")
 
 _NEAR = f""", cx AS (SELECT cell_id, lon AS clon, lat AS clat, {_SX} AS mx, {_SY} AS my FROM cells WHERE lon BETWEEN -65 AND -50 AND lat BETWEEN 65 AND 72),
@@ -201,6 +207,29 @@ def array_files(t):
     )
 
 
+@query(
+    "wind_speed_arrays",
+    sql_with(
+        "stations",
+        """, px AS (SELECT vec_id, i % 8 AS c, i // 8 AS r, CAST(embedding[i + 1] AS DOUBLE) AS u, CAST(embedding[len(embedding) - i] AS DOUBLE) AS w
+             FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)),
+           cells AS (SELECT vec_id, u, w, (CASE WHEN 45 * c > 180 THEN 45 * c - 360 ELSE 45 * c END)::DOUBLE AS lon, 60 + 2.0::DOUBLE * r AS lat FROM px)
+           SELECT station, s.lat, s.lon, CAST(TIMESTAMP '2016-05-01 00:00:00' + to_hours(vec_id) AS TIMESTAMP) AS wind_date,
+           u AS uwnd, w AS vwnd, round(sqrt(u * u + w * w), 9) AS speed
+           FROM stations s JOIN cells c ON c.lon BETWEEN -90 AND -40 AND c.lat BETWEEN 64 AND 90
+           AND s.lon >= c.lon - 22.5::DOUBLE AND s.lon < c.lon + 22.5::DOUBLE AND s.lat >= c.lat - 1 AND s.lat < c.lat + 1""",
+    ),
+)
+def wind_speed_arrays(t):
+    hours = F.make_dt_interval(hours=F.col("vec_id"))
+    records = array_files(t).select(
+        (F.to_timestamp_ntz(F.lit("2016-05-01 00:00:00")) + hours).alias("wind_date"), "lon", "lat",
+        F.col("embedding").alias("uwnd"), F.col("second").alias("vwnd"),
+    )
+    out = fields.wind_from_arrays(v.stations(t), records, "wind_date", (-90.0, -40.0, 64.0, 90.0), 45.0, 2.0)
+    return out.select("station", "lat", "lon", "wind_date", "uwnd", "vwnd", F.round("speed", 9).alias("speed"))
+
+
 _CELL = """CASE WHEN 45 * (i % 8) > 180 THEN 45.0::DOUBLE * (i % 8) - 360 ELSE 45.0::DOUBLE * (i % 8) END AS lon, 60 + 2.0::DOUBLE * (i // 8) AS lat"""
 
 
@@ -261,6 +290,68 @@ def grid_reproject(t):
     return out.withColumn("value", F.round("value", 3))
 
 
+# Land with a hole in each polygon, and the grid of each day.
+v._view(
+    "land",
+    """SELECT poly_id, 0 AS ring, seq, x, y FROM rings UNION ALL
+       SELECT poly_id, 1, seq, (-66 + 4 * poly_id) + 0.4::DOUBLE * (x - (-66 + 4 * poly_id)), 68 + 0.4::DOUBLE * (y - 68) FROM rings""",
+    "rings",
+)
+v._view(
+    "day_grid",
+    """SELECT CAST(l_linenumber AS INTEGER) AS day, CAST(l_suppkey % 40 AS INTEGER) AS ix, CAST(l_partkey % 40 AS INTEGER) AS iy,
+       -66 + 0.4::DOUBLE * (l_suppkey % 40) AS lon, 64.5::DOUBLE + 0.2::DOUBLE * (l_partkey % 40) AS lat,
+       round(avg(l_extendedprice), 6) AS value FROM lineitem GROUP BY 1, 2, 3, 4, 5""",
+)
+
+
+def land(t):
+    rings = v.rings(t)
+    cx, cy = -66 + 4 * F.col("poly_id"), F.lit(68.0)
+    hole = rings.select(
+        "poly_id", F.lit(1).alias("ring"), "seq", (cx + F.lit(0.4) * (F.col("x") - cx)).alias("x"),
+        (cy + F.lit(0.4) * (F.col("y") - cy)).alias("y"),
+    )
+    return rings.select("poly_id", F.lit(0).alias("ring"), "seq", "x", "y").unionByName(hole)
+
+
+def day_grid(t):
+    ix, iy = F.col("l_suppkey") % 40, F.col("l_partkey") % 40
+    return t.lineitem.groupBy(
+        F.col("l_linenumber").cast("int").alias("day"), ix.cast("int").alias("ix"), iy.cast("int").alias("iy"),
+        (F.lit(-66) + F.lit(0.4) * ix).alias("lon"), (F.lit(64.5) + F.lit(0.2) * iy).alias("lat"),
+    ).agg(F.round(F.avg("l_extendedprice"), 6).alias("value")).withColumn("cell_id", F.col("iy") * 40 + F.col("ix"))
+
+
+@query(
+    "grid_map",
+    sql_with(
+        "day_grid land",
+        f""", ed AS (SELECT poly_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+             FROM land WINDOW w AS (PARTITION BY poly_id, ring ORDER BY seq)),
+           spot AS (SELECT DISTINCT iy * 40 + ix AS cell_id, lon, lat FROM day_grid),
+           grid AS (SELECT * FROM day_grid WHERE lon BETWEEN (SELECT min(x) FROM land) AND (SELECT max(x) FROM land)
+             AND lat BETWEEN (SELECT min(y) FROM land) AND (SELECT max(y) FROM land)
+             AND iy * 40 + ix NOT IN (SELECT cell_id FROM ({crossing_sql('spot', 'cell_id', 'ed')}))),
+           ext AS (SELECT floor(min({_SX}) / 40000) AS x1, floor(max({_SX}) / 40000) AS x2, floor(min({_SY}) / 40000) AS y1, floor(max({_SY}) / 40000) AS y2 FROM grid),
+           tx AS (SELECT CAST(unnest(range(CAST(x1 AS BIGINT), CAST(x2 AS BIGINT) + 1)) AS DOUBLE) AS px FROM ext),
+           ty AS (SELECT CAST(unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT) + 1)) AS DOUBLE) AS py FROM ext),
+           pl AS (SELECT px, py, ({_INV_LON} + 66) / 0.4::DOUBLE AS fx, ({_INV_LAT} - 64.5::DOUBLE) / 0.2::DOUBLE AS fy FROM tx, ty),
+           cn AS (SELECT px, py, fx, fy, floor(fx) AS ix, floor(fy) AS iy, unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b FROM pl),
+           wt AS (SELECT px, py, CAST(ix + a AS INTEGER) AS ix, CAST(iy + b AS INTEGER) AS iy,
+             CASE WHEN a = 1 THEN fx - ix ELSE 1 - (fx - ix) END * CASE WHEN b = 1 THEN fy - iy ELSE 1 - (fy - iy) END AS w FROM cn)
+           SELECT day, (px + 0.5::DOUBLE) * 40000 AS x, (py + 0.5::DOUBLE) * 40000 AS y, round(least(greatest(sum(w * value), 35000), 60000), 3) AS value
+           FROM wt JOIN grid USING (ix, iy) GROUP BY day, px, py HAVING count(value) = 4""",
+    ),
+)
+def grid_map(t):
+    edges = sp.ring_edges(land(t), ["poly_id", "ring"], small=True)
+    out = fields.grid_map(
+        day_grid(t), edges, geo.SEA_ICE, 40000.0, (-66.0, 64.5), (0.4, 0.2), (35000.0, 60000.0), by=["day"]
+    )
+    return out.withColumn("value", F.round("value", 3))
+
+
 _CX, _CY = forward_sql(geo.CAMERA, "lon", "lat")
 
 
@@ -352,12 +443,6 @@ def bin_lookup(t):
 # -- polygons -------------------------------------------------------------------------------
 
 
-def crossing_sql(points: str, pid: str, edges: str) -> str:
-    """Pairs (point, polygon) inside, by crossing parity."""
-    return f"""SELECT p.{pid}, e.poly_id FROM {points} p JOIN {edges} e ON (e.y1 > p.lat) != (e.y2 > p.lat)
-        AND p.lon < e.x1 + (p.lat - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) GROUP BY 1, 2 HAVING count(*) % 2 = 1"""
-
-
 _EDGES = """, ed AS (SELECT poly_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
     FROM rings WINDOW w AS (PARTITION BY poly_id ORDER BY seq))"""
 
@@ -373,7 +458,7 @@ _EDGES = """, ed AS (SELECT poly_id, x AS x1, y AS y1, coalesce(lead(x) OVER w,
     ),
 )
 def polygon_mask(t):
-    edges = sp.ring_edges(v.rings(t), ["poly_id"])
+    edges = sp.ring_edges(v.rings(t), ["poly_id"], small=True)
     return sp.polygon_mask(v.cells(t), "cell_id", "lon", "lat", edges).select("cell_id", "lon", "lat", "value")
 
 
@@ -392,7 +477,7 @@ def area_polygon(t):
     boxes = t.nation.select(
         k.cast("bigint").alias("poly_id"), west.alias("w"), (west + F.lit(1.5)).alias("e"), south.alias("s"), (south + F.lit(1.1)).alias("n")
     )
-    edges = sp.ring_edges(sp.box_rings(boxes, "poly_id", "w", "e", "s", "n"), ["poly_id"])
+    edges = sp.ring_edges(sp.box_rings(boxes, "poly_id", "w", "e", "s", "n"), ["poly_id"], small=True)
     inside = sp.inside_polygons(v.cells(t), "cell_id", "lon", "lat", edges)
     return inside.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n_cells"))
 

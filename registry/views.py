@@ -230,7 +230,7 @@ _view(
 def rings(t: Tables) -> DataFrame:
     from polynya.operators.ordered import Ordered
 
-    ranked = Ordered(t.nation, ["n_regionkey"], ["n_nationkey"]).cumulative(
+    ranked = Ordered(t.nation, ["n_regionkey"], ["n_nationkey"], small=True).cumulative(
         {"k": ("sum", F.lit(1))}
     )
     k = F.col("k").cast("int") - 1

@@ -135,3 +135,20 @@ def test_polygons_of_mixed_sizes_match_brute_force(spark):
         spark.createDataFrame(edges, "poly_id int, x1 double, y1 double, x2 double, y2 double"),
     )
     assert {tuple(r) for r in found.collect()} == want and len(want) > 40
+
+
+def test_arrays_are_turned_and_cropped(spark):
+    from polynya.sources.grids import crop_arrays, grid_to_cells
+
+    lon, lat = [float(x) for x in range(0, 360, 30)], [50.0, 60.0, 70.0]
+    cells = [100.0 * j + i for j in range(3) for i in range(12)]
+    df = spark.createDataFrame([(1, lon, lat, cells), (2, lon, lat, None), (3, [], [], [])],
+                               "id int, lon array<double>, lat array<double>, v array<double>")
+    for west, east in ((-70.0, 40.0), (290.0, 400.0)):
+        got = crop_arrays(df, "lon", "lat", ["v"], west, east, 55.0, 90.0).orderBy("id").collect()
+        assert [x % 360 for x in got[0]["lon"]] == [300.0, 330.0, 0.0, 30.0] and got[0]["lat"] == [60.0, 70.0]
+        assert got[0]["v"] == [110.0, 111.0, 100.0, 101.0, 210.0, 211.0, 200.0, 201.0]
+        assert got[2]["v"] == [] and got[2]["lon"] == []
+    seam = crop_arrays(df.filter("id = 1"), "lon", "lat", ["v"], 150.0, -150.0, 0.0, 55.0)
+    out = rows(grid_to_cells(seam, ["id"], "lon", "lat", "v"), "lon", "value")
+    assert out == [(-150.0, 7.0), (150.0, 5.0), (180.0, 6.0)]
