@@ -127,9 +127,11 @@ def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFr
 
 
 def distinct_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Distinct keys with the first full row by ``order``; an aggregate, so hot keys combine early."""
+    """Distinct keys with the first full row by ``order``, missing values last; an aggregate, so hot
+    keys combine early."""
     rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    place = F.struct(*[c for o in order for c in (F.col(o).isNull().alias(f"no_{o}"), F.col(o))])
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_row"))
     return first.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 

@@ -6,6 +6,7 @@ code serves a folder of files and a table that already holds the texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,18 +75,27 @@ def parse_delimited(
     sep: str = ",",
     na: Sequence[str] = ("",),
     quote: str = '"',
+    rest: str | None = None,
 ) -> DataFrame:
-    """Delimited lines to typed columns. Fields are read as text, missing tokens blanked, cast."""
+    """Delimited lines to typed columns. Fields are read as text, missing tokens blanked, cast.
+
+    ``rest`` names a column for what follows the fields of the schema, null where nothing does.
+    """
     as_text = ", ".join(f"`{f.name}` string" for f in schema.fields)
     fields = F.from_csv("line", as_text, {"sep": sep, "quote": quote, "mode": "PERMISSIVE"})
     keep = [c for c in lines.columns if c != "line"]
-    parsed = lines.select(*keep, fields.alias("_f"))
+    field = rf"[^{re.escape(sep)}]*"
+    if quote:
+        field = rf"(?:{quote}(?:[^{quote}]|{quote}{quote})*{quote}|{field})"
+    behind = regex_or_null(F.col("line"), rf"^(?:{field}{re.escape(sep)}){{{len(schema.fields)}}}(.*)$", 1)
+    parsed = lines.select(*keep, fields.alias("_f"), *([behind.alias("_rest")] if rest else []))
     return parsed.select(
         *keep,
         *[
             missing(F.col("_f")[f.name], na).try_cast(f.dataType).alias(f.name)
             for f in schema.fields
         ],
+        *([missing(F.col("_rest"), na).alias(rest)] if rest else []),
     )
 
 

@@ -41,12 +41,13 @@ _FIELDS = StructType([StructField(n, StringType()) for n in ("a", "b", "c")])
     sql_with(
         "lines",
         """, f AS (SELECT doc_id, pos, regexp_split_to_array(line, ',') AS p FROM lines WHERE pos >= 2 AND line != '')
-           SELECT doc_id, pos, nullif(nullif(p[1], ''), '*****') AS a, nullif(nullif(p[2], ''), '*****') AS b, nullif(nullif(p[3], ''), '*****') AS c FROM f""",
+           SELECT doc_id, pos, nullif(nullif(p[1], ''), '*****') AS a, nullif(nullif(p[2], ''), '*****') AS b, nullif(nullif(p[3], ''), '*****') AS c,
+           CASE WHEN len(p) > 3 THEN nullif(array_to_string(p[4:], ','), '') END AS rest FROM f""",
     ),
 )
 def banner_csv(t):
     kept = tx.skip_banner(v.lines(t), 2).filter("line != ''")
-    return tx.parse_delimited(kept, _FIELDS, sep=",", na=("", "*****"), quote="")
+    return tx.parse_delimited(kept, _FIELDS, sep=",", na=("", "*****"), quote="", rest="rest")
 
 
 @query(

@@ -233,3 +233,16 @@ def test_sliding_equals_brute_force(spark):
             assert got == {
                 (r, c): pick(px[r, k] for k in range(c - radius, c + radius + 1) if (r, k) in px) for r, c in px
             }
+
+
+def test_rest_of_a_line_and_missing_order_values(spark):
+    from polynya.operators.relational import distinct_first
+
+    lines = [(0, 'a;"x;y";3;more;fields'), (1, "a;b;3"), (2, "a;b;3;"), (3, "")]
+    df = spark.createDataFrame(lines, "pos int, line string")
+    schema = StructType([StructField(n, StringType()) for n in "abc"])
+    got = rows(tx.parse_delimited(df, schema, ";", rest="rest"), "pos", "b", "c", "rest")
+    assert got[:3] == [(0, "x;y", "3", "more;fields"), (1, "b", "3", None), (2, "b", "3", None)]
+    data = [("k", None, 1), ("k", 5, 2), ("k", 3, 3), ("only", None, 4)]
+    picked = distinct_first(spark.createDataFrame(data, "k string, o int, v int"), ["k"], ["o"])
+    assert rows(picked, "k", "v") == [("k", 3), ("only", 4)]
