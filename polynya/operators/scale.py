@@ -1,9 +1,4 @@
-"""Guards that keep a job whole when one key holds a large share of the rows.
-
-``largest_group`` answers with a single number. Operators that must see a group in order
-(or hold its values) use the one-shuffle plan while that number is small and a split plan,
-with the same result, beyond it.
-"""
+"""Shared scratch space, null-safe joins and totals of groups of any size."""
 
 from __future__ import annotations
 
@@ -14,8 +9,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_GROUP_ROWS = 2_000_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: the session's checkpoint folder, else (local runs) a new one."""
@@ -45,12 +38,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group. Reads the key columns only; partial counts cross the shuffle."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
-
-
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:

@@ -1,8 +1,8 @@
 """Cubic splines through the points of each group, sampled on an even grid.
 
 End conditions take the cubics through the four first and the four last points. The tridiagonal
-system of the second-derivative coefficients is solved by cyclic reduction: within a task (one
-vectorised pass per doubling) for ordinary groups, as joins of shifted rows for larger ones.
+system of the second-derivative coefficients is solved by cyclic reduction within a task (one
+vectorised pass per doubling). Long groups are cut into blocks that overlap.
 """
 
 from __future__ import annotations
@@ -13,35 +13,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from polynya.functions.scalars import known
-from polynya.operators.ordered import Ordered
-from polynya.operators.scale import MAX_GROUP_ROWS, durable, largest_group, null_safe_join, with_group
+from polynya.operators.ordered import SIDE, Ordered
 
+MARGIN = 60
 COEFFICIENTS = ("x", "y", "b", "c", "d", "x_next")
 
 
 def spline_resample(
     df: DataFrame, keys: Sequence[str], x: str, y: str, start: float, stop: float, by: float,
-    max_rows: int = MAX_GROUP_ROWS, small: bool = False,
+    small: bool = False, **kw,
 ) -> DataFrame:
     """(keys, x, y) on the grid start…stop; equal x are averaged first.
 
-    ``small``: groups are small by construction, and none is counted."""
+    ``small`` and ``kw`` are those of ``Ordered``, which cuts long groups into blocks."""
     keys = list(keys)
     knots = (
         df.filter(known(F.col(x)) & known(F.col(y)))
         .groupBy(*keys, F.col(x).cast("double").alias("x"))
         .agg(F.avg(y).alias("y"))
     )
-    small = small or largest_group(knots, keys) <= max_rows
-    if small or not keys:
-        segments = segments_in_task(knots, keys) if small else segments_by_joins(knots, keys)
-    else:  # a struct compares null fields as equal, so plain equi-joins keep every group
-        packed = knots.select(F.struct(*keys).alias("_k"), "x", "y")
-        segments = segments_by_joins(packed, ["_k"])
-        segments = segments.select(*[F.col("_k")[k].alias(k) for k in keys], *[c for c in segments.columns if c != "_k"])
+    segments = segments_in_blocks(knots, keys, small=small, **kw)
     return evaluate(segments, keys, start, stop, by).withColumnsRenamed({"x": x, "y": y})
 
 
@@ -60,6 +54,22 @@ def evaluate(segments: DataFrame, keys: Sequence[str], start: float, stop: float
     return at.select(*keys, F.col("_u").alias("x"), value.alias("y"))
 
 
+def segments_in_blocks(knots: DataFrame, keys: list[str], **kw) -> DataFrame:
+    """One row per segment with its cubic.
+
+    A long group is solved block by block, each with ``MARGIN`` knots of its neighbours: every row
+    of the system weighs its own unknown at least twice as much as the two beside it together, so
+    what happens at a block's outer ends is halved at each knot and gone, in doubles, at its own.
+    """
+    walk = Ordered(knots, keys, ["x"], **kw)
+    rows = walk.df.withColumn(SIDE, F.lit(0))
+    if walk.cuts:
+        for side in (1, -1):
+            rows = rows.unionByName(walk._neighbours(MARGIN, side))
+    solved = segments_in_task(rows, walk.parts)
+    return solved.filter(F.col(SIDE) == 0).drop(SIDE, *[c for c in walk.parts if c not in keys])
+
+
 def segments_in_task(knots: DataFrame, keys: list[str]) -> DataFrame:
     """One row per segment with its cubic; all groups of a batch are solved in one go.
 
@@ -74,7 +84,8 @@ def segments_in_task(knots: DataFrame, keys: list[str]) -> DataFrame:
     )
     fields = [StructField(c, DoubleType()) for c in COEFFICIENTS]
     schema = StructType(
-        [knots.schema[k] for k in keys] + fields + [StructField("is_first", BooleanType())]
+        [knots.schema[k] for k in keys] + fields
+        + [StructField("is_first", BooleanType()), StructField(SIDE, IntegerType())]
     )
 
     def solve(batches):
@@ -128,7 +139,7 @@ def segments_in_task(knots: DataFrame, keys: list[str]) -> DataFrame:
             out = pdf[keys].assign(
                 x=x, y=y, b=sl - h * (after + 2 * s), c=3 * s,
                 d=np.divide(after - s, h, out=np.zeros(m), where=h > 0),
-                x_next=np.where(inner, shifted(x, -1, np.nan), np.nan), is_first=first,
+                x_next=np.where(inner, shifted(x, -1, np.nan), np.nan), is_first=first, **{SIDE: pdf[SIDE]},
             )
             one = size == 1
             out.loc[one, ["b", "c", "d"]] = 0.0
@@ -147,85 +158,5 @@ def segments_in_task(knots: DataFrame, keys: list[str]) -> DataFrame:
         if waiting:
             yield segments(pd.concat(waiting, ignore_index=True))
 
-    solved = numbered.select(*keys, "x", "y", "_i").mapInPandas(solve, schema)
+    solved = numbered.select(*keys, "x", "y", "_i", SIDE).mapInPandas(solve, schema)
     return solved.withColumn("x_next", F.when(~F.isnan("x_next"), F.col("x_next")))
-
-
-def segments_by_joins(knots: DataFrame, keys: list[str]) -> DataFrame:
-    """The same segments with the rows of a group spread over the cluster."""
-    ranked = Ordered(knots, keys, ["x"]).cumulative({"i": ("sum", F.lit(1))})
-    sized = with_group(ranked, keys, {"n": F.max("i")})
-    near = Ordered(sized, keys, ["x"]).frame(
-        1, 1,
-        lambda w: {
-            "xl": F.lag("x").over(w), "yl": F.lag("y").over(w),
-            "xr": F.lead("x").over(w), "yr": F.lead("y").over(w),
-        },
-    )
-    ends = ranked.join(sized.select(*keys, "n").distinct(), keys).filter(
-        (F.col("i") <= 4) | (F.col("i") > F.col("n") - 4)
-    )
-    pick = lambda j: (F.max(F.when(F.col("i") == j, F.col("x"))), F.max(F.when(F.col("i") == j, F.col("y"))))
-    corner = {}
-    for side, at in (("a", lambda k: F.lit(k)), ("z", lambda k: F.col("n") - (4 - k))):
-        for k in range(1, 5):
-            corner[f"x{side}{k}"], corner[f"y{side}{k}"] = pick(at(k))
-    four = ends.groupBy(*keys).agg(*[c.alias(name) for name, c in corner.items()])
-
-    def third(side: str):
-        x = [F.col(f"x{side}{k}") for k in range(1, 5)]
-        y = [F.col(f"y{side}{k}") for k in range(1, 5)]
-        s = [(y[k + 1] - y[k]) / (x[k + 1] - x[k]) for k in range(3)]
-        return ((s[2] - s[1]) / (x[3] - x[1]) - (s[1] - s[0]) / (x[2] - x[0])) / (x[3] - x[0])
-
-    both = null_safe_join(near, four, keys)
-    hl, hr = F.col("x") - F.col("xl"), F.col("xr") - F.col("x")
-    first, last = F.col("i") == 1, F.col("i") == F.col("n")
-    end = F.col("n") > 3
-    system = both.select(
-        *keys, "i", "n", "x", "y", "xr", "yr",
-        F.when(first, -hr).when(last, -hl).otherwise(2 * (hl + hr)).alias("diag"),
-        F.when(first, F.when(end, third("a") * hr * hr).otherwise(0.0))
-        .when(last, F.when(end, -third("z") * hl * hl).otherwise(0.0))
-        .otherwise((F.col("yr") - F.col("y")) / hr - (F.col("y") - F.col("yl")) / hl).alias("rhs"),
-        F.coalesce(hl, F.lit(0.0)).alias("low"),
-        F.coalesce(hr, F.lit(0.0)).alias("up"),
-    )
-    longest = largest_group(ranked, keys)
-    solved = durable(system)
-    row = ["diag", "rhs", "low", "up"]
-    stride, step = 1, 0
-    while stride < longest:
-        moved = lambda by, tag: solved.select(
-            *keys, (F.col("i") + by).alias("i"), *[F.col(c).alias(f"{c}_{tag}") for c in row]
-        )
-        wide = solved.join(moved(stride, "l"), [*keys, "i"], "left").join(
-            moved(-stride, "r"), [*keys, "i"], "left"
-        )
-        p = F.coalesce(-F.col("low") / F.col("diag_l"), F.lit(0.0))
-        q = F.coalesce(-F.col("up") / F.col("diag_r"), F.lit(0.0))
-        get = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        solved = wide.select(
-            *keys, "i", "n", "x", "y", "xr", "yr",
-            (F.col("diag") + p * get("up_l") + q * get("low_r")).alias("diag"),
-            (F.col("rhs") + p * get("rhs_l") + q * get("rhs_r")).alias("rhs"),
-            (p * get("low_l")).alias("low"),
-            (q * get("up_r")).alias("up"),
-        )
-        stride, step = stride * 2, step + 1
-        if step % 4 == 0:
-            solved = durable(solved)
-    values = solved.withColumn("s", F.when(F.col("n") > 2, F.col("rhs") / F.col("diag")).otherwise(0.0))
-    ahead = values.select(*keys, (F.col("i") - 1).alias("i"), F.col("s").alias("sr"))
-    joined = values.join(ahead, [*keys, "i"], "left").filter((F.col("i") < F.col("n")) | (F.col("n") == 1))
-    h = F.col("xr") - F.col("x")
-    slope = (F.col("yr") - F.col("y")) / h
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return joined.select(
-        *keys, "x", "y",
-        zero(slope - h * (F.col("sr") + 2 * F.col("s"))).alias("b"),
-        zero(3 * F.col("s")).alias("c"),
-        zero((F.col("sr") - F.col("s")) / h).alias("d"),
-        F.when(F.col("i") < F.col("n") - 1, F.col("xr")).alias("x_next"),
-        (F.col("i") == 1).alias("is_first"),
-    )

@@ -91,7 +91,7 @@ def fmm(x, y, at):
     return np.array(out)
 
 
-@pytest.mark.parametrize("limit", [10_000, 10])
+@pytest.mark.parametrize("limit", [1, 8])
 def test_spline(spark, limit):
     rng = np.random.default_rng(1)
     x = np.sort(rng.uniform(395, 695, 37))
@@ -103,7 +103,7 @@ def test_spline(spark, limit):
     data += [("three", 450.0, 1.0), ("three", 550.0, 3.0), ("three", 650.0, 2.0)]
     df = spark.createDataFrame(data, "k string, w double, e double")
     got = {}
-    for r in spline_resample(df, ["k"], "w", "e", 400.0, 700.0, 1.0, max_rows=limit).collect():
+    for r in spline_resample(df, ["k"], "w", "e", 400.0, 700.0, 1.0, blocks=limit).collect():
         got.setdefault(r["k"], {})[r["w"]] = r["e"]
     grid = np.arange(400.0, 701.0)
     assert all(len(v) == 301 for v in got.values()) and len(got) == 5
@@ -179,3 +179,20 @@ def test_edge_of_the_grid_is_marked_and_decay_is_predicted(spark):
     out = fitting.predict_decay(fitting.nls_decay(obs, ["file"], "depth", "par"), ["file"], obs).collect()
     assert {r["file"] for r in out} == {"f"}
     assert all(r["fitted"] == pytest.approx(r["par"], rel=1e-2) for r in out)
+
+
+def test_spline_in_blocks_equals_one_system(spark):
+    from polynya.operators.ordered import Ordered
+
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.exponential(1.0, 4000) ** 3 + 1e-3)
+    data = [("long", float(a), float(b)) for a, b in zip(x, rng.normal(size=4000))]
+    data += [(k, float(i), float(i * i)) for k in ("short", None) for i in range(5)]
+    df = spark.createDataFrame(data, "k string, w double, e double")
+    assert len(Ordered(df, ["k"], ["w"], blocks=6).cuts[0][1]) >= 3
+    args = (["k"], "w", "e", 0.0, float(x[-1]), float(x[-1]) / 5000)
+    whole = rows(spline_resample(df, *args, small=True))
+    cut = rows(spline_resample(df, *args, blocks=6))
+    assert len(whole) == len(cut)
+    for a, b in zip(whole, cut):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
