@@ -119,7 +119,12 @@ def variance_parts(moments: DataFrame) -> DataFrame:
 
 def anova_oneway(df: DataFrame, group: str, value: str, p_value: bool = False) -> DataFrame:
     """value ~ group: the two rows (group, residuals) of the table."""
-    all_ = variance_parts(group_moments(df, group, value))
+    return anova_table(group_moments(df, group, value), group, p_value)
+
+
+def anova_table(moments: DataFrame, group: str, p_value: bool = False) -> DataFrame:
+    """The table of ``anova_oneway`` from ``group_moments``."""
+    all_ = variance_parts(moments)
     df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
     ms1, ms2 = F.try_divide("between", df1), F.try_divide("within", df2)
     stat = F.try_divide(ms1, ms2)
@@ -171,7 +176,11 @@ def tukey_pairs(df: DataFrame, group: str, value: str, with_k: bool = False) ->
     Groups are dealt to blocks, and every pair of blocks is one key of an equi-join: no row holds
     all means, and no task more than two blocks of them.
     """
-    means = group_moments(df, group, value)
+    return pairs_of_means(group_moments(df, group, value), group, with_k)
+
+
+def pairs_of_means(means: DataFrame, group: str, with_k: bool = False) -> DataFrame:
+    """The pairs of ``tukey_pairs`` from ``group_moments``."""
     pooled = variance_parts(means).select(
         (F.col("within") / (F.col("n") - F.col("k"))).alias("ms"), (F.col("n") - F.col("k")).alias("df"), "k"
     )
