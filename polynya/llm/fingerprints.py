@@ -7,7 +7,9 @@ the probability that the same k-mers are smallest and stand in the same order, w
 the edit distance, also when only the order changes.
 
 Definitions: a null text is the empty text. A text shorter than k is one k-mer, the whole text;
-the empty text has a signature of its own. Equal texts have equal signatures.
+the empty text has a signature of its own. Equal texts have equal signatures. Very long texts are
+read whole, at about 80 bytes of memory a character. Rows of one doc_id are told apart by their
+text; rows equal in both give equal results. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from polynya.llm.base import pieces, text_size, written
 
 FNV, GOLD = np.uint64(1099511628211), np.uint64(0x9E3779B97F4A7C15)
 MOST_CUTS = 500
+BLOCK = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -74,21 +77,37 @@ class Signer:
         occurrence = np.empty(len(kmer), np.uint64)
         occurrence[order] = run
         numbered = (mixed(kmer + GOLD * occurrence) >> np.uint64(32)).astype(np.uint32)
-        width = min(self.s.tuple_size, len(kmer))
-        rows = np.arange(self.s.functions)
-        chosen = np.empty((self.s.functions, width), np.int64)
-        value = (numbered[None, :] ^ self.shift) * self.factor
-        value ^= value >> np.uint32(15)
-        for i in range(width):
-            chosen[:, i] = value.argmin(1)
-            value[rows, chosen[:, i]] = np.uint32(0xFFFFFFFF)
+        chosen = self.smallest(numbered, min(self.s.tuple_size, len(kmer)))
         chosen.sort(1)
         out = np.full(self.s.functions, GOLD, np.uint64)
-        for i in range(width):
+        for i in range(chosen.shape[1]):
             out = mixed(out * FNV + kmer[chosen[:, i]])
         return (out >> np.uint64(32)).astype(np.uint32)
 
 
+    def smallest(self, numbered: np.ndarray, width: int) -> np.ndarray:
+        """Per function the places of the ``width`` smallest hashes, the first of equal ones.
+
+        Hashes are drawn for a block of k-mers at a time, and the smallest so far are kept.
+        """
+        rows = np.arange(self.s.functions)
+        for at in range(0, len(numbered), BLOCK):
+            value = (numbered[None, at : at + BLOCK] ^ self.shift) * self.factor
+            value ^= value >> np.uint32(15)
+            n = min(width, value.shape[1])
+            place, hashed = np.empty((len(rows), n), np.int64), np.empty((len(rows), n), np.uint32)
+            for i in range(n):
+                place[:, i] = value.argmin(1)
+                hashed[:, i] = value[rows, place[:, i]]
+                value[rows, place[:, i]] = np.uint32(0xFFFFFFFF)
+            if at:
+                place, hashed = np.hstack([kept_place, place + at]), np.hstack([kept_hash, hashed])
+                order = np.argsort(hashed, axis=1, kind="stable")[:, :width]
+                place, hashed = np.take_along_axis(place, order, 1), np.take_along_axis(hashed, order, 1)
+            kept_place, kept_hash = place, hashed
+        return kept_place
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of hash functions on which two signatures agree."""
     return float((a == b).mean())
