@@ -36,36 +36,43 @@ def assign(
 ) -> DataFrame:
     """Add ``shard`` and ``grown_shard`` (the shard once one of ``new_weight`` is added).
 
-    Rows with equal keys share a shard; a null key hashes as one key of its own. Other columns
-    are untouched, an empty table stays empty.
+    Rows with equal keys share a shard; a null key hashes as one key of its own. Columns of these
+    two names are replaced, all others are untouched, an empty table stays empty.
     """
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    won = docs.withColumn("_won", best(F.col(key), weights, seed))
+    mark = unused("won", docs)
+    won = docs.withColumn(mark, best(F.col(key), weights, seed))
     new = score(F.col(key), len(weights), new_weight, seed)
-    grown = F.when(new >= F.col("_won.score"), F.lit(len(weights))).otherwise(F.col("_won.shard"))
-    return won.withColumn("shard", F.col("_won.shard")).withColumn("grown_shard", grown).drop("_won")
+    grown = F.when(new >= F.col(mark)["score"], F.lit(len(weights))).otherwise(F.col(mark)["shard"])
+    return won.withColumns({"shard": F.col(mark)["shard"], "grown_shard": grown}).drop(mark)
 
 
 def slots(sharded: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add ``slot``, gapless from 0 within each shard.
+    """Add ``slot`` (one of that name is replaced), gapless from 0 within each shard.
 
     No shard passes through one task: rows are numbered within (input split, shard) and each
     split starts where the splits before it end. The splits are those of a reliable checkpoint,
     so a lost executor does not move rows between them. Rows equal in every column get
     different slots.
     """
-    fixed = durable(sharded).withColumn("_split", F.spark_partition_id())
-    counts = fixed.groupBy("_split", "shard").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_split", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_split", "shard").orderBy(*order)
-    numbered = fixed.withColumn("_at", F.row_number().over(within) - 1)
-    return (
-        numbered.join(starts, ["_split", "shard"])
-        .withColumn("slot", F.col("_start") + F.col("_at"))
-        .drop("_split", "_start", "_at")
-    )
+    split, start, at = (unused(name, sharded) for name in ("split", "start", "at"))
+    fixed = durable(sharded).withColumn(split, F.spark_partition_id())
+    counts = fixed.groupBy(split, "shard").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(split, "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(split, "shard").orderBy(*order)
+    numbered = fixed.withColumn(at, F.row_number().over(within) - 1)
+    slot = F.col(start) + F.col(at)
+    return numbered.join(starts, [split, "shard"]).withColumn("slot", slot).drop(split, start, at)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def op10_rendezvous_sharding(docs: DataFrame, shards: int = 16) -> DataFrame:

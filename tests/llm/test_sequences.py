@@ -199,3 +199,54 @@ def test_query_equals_sql(spark, key):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     verdict, _ = compare(spark, con, key, entry.queries()[key], entry.oracle_sql()[key], DATA)
     assert verdict.startswith("ok"), verdict
+
+
+def naive_signature(text, s):
+    """Order MinHash spelled out: number the k-mers, sort all hashes, put the smallest in text order."""
+    import numpy as np
+
+    from polynya.llm import fingerprints as fp
+
+    signer = fp.Signer(s)
+    kmer = [int(x) for x in signer.kmers(text)]
+    seen, numbered = {}, []
+    for x in kmer:
+        n = seen[x] = seen.get(x, -1) + 1
+        numbered.append(int(fp.mixed(np.array([x], np.uint64) + fp.GOLD * np.uint64(n))[0]) >> 32)
+    out = []
+    for factor, shift in zip(signer.factor[:, 0].tolist(), signer.shift[:, 0].tolist(), strict=True):
+        hashes = [((x ^ shift) * factor) % 2**32 for x in numbered]
+        hashes = [h ^ (h >> 15) for h in hashes]
+        picked = sorted(sorted(range(len(kmer)), key=lambda i: (hashes[i], i))[: s.tuple_size])
+        state = fp.GOLD
+        for i in picked:
+            state = fp.mixed(np.array([state * fp.FNV + np.uint64(kmer[i])], np.uint64))[0]
+        out.append(int(state) >> 32)
+    return out if kmer else [0] * s.functions
+
+
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_signatures_equal_naive_order_minhash(monkeypatch):
+    import numpy as np
+
+    from polynya.llm import fingerprints as fp
+
+    s = fp.Settings()
+    texts = ["", "a", "abcabcabcabc", "aaaaaaaaaaaaaaaaaaaaaaaa", "é\U0001f600 " * 20, "the quick brown fox " * 9]
+    plain = [fp.Signer(s).sign(t).tolist() for t in texts]
+    assert plain == [naive_signature(t, s) for t in texts]
+    monkeypatch.setattr(fp, "BLOCK", 7)
+    assert plain == [fp.Signer(s).sign(t).tolist() for t in texts]
+    assert np.isfinite(plain).all()
+
+
+def test_shards_leave_other_columns_alone(spark):
+    from polynya.llm import sharding
+
+    df = spark.createDataFrame([(i, f"w{i}", i * 2, "s", 9) for i in range(50)], "k int, won string, at int, split string, shard int")
+    out = sharding.slots(sharding.assign(df, "k", [1.0, 2.0]), ["k"])
+    got = {r["k"]: r for r in out.collect()}
+    assert all((r["won"], r["at"], r["split"]) == (f"w{k}", k * 2, "s") for k, r in got.items())
+    for shard in (0, 1):
+        slots = sorted(r["slot"] for r in got.values() if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
