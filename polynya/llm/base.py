@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -85,27 +86,25 @@ def unpack(body: bytes) -> list[np.ndarray]:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, chars: int
+    docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int
 ) -> list[tuple[str, int]]:
-    """Bounded training sample as (text, label), brought to the driver.
+    """Bounded training sample as (whole text, label), brought to the driver.
 
     At most ``per_class`` labelled ids of each class for which ``learn`` (a rule on doc_id)
-    holds, picked by a hash of the id, and of each text one stretch of at most ``chars``
-    characters that starts at a hashed place. Only the fit is bounded; scores read whole texts.
-    Null ids, texts and labels are left out.
+    holds, picked by a hash of the id. Only the number of rows of a fit is bounded; scores read
+    all rows. Null ids, texts and labels are left out; of several labels of one id the largest
+    counts, of several texts the smallest. The order of the sample is that of the ids' checksums.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(
         F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1) & learn
     )
+    known = known.groupBy("doc_id").agg(F.max("_y").alias("_y"))
     place = F.xxhash64(F.lit(label), F.col("doc_id"))
     picked = [known.where(F.col("_y") == y).orderBy(place, "doc_id").limit(per_class) for y in (0, 1)]
-    few = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
-    room = F.greatest(F.length("text") - chars, F.lit(0))
-    start = F.pmod(F.xxhash64(F.lit("start"), F.col("doc_id")), room + 1) + 1
-    stretch = F.substr(F.col("text"), start.cast("int"), F.lit(chars)).alias("_text")
-    found = docs.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("doc_id", stretch, "_y")
-    rows = found.dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: (hash(r.doc_id) * 2654435761 % 2**32, r.doc_id))
+    few = picked[0].unionByName(picked[1])
+    found = docs.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")
+    rows = found.groupBy("doc_id", "_y").agg(F.min(F.col("text").cast("string")).alias("_text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id)))
     return [(r._text, r._y) for r in rows]
 
 

@@ -6,7 +6,9 @@ and softmax are trained by stochastic gradient descent. Once trained, the softma
 each vector beforehand, so scoring a text sums one number per feature over the whole text.
 
 Definitions: a null or empty text has no features and gets the score of the mean of the training
-texts. Case and marks count. Equal texts get equal scores.
+texts. Case and marks count. Equal texts get equal scores, repeated rows one each. Very long
+texts are read whole, in memory that grows with the text (about 60 bytes a character). An empty
+table gives an empty one; without labels of both classes every score is 1.
 """
 
 from __future__ import annotations
@@ -29,10 +31,9 @@ SPREAD = np.uint32(2654435769)
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class`` and ``chars`` bound the sample that the fit sees; nothing else is bounded."""
+    """``per_class`` bounds the labelled rows that the fit sees, whole texts; nothing else is bounded."""
 
     per_class: int = 2000
-    chars: int = 6000
     bits: int = 17
     dim: int = 8
     orders: tuple[int, ...] = (2, 3, 4)
@@ -64,7 +65,7 @@ def features(text: str, s: Settings) -> np.ndarray:
     start = np.repeat(blank, np.diff(np.append(blank, len(code))))
     within = np.arange(len(code)) - start
     powers = np.cumprod(np.full(int(within.max()) + 1, PRIME, np.uint32), dtype=np.uint32)
-    word = np.add.reduceat(code * powers[within], blank[:-1], dtype=np.uint32)
+    word = np.add.reduceat((code * powers[within])[:-1], blank[:-1], dtype=np.uint32)
     out.append(word ^ np.uint32(0x5BD1E995))
     # Word pairs by shape: the second repeats the first, or not.
     again = (word[1:] == word[:-1]).astype(np.uint32) + np.uint32(0xA511E9B3)
@@ -128,7 +129,7 @@ def scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
 
 def learnt(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fit on labelled rows outside the held-out fifth (crc32 of the id, remainder 0 of 5)."""
-    return fit(labelled_sample(docs, labels, "quality", crc_mod(F.col("doc_id"), 5) != 0, s.per_class, s.chars), s)
+    return fit(labelled_sample(docs, labels, "quality", crc_mod(F.col("doc_id"), 5) != 0, s.per_class), s)
 
 
 def rate(docs: DataFrame, model: Model) -> DataFrame:

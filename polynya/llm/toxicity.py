@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the words of toxic text
-that ordinary text hardly has. A window of a text is compressed twice: with the ordinary
-dictionary, and with the toxic one laid before it. Both know ordinary text equally well, so the
-bytes the second saves are those of toxic phrasing, wherever in the window it stands. A logistic curve over the savings of all
-windows of a text, fitted on texts the dictionaries have not seen, gives the score; it is shifted
-so that the best cut on those texts lies at the threshold.
+Two zstandard dictionaries are trained: one on all windows of ordinary text, one on the short
+windows of toxic text that hold a word which ordinary text hardly has. A window of a text is
+compressed twice: with the ordinary dictionary, and with the toxic one laid before it. Both know
+ordinary text equally well, so the bytes the second saves are those of toxic phrasing, wherever in
+the window it stands. A logistic curve over the savings of all windows of a text, fitted on texts
+the dictionaries have not seen, gives the score; it is shifted so that the best cut on those texts
+lies at the threshold.
 
 Definitions: a null or empty text has no windows and saves nothing; it gets the score of savings
-zero. Every window of a text counts, however long it is. Equal texts get equal scores.
+zero. Every window of a text counts, however long it is. Equal texts get equal scores, repeated
+rows one each. An empty table gives an empty one; without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -33,21 +35,25 @@ AT_ENDS = re.compile(rb"(?<!\S)[%b]+|[%b]+(?!\S)" % (re.escape(MARKS), re.escape
 # zstandard looks for no match in the last bytes of its input, so these follow every window. Both
 # dictionaries hold them: every window has a match, and one more costs the same in each.
 TAIL = bytes(range(1, 17))
+# The last entry of a dictionary's head, the three repeat offsets 1, 4 and 8.
+TABLES_END = np.array([1, 4, 8], "<u4").tobytes()
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class`` and ``chars`` bound the sample that the fit sees; nothing else is bounded."""
+    """``per_class`` bounds the labelled rows that the fit sees, whole texts; nothing else is bounded.
 
-    per_class: int = 4000
-    chars: int = 20_000
+    Chosen by cross-validation inside the learning rows.
+    """
+
+    per_class: int = 1500
     window_words: int = 6
-    ordinary_bytes: int = 8192
-    toxic_bytes: int = 4096
+    toxic_words: int = 2
+    ordinary_bytes: int = 65536
+    toxic_bytes: int = 2048
     contexts: float = 0.012
     contrast: float = 10.0
     calibration: float = 0.3
-    ordinary_windows: int = 60_000
     seed: int = 7
 
 
@@ -76,8 +82,8 @@ def windows(text: str, n: int) -> list[bytes]:
 def compressor(content: bytes) -> Callable[[bytes], bytes]:
     """Compressor that starts from ``content`` and leaves out every constant frame field."""
     given = zstandard.ZstdCompressionParameters(
-        window_log=16, hash_log=15, chain_log=15, search_log=4, min_match=6,
-        strategy=zstandard.STRATEGY_GREEDY, write_checksum=False, write_content_size=False, write_dict_id=False,
+        window_log=20, hash_log=17, chain_log=18, search_log=5, min_match=4,
+        strategy=zstandard.STRATEGY_LAZY, write_checksum=False, write_content_size=False, write_dict_id=False,
     )
     known = zstandard.ZstdCompressionDict(TAIL + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(compression_params=given)
@@ -103,12 +109,12 @@ def features(saved: np.ndarray) -> list[float]:
 
 
 def dictionary(samples: Sequence[bytes], size: int) -> bytes:
-    """Content of a trained dictionary; too few samples to train on serve as they are."""
+    """Content of a trained dictionary; samples too few to train on serve as they are."""
     try:
         trained = zstandard.train_dictionary(size, list(samples), level=3).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
-    return trained[len(trained) // 16 :]  # without the entropy tables at its head
+        return b"".join(dict.fromkeys(samples))
+    return trained[trained.index(TABLES_END) + len(TABLES_END) :]
 
 
 def contexts(texts: Sequence[str]) -> Counter:
@@ -124,22 +130,19 @@ def train_dictionaries(ordinary: Sequence[str], toxic: Sequence[str], s: Setting
     # A word counts once for each word before it, so a copied passage counts once as a whole.
     seen, met = contexts(ordinary), contexts(toxic)
     least = max(3, int(s.contexts * len(toxic)))
-    telling = [
-        b" " + w + b" "
-        for w, n in sorted(met.items())
-        if n >= least and n * len(ordinary) >= s.contrast * seen[w] * len(toxic)
-        for _ in range(n)
+    telling = {
+        w for w, n in met.items() if n >= least and n * len(ordinary) >= s.contrast * seen[w] * len(toxic)
+    }
+    harsh = [
+        w for t in toxic for w in dict.fromkeys(windows(t, s.toxic_words))
+        if any(v.strip(MARKS) in telling for v in w.split())
     ]
     usual = sorted({w for t in ordinary for w in windows(t, s.window_words)})
     # The trainer learns from the first samples and tries the rest, so their order must be mixed.
     mixed = random.Random(s.seed)
-    mixed.shuffle(telling)
+    mixed.shuffle(harsh)
     mixed.shuffle(usual)
-    toxic_part = dictionary(telling, s.toxic_bytes)
-    if telling and Counter(telling).most_common(1)[0][0].strip() not in toxic_part:
-        # Of very few words the trainer keeps none; they serve as they are.
-        toxic_part = b"".join(dict.fromkeys(telling))[-s.toxic_bytes :]
-    return dictionary(usual[: s.ordinary_windows], s.ordinary_bytes), toxic_part
+    return dictionary(usual, s.ordinary_bytes), dictionary(harsh, s.toxic_bytes)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -202,7 +205,7 @@ def scorer(model: Model) -> Callable[[list[str]], np.ndarray]:
 
 def learnt(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Fit on labelled rows outside the held-out third (crc32 of the id, remainder 1 of 3)."""
-    return fit(labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 3) != 1, s.per_class, s.chars), s)
+    return fit(labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 3) != 1, s.per_class), s)
 
 
 def rate(docs: DataFrame, model: Model) -> DataFrame:

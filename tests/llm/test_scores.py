@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polynya.llm import lm, quality, toxicity
+from polynya.llm import base, lm, quality, toxicity
 
 DATA = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, score double, part int"
@@ -222,7 +222,7 @@ def test_short_toxic_words_show_at_every_place():
     fine = [" ".join(draw.choice(words, 12)) for _ in range(900)]
     tox = [" ".join([*draw.choice(words, 5), draw.choice(["idiot", "scum", "git"]), *draw.choice(words, 6)]) for _ in range(900)]
     saved = toxicity.savings(toxicity.fit([(t, 1) for t in tox] + [(t, 0) for t in fine]))
-    for word in ("idiot", "idiot."):
+    for word in ("idiot", "idiot.", "scum", "scum."):
         for place in range(6):
             hits = 0
             for _ in range(100):
@@ -230,3 +230,68 @@ def test_short_toxic_words_show_at_every_place():
                 window[place] = word
                 hits += saved(" ".join(window))[0] > 0
             assert hits > 60, (word, place, hits)
+
+
+def test_toxicity_score_equals_plain_compression():
+    tox = [f"walk{a} idiot by{b} moron river" for a in range(30) for b in range(30)]
+    fine = [f"we walk{a} along by{b} the river" for a in range(30) for b in range(30)]
+    model = toxicity.fit([(t, 1) for t in tox] + [(t, 0) for t in fine])
+    plain, harsh = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic + model.ordinary)
+    assert b"idiot" in model.toxic and b"idiot" not in model.ordinary
+    for text in ("", "Idiot, walk3 by the river and on and on we walk", "we walk4 along", tox[7] * 3):
+        words = text.lower().split()
+        saved = []
+        for i in range(0, len(words), 6):
+            window = " "
+            for w in words[i : i + 6]:
+                core = w.strip(".,;:!?\"'()[]")
+                before, _, after = w.partition(core) if core else (w, "", "")
+                window += "".join(f"{part} " for part in (before, core, after) if part)
+            window = window.encode()
+            saved.append(len(plain(window)) - len(harsh(window)))
+        n = max(len(saved), 1)
+        big = sum(v >= 4 for v in saved)
+        x = [1, sum(saved) / n, sum(saved) / n**0.5, max([0, *saved]) / 4, 4 * big / n**0.5]
+        z = sum(a * b for a, b in zip(x, model.weights))
+        assert toxicity.scorer(model)([text])[0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
+def test_quality_score_equals_plain_sum():
+    model = quality.fit([(f"good calm prose {i}", 1) for i in range(40)] + [(f"BUY!! {i} {i} NOW", 0) for i in range(40)])
+    s = model.settings
+    prime, mask = 16777619, 2**32 - 1
+
+    def rolled(chars):
+        value = 0
+        for i, c in enumerate(chars):
+            value = ord(c) if not i else (value * prime + ord(c)) & mask
+        return value
+
+    def spread(value):
+        return ((value * 2654435769) & mask) >> (32 - s.bits)
+
+    text = "Calm  calm prose\tBUY"
+    flat = f" {' '.join(text.split())} "
+    grams = [rolled(flat[i : i + n]) ^ n for n in s.orders for i in range(len(flat) - n + 1)]
+    whole = []
+    for word in text.split():
+        power, value = prime, (32 * prime) & mask
+        for c in word:
+            power = power * prime & mask
+            value = (value + ord(c) * power) & mask
+        whole.append(value)
+    pairs = [(0xA511E9B3 + (a == b)) & mask for a, b in zip(whole, whole[1:])]
+    buckets = [spread(g) for g in grams] + [spread(w ^ 0x5BD1E995) for w in whole]
+    buckets += [spread(p) for p in pairs for _ in range(s.pair_weight)]
+    z = sum(float(model.table[b]) for b in buckets) / len(buckets) + model.offset
+    assert quality.scorer(model)([text])[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+
+
+def test_a_late_passage_is_learnt_from_a_long_text(spark):
+    # The only telling words of the training texts stand behind 30,000 characters.
+    long = "we walk along by the river " * 1200
+    rows = [(i, f"{long}{i} " + ("idiot by moron " * 3 if i % 2 else "mill by house ")) for i in range(1, 40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    sample = base.labelled_sample(frame(spark, rows), labels, "toxic", F.lit(True), 100)
+    assert sorted(sample) == sorted((t, i % 2) for i, t in rows)
+    assert len(base.labelled_sample(frame(spark, rows), labels, "toxic", F.lit(True), 5)) == 10
