@@ -44,6 +44,16 @@ def odd_rows():
         ("<dl><dt>k<dd>v</dl>", "k\n    v"),
         ("<p>1 < 2 and <unknown>t</unknown>", "1 < 2 and t"),
         ("<blockquote>q</blockquote>", "> q"),
+        ("<p>one<div>two</p>three", "one\n\ntwo\n\nthree"),
+        ("<table><tr>stray<td>1</table>", "stray\n1"),
+        ("<table><tr><td><ul><li>a<li>b</ul><td>c<tr><td>d<td>e</table>", "- a | c\n- b\nd   | e"),
+        ("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>", "ab | c\n   | d\ne  | f"),
+        ("<table><tr><td>" + "x" * 70 + "<td>y<tr><td>z<td>w</table>", "x" * 70 + " | y\nz" + " " * 69 + " | w"),
+        ("<svg><title>no</title><text>yes</text></svg> <math><mi>x</mi></math>", "yes x"),
+        ("<div style='visibility:hidden'>no <b style='visibility:visible'>yes</b></div>", "yes"),
+        ("<style>.x, p.y{display:none} @media print{b{display:none}}</style><i class='a x'>no</i><p class=y>no</p><b class=y>yes</b>", "yes"),
+        ("<style>.x{display:none} #k{display:block}</style><i class=x id=k>yes</i>", "yes"),
+        ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
     ],
 )
 def test_rendering(markup, text):
@@ -55,7 +65,37 @@ def test_deep_and_broken_markup():
     deep = "<div>" * 30_000 + "core" + "</div>" * 10
     assert html.rendered(deep) == "core"
     assert html.rendered("<table><tr><td>" * 300 + "x").replace("|", "").strip() == "x"
-    assert "end" in html.rendered("<a href='unclosed>end")[-3:] + "end"
+    assert html.rendered("<a href='unclosed>end") == "<a href='unclosed>end"
+    wide = "<table>" + "<tr><td>a<td>b" * 3000 + "<tr><td>" + "x" * 200_000 + "<td>c</table>"
+    assert Counter(html.rendered(wide).replace("|", " ").split()) == {"a": 3000, "b": 3000, "x" * 200_000: 1, "c": 1}
+
+
+def test_visible_words_of_nested_markup_equal_brute_force():
+    draw = np.random.default_rng(3)
+    tags = ["div", "span", "b", "ul", "li", "section", "table", "blockquote", "svg", "h2", "td"]
+    hides = ["", "", "", " hidden", " style='display:none'", " class=gone", " style='visibility:hidden'", " style='visibility:visible'"]
+    for _ in range(150):
+        parts, want, count = ["<style>.gone{display:none}</style>"], Counter(), 0
+
+        def grow(depth, shown, seen):
+            nonlocal count
+            for _ in range(int(draw.integers(1, 4))):
+                count += 1
+                parts.append(f" w{count} ")
+                if shown and seen:
+                    want[f"w{count}"] += 1
+                if depth < 5 and draw.random() < 0.7:
+                    tag, hide = draw.choice(tags), draw.choice(hides)
+                    now = "visible" in hide or (seen and "visibility" not in hide)
+                    inner = "<tr><td>" if tag == "table" else ""
+                    before = {"td": "<table><tr>", "li": "<ul>"}.get(tag, "<div>")
+                    parts.append(f"{before}<{tag}{hide}>{inner}")
+                    grow(depth + 1, shown and not ("hidden" == hide.strip() or "none" in hide or "gone" in hide), now)
+                    parts.append(f"</{tag}>" + {"td": "</table>", "li": "</ul>"}.get(tag, "</div>"))
+
+        grow(0, True, True)
+        got = html.rendered("".join(parts)).replace("|", " ").replace("- ", " ").replace("> ", " ")
+        assert Counter(w for w in got.split() if w.startswith("w")) == want, "".join(parts)
 
 
 def test_every_visible_word_once(spark):
