@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from polynya.functions import geodesy as geo
 from polynya.operators import spatial as sp
+from polynya.operators.joins import blocked_join
+from polynya.plans import fields
 from tests.conftest import rows
 
 PIXEL, CAMP = (-63.77872, 67.47679), (-63.78953, 67.47973)
@@ -152,3 +154,23 @@ def test_arrays_are_turned_and_cropped(spark):
     seam = crop_arrays(df.filter("id = 1"), "lon", "lat", ["v"], 150.0, -150.0, 0.0, 55.0)
     out = rows(grid_to_cells(seam, ["id"], "lon", "lat", "v"), "lon", "value")
     assert out == [(-150.0, 7.0), (150.0, 5.0), (180.0, 6.0)]
+
+
+def test_hot_cell_of_a_wind_grid_is_dealt_over_tasks(spark):
+    stations = spark.range(40).selectExpr("id AS station", "70.0D AS lat", "-45.0D + id % 2 AS lon")
+    records = spark.range(30).selectExpr(
+        "id AS at", "array(0.0D, 45.0D, 315.0D) AS lon", "array(68.0D, 70.0D) AS lat",
+        "transform(sequence(0, 5), i -> 1.0D * id + i) AS uwnd", "transform(sequence(0, 5), i -> 0.5D * i) AS vwnd",
+    )
+    wind = fields.wind_from_arrays(stations, records, "at", (-90.0, -40.0, 64.0, 90.0), 45.0, 2.0, digits=3)
+    want = [(s, t, t + 5.0, 2.5, round(math.hypot(t + 5.0, 2.5), 3)) for s in range(40) for t in range(30)]
+    assert rows(wind, "station", "at", "uwnd", "vwnd", "speed") == sorted(want)
+    left = spark.createDataFrame([(1, i % 70) for i in range(90)] + [(2, 0), (None, 1)], "k int, a int")
+    right = spark.createDataFrame([(1, i % 50) for i in range(80)] + [(3, 0), (None, 1)], "k int, b int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = blocked_join(left, right, ["k"], rows=8)
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert rows(got, "k", "a", "b") == rows(left.join(right, "k"), "k", "a", "b")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
