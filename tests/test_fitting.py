@@ -4,6 +4,7 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,29 @@ def test_photoinhibition_recovers(curves, limit):
     assert bounded["one"]["ps"] <= 1.5 and bounded["one"]["rss"] > got["one"]["rss"]
 
 
+def test_whole_curves_are_one_shuffle_and_equal_cut_ones(spark):
+    rng = np.random.default_rng(5)
+    data = [(None if k == 7 else k, float("nan") if k == 3 else 1.0 * (k % 2), *r) for k in range(90) for r in
+            curve(1.0 + k % 5, 0.02 + 0.01 * (k % 3), 0.004 * (k % 4), 0.1, rng.uniform(0, 700, int(rng.integers(1, 40))).tolist())]
+    data += [(200, 0.0, 0.0, float(i)) for i in range(9)] + [(201, 0.0, 10.0 * i, 2.0) for i in range(9)]
+    df = spark.createDataFrame(data, "a int, b double, light double, p double").repartition(5)
+    # The rounds add no shuffle to the one that lays the rows out by key.
+    plain = fitting.whole_curves(df.selectExpr("a", "b", "light AS _x", "p AS _y"), ["a", "b"], [fitting.SATURATION_2D, fitting.INHIBITION], fitting.RISE, fitting.FALL, 1e-6, 10.0, 3)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    key = lambda r: (r["a"], str(r["b"]))
+    got, cut = ({key(r): r for r in fitting.pe_photoinhibition(df, ["a", "b"], ps_max=10.0, share_rows=n).collect()} for n in (fitting.SHARE_ROWS, 6))
+    assert got.keys() == cut.keys() and len(got) == 92
+    for k, r in got.items():
+        for c in ("n", "tss", "ps", "alpha", "beta", "p0", "rss", "at_edge"):
+            assert (r[c] is None) == (cut[k][c] is None) and (r[c] is None or r[c] == pytest.approx(cut[k][c], rel=1e-6, abs=1e-9)), (k, c)
+    assert got[(200, "0.0")]["ps"] is None and got[(200, "0.0")]["n"] == 9
+
+
+def test_first_rows():
+    table = pa.table({"k": ["a", "a", None, None, "b", "b"], "v": [1.0, 1.0, float("nan"), float("nan"), 2.0, 3.0]})
+    assert fitting.first_rows(table, ["k"]).tolist() == [0, 2, 4] and fitting.first_rows(table, ["k", "v"]).tolist() == [0, 2, 4, 5]
+
+
 def test_metrics(spark, curves):
     one = fitting.pe_photoinhibition(curves.filter("k = 'one'"), ["k"])
     two = fitting.pe_saturating(curves.filter("k = 'two'"), ["k"])
