@@ -6,6 +6,7 @@ Formulas: Snyder (1987) for the polar stereographic projection, Vincenty (1975)
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -67,45 +68,73 @@ SEA_ICE = PolarStereographic(70.0, -45.0)
 CAMERA = PolarStereographic(60.0, -80.0)
 
 
+def given(values: dict[str, Column], f: Callable[[Column], Column]) -> Column:
+    """``f`` of named values, each worked out once however often ``f`` uses it.
+
+    They pass through a one-element array; an expression written out in every place that uses it
+    is worked out in each of them, and such places multiply from step to step.
+    """
+    held = F.struct(*[v.alias(n) for n, v in values.items()])
+    return F.element_at(F.transform(F.array(held), f), 1)
+
+
 def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = 20) -> Column:
     """Ellipsoidal distance in metres; 0 for equal points. A fixed number of iterations."""
     f = FLATTENING
-    u1 = F.atan((1 - f) * F.tan(F.radians(lat1)))
-    u2 = F.atan((1 - f) * F.tan(F.radians(lat2)))
-    l = F.radians(lon2 - lon1)
-    su1, cu1, su2, cu2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-
-    def sphere(lam: Column) -> dict[str, Column]:
-        sl, cl = F.sin(lam), F.cos(lam)
-        a, b = cu2 * sl, cu1 * su2 - su1 * cu2 * cl
-        sin_sigma = F.sqrt(a * a + b * b)
-        cos_sigma = su1 * su2 + cu1 * cu2 * cl
-        sin_alpha = F.coalesce(F.try_divide(cu1 * cu2 * sl, sin_sigma), F.lit(0.0))
-        cos2 = 1 - sin_alpha * sin_alpha
-        mid = F.coalesce(cos_sigma - F.try_divide(2 * su1 * su2, cos2), F.lit(0.0))
-        return {
-            "sin_sigma": sin_sigma, "cos_sigma": cos_sigma, "sigma": F.atan2(sin_sigma, cos_sigma),
-            "sin_alpha": sin_alpha, "cos2": cos2, "mid": mid,
-        }
-
-    def step(lam: Column, _i: Column) -> Column:
-        p = sphere(lam)
-        c = f / 16 * p["cos2"] * (4 + f * (4 - 3 * p["cos2"]))
-        inner = p["mid"] + c * p["cos_sigma"] * (2 * p["mid"] * p["mid"] - 1)
-        return l + (1 - c) * f * p["sin_alpha"] * (p["sigma"] + c * p["sin_sigma"] * inner)
-
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), l, step)
-
-    def distance(lam: Column) -> Column:
-        p = sphere(lam)
-        u = p["cos2"] * ((A * A - B * B) / (B * B))
-        aa = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
-        bb = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
-        m2 = p["mid"] * p["mid"]
-        s2 = p["sin_sigma"] * p["sin_sigma"]
-        third = bb / 6 * p["mid"] * (4 * s2 - 3) * (4 * m2 - 3)
-        delta = bb * p["sin_sigma"] * (p["mid"] + bb / 4 * (p["cos_sigma"] * (2 * m2 - 1) - third))
-        return F.lit(B) * aa * (p["sigma"] - delta)
-
-    # The converged angle passes through a one-element array, so it is computed once.
-    return F.element_at(F.transform(F.array(lam), distance), 1)
+
+    def sphere(q: Column, lam: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of the triangle on the sphere at longitude difference ``lam``."""
+
+        def sides(t: Column) -> Column:
+            a, b = q["cu2"] * t["sl"], q["cu1"] * q["su2"] - q["su1"] * q["cu2"] * t["cl"]
+            return given({
+                "sin_sigma": F.sqrt(a * a + b * b),
+                "cos_sigma": q["su1"] * q["su2"] + q["cu1"] * q["cu2"] * t["cl"],
+                "over": q["cu1"] * q["cu2"] * t["sl"],
+            }, azimuth)
+
+        def azimuth(t: Column) -> Column:
+            sin_alpha = F.coalesce(F.try_divide(t["over"], t["sin_sigma"]), F.lit(0.0))
+            return given({"sin_alpha": sin_alpha, "sin_sigma": t["sin_sigma"], "cos_sigma": t["cos_sigma"]}, middle)
+
+        def middle(t: Column) -> Column:
+            cos2 = 1 - t["sin_alpha"] * t["sin_alpha"]
+            return given({
+                "sin_sigma": t["sin_sigma"], "cos_sigma": t["cos_sigma"], "sin_alpha": t["sin_alpha"], "cos2": cos2,
+                "sigma": F.atan2(t["sin_sigma"], t["cos_sigma"]),
+                "mid": F.coalesce(t["cos_sigma"] - F.try_divide(2 * q["su1"] * q["su2"], cos2), F.lit(0.0)),
+            }, then)
+
+        return given({"sl": F.sin(lam), "cl": F.cos(lam)}, sides)
+
+    def between(q: Column) -> Column:
+        def step(lam: Column, _i: Column) -> Column:
+            def moved(p: Column) -> Column:
+                c = f / 16 * p["cos2"] * (4 + f * (4 - 3 * p["cos2"]))
+                inner = p["mid"] + c * p["cos_sigma"] * (2 * p["mid"] * p["mid"] - 1)
+                return q["l"] + (1 - c) * f * p["sin_alpha"] * (p["sigma"] + c * p["sin_sigma"] * inner)
+
+            return sphere(q, lam, moved)
+
+        def distance(p: Column) -> Column:
+            u = p["cos2"] * ((A * A - B * B) / (B * B))
+            aa = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768))
+            bb = u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
+            m2 = p["mid"] * p["mid"]
+            s2 = p["sin_sigma"] * p["sin_sigma"]
+            third = bb / 6 * p["mid"] * (4 * s2 - 3) * (4 * m2 - 3)
+            delta = bb * p["sin_sigma"] * (p["mid"] + bb / 4 * (p["cos_sigma"] * (2 * m2 - 1) - third))
+            return F.lit(B) * aa * (p["sigma"] - delta)
+
+        lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), q["l"], step)
+        return sphere(q, lam, distance)
+
+    def angles(u: Column) -> Column:
+        return given({
+            "su1": F.sin(u["u1"]), "cu1": F.cos(u["u1"]), "su2": F.sin(u["u2"]), "cu2": F.cos(u["u2"]), "l": u["l"],
+        }, between)
+
+    return given({
+        "u1": F.atan((1 - f) * F.tan(F.radians(lat1))), "u2": F.atan((1 - f) * F.tan(F.radians(lat2))),
+        "l": F.radians(lon2 - lon1),
+    }, angles)

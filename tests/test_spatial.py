@@ -174,3 +174,34 @@ def test_hot_cell_of_a_wind_grid_is_dealt_over_tasks(spark):
         assert rows(got, "k", "a", "b") == rows(left.join(right, "k"), "k", "a", "b")
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_geodesic_steps_are_worked_out_once(spark):
+    def vincenty(lon1, lat1, lon2, lat2):
+        f, t = geo.FLATTENING, math.radians
+        u1, u2, l = math.atan((1 - f) * math.tan(t(lat1))), math.atan((1 - f) * math.tan(t(lat2))), t(lon2 - lon1)
+        lam = l
+        for _ in range(21):
+            sl, cl = math.sin(lam), math.cos(lam)
+            ss = math.hypot(math.cos(u2) * sl, math.cos(u1) * math.sin(u2) - math.sin(u1) * math.cos(u2) * cl)
+            cs = math.sin(u1) * math.sin(u2) + math.cos(u1) * math.cos(u2) * cl
+            sa = math.cos(u1) * math.cos(u2) * sl / ss
+            c2, sg = 1 - sa * sa, math.atan2(ss, cs)
+            mid = cs - 2 * math.sin(u1) * math.sin(u2) / c2
+            c = f / 16 * c2 * (4 + f * (4 - 3 * c2))
+            lam = l + (1 - c) * f * sa * (sg + c * ss * (mid + c * cs * (2 * mid * mid - 1)))
+        u = c2 * (geo.A**2 - geo.B**2) / geo.B**2
+        a, b = 1 + u / 16384 * (4096 + u * (u * (320 - 175 * u) - 768)), u / 1024 * (256 + u * (u * (74 - 47 * u) - 128))
+        third = b / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)
+        return geo.B * a * (sg - b * ss * (mid + b / 4 * (cs * (2 * mid * mid - 1) - third)))
+
+    rng = random.Random(8)
+    places = [(rng.uniform(-180, 180), rng.uniform(-80, 80), rng.uniform(-20, 20), rng.uniform(-60, 60)) for _ in range(50)]
+    places = [(a, b, a + c, max(-85.0, min(85.0, b + d))) for a, b, c, d in places]
+    metres = geo.geodesic_m(*map(F.col, "abcd")).alias("m")
+    got = spark.createDataFrame(places, "a double, b double, c double, d double").select("*", metres)
+    assert got._jdf.queryExecution().analyzed().expressions().last().numberedTreeString().count("\n") < 2000
+    for r in got.collect():
+        assert r["m"] == pytest.approx(vincenty(*r[:4]), abs=1e-3)
+    nothing = spark.sql("SELECT 1D AS a, CAST(NULL AS DOUBLE) AS b, 1D AS c, 2D AS d")
+    assert nothing.select(metres).first()[0] is None
