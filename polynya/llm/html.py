@@ -10,8 +10,9 @@ sheets that name a tag, a class, an id or several of them at once; rules for som
 selectors of other kinds, are passed over.
 
 Definitions: a null page has null text, an empty page empty text. Markup that breaks off, closes
-what is not open or nests without end is rendered as far as it says something; nothing is cut. A
-table whose padding would be more than 16 times its text keeps its lines and loses the padding.
+what is not open or nests without end is rendered as far as it says something; nothing is cut.
+Every table is aligned, whatever its size: a row that has text after its widest column is as long
+as that column is wide, so a table of many rows with one very wide cell is mostly blanks.
 Pages are worked alone: repeated rows give equal texts, an empty table an empty one.
 """
 
@@ -70,7 +71,7 @@ SHOWING = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 SHEET = re.compile(r"[^{}]*\{|\}|[^{}]+")
 SIMPLE = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)", re.I)
-PADDING = 16  # most padding of a table, in its own text
+BATCH_CHARS = 64_000_000  # text of the pages that are handed on together
 
 
 class Element:
@@ -344,29 +345,25 @@ class Table:
             out.append(cells)
         return out
 
-    def lines(self) -> list[str]:
-        """Rows as lines, their cells padded to the width of their columns."""
+    def lines(self) -> Iterator[str]:
+        """Rows as lines, their cells padded to the width of their columns; no blanks at the end."""
         rows = self.placed()
         width: dict[int, int] = {}
         for row in rows:
             for at, wide, lines in row:
                 if wide == 1:
                     width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
-        heights = [max((len(lines) for _, _, lines in row), default=0) for row in rows]
-        text = sum(len(line) + 1 for row in rows for _, _, lines in row for line in lines)
-        if sum(heights) * (sum(width.values()) + 3 * len(width)) > PADDING * (text + 4096):
-            width = {}
-        out = []
-        for row, height in zip(rows, heights, strict=True):
-            for k in range(height):
+        for row in rows:
+            for k in range(max((len(lines) for _, _, lines in row), default=0)):
                 line, column = [], 0
-                for at, wide, lines in row:
+                # Below its first line a row ends with its last text.
+                shown = [i for i, cell in enumerate(row) if len(cell[2]) > k and cell[2][k]] if k else range(len(row))
+                for at, wide, lines in row[: shown[-1] + 1] if shown else ():
                     line += [" " * width.get(c, 0) for c in range(column, at)]  # cells from above
-                    room = sum(width.get(at + i, 0) for i in range(wide)) + (3 * (wide - 1) if width else 0)
+                    room = sum(width.get(at + i, 0) for i in range(wide)) + 3 * (wide - 1)
                     line.append((lines[k] if k < len(lines) else "").ljust(room))
                     column = at + wide
-                out.append(" | ".join(line).rstrip(" |") if k else " | ".join(line).rstrip())
-        return out
+                yield " | ".join(line).rstrip(" |") if k else " | ".join(line).rstrip()
 
 
 def number(text: str | None, other: int) -> int:
@@ -501,13 +498,21 @@ def rendered(markup: str | None) -> str | None:
     return None if markup is None else render(parse(markup))
 
 
-def extract(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
+def extract(
+    pages: DataFrame, key: str = "page_id", column: str = "html", batch_chars: int = BATCH_CHARS
+) -> DataFrame:
     """``key, text`` of every page. Pages are independent; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [rendered(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=[key, "text"])
+            text, size, first = [], 0, 0
+            for i, x in enumerate(b.column(1)):
+                text.append(rendered(x.as_py()))
+                size += len(text[-1] or "")
+                if size >= batch_chars or i + 1 == b.num_rows:
+                    ids = b.column(0).slice(first, len(text))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(text, pa.string())], names=[key, "text"])
+                    text, size, first = [], 0, i + 1
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, F.col(column).cast("string")).mapInArrow(run, f"{key} {kind}, text string")

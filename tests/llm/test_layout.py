@@ -70,6 +70,21 @@ def test_deep_and_broken_markup():
     assert Counter(html.rendered(wide).replace("|", " ").split()) == {"a": 3000, "b": 3000, "x" * 200_000: 1, "c": 1}
 
 
+@pytest.mark.parametrize("times", [1, 40, 400])
+def test_tables_of_any_size_are_aligned(times):
+    rows = "<tr><td>a<td>b<tr><td><ul><li>c<li>d</ul><td rowspan=2>e<tr><td>f" * times
+    for wide in (70, 9000):
+        got = html.rendered("<table>" + rows + "<tr><td>" + "x" * wide + "<td>y</table>").rstrip().split("\n")
+        text = lambda first, then: first.ljust(wide) + " | " + then
+        assert got == [text("a", "b"), text("- c", "e"), "- d", "f"] * times + [text("x" * wide, "y")]
+
+
+def test_pages_are_handed_on_in_small_batches(spark):
+    pages = spark.createDataFrame([(i, None if i % 5 == 0 else f"<p>{'w' * i}") for i in range(60)], "page_id int, html string")
+    got = {r.page_id: r.text for r in html.extract(pages.coalesce(1), batch_chars=100).collect()}
+    assert got == {i: None if i % 5 == 0 else "w" * i for i in range(60)}
+
+
 def test_visible_words_of_nested_markup_equal_brute_force():
     draw = np.random.default_rng(3)
     tags = ["div", "span", "b", "ul", "li", "section", "table", "blockquote", "svg", "h2", "td"]
