@@ -13,11 +13,10 @@ for themselves. Equal lengths go by doc_id (null first), then start. An empty ta
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,10 +27,6 @@ from pyspark.sql import types as T
 
 from polynya.llm.base import pieces
 
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-CACHED_CHARS, CACHED_CHUNKS = 48, 400_000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -53,12 +48,13 @@ def public_vocabulary() -> Settings:
     )
 
 
+@lru_cache(maxsize=1)
 def encoder(model: str, ranks: str) -> Callable[[str], np.ndarray]:
     """Token ids of a text.
 
-    A run of blanks and line ends always starts a new piece of the byte-level vocabulary's
-    pattern, so a text may be cut there and each chunk be encoded once per task. Texts with
-    other white space or with the text of a special token are encoded as a whole.
+    The rank file's encoder takes texts whole; texts with the text of a special token, or with a run
+    of blanks too long for its pattern, go through the JSON vocabulary's own. A worker process keeps
+    its encoder for all its tasks.
     """
     import public_tokenizers
     import tiktoken
@@ -68,25 +64,15 @@ def encoder(model: str, ranks: str) -> Callable[[str], np.ndarray]:
     special = [t.content for t in full.get_added_tokens_decoder().values()]
     with open(ranks, "rb") as f:
         known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-
-    class Chunks(dict):
-        def __missing__(self, chunk: str) -> list[int]:
-            ids = fast.encode_ordinary(chunk)
-            if len(chunk) <= CACHED_CHARS:
-                if len(self) >= CACHED_CHUNKS:
-                    self.clear()
-                self[chunk] = ids
-            return ids
-
-    cache = Chunks()
+    fast = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
-        if ODD_SPACE.search(text):
-            return np.array(fast.encode_ordinary(text), np.uint32)
-        return np.fromiter(chain.from_iterable(map(cache.__getitem__, CHUNK.findall(text))), np.uint32)
+        if not any(s in text for s in special):
+            try:
+                return fast.encode_to_numpy(text)
+            except ValueError:  # the pattern's stack is full
+                pass
+        return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 

@@ -287,3 +287,13 @@ def test_pipeline_stages(spark):
     none = docs.where("false")
     for _, stage in p.STAGES:
         assert stage(spark, none, DATA).collect() == []
+
+
+def test_a_worker_keeps_its_encoder_and_long_runs_pass():
+    from tokenizers import Tokenizer
+
+    s = packing.public_vocabulary()
+    encode, full = packing.encoder(s.model, s.ranks), Tokenizer.from_file(s.model)
+    assert packing.encoder(s.model, s.ranks) is encode
+    for text in ("a" + " " * 2_000_000 + "x", "b" * 300_000, "\t \x0b\n it's\x1c 12"):
+        assert encode(text).tolist() == full.encode(text, add_special_tokens=False).ids
