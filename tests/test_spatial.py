@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from polynya.functions import geodesy as geo
 from polynya.operators import spatial as sp
-from polynya.operators.joins import blocked_join
+from polynya.operators.joins import block_counts, blocked_join
 from polynya.plans import fields
 from tests.conftest import rows
 
@@ -205,3 +205,37 @@ def test_geodesic_steps_are_worked_out_once(spark):
         assert r["m"] == pytest.approx(vincenty(*r[:4]), abs=1e-3)
     nothing = spark.sql("SELECT 1D AS a, CAST(NULL AS DOUBLE) AS b, 1D AS c, 2D AS d")
     assert nothing.select(metres).first()[0] is None
+
+
+def test_products_of_a_hot_key_take_copies_in_proportion_to_its_rows(spark):
+    def sides(n, m):
+        return spark.range(n).selectExpr("1 AS k"), spark.range(m).selectExpr("1 AS k")
+
+    for n, m in ((10_000, 100_000), (40_000, 400_000)):
+        (_, a, b), = block_counts(*sides(n, m), ["k"]).collect()
+        assert n * b + m * a <= n + m + 2 * math.sqrt(n * m * 256)
+        assert a * b >= 256
+    assert block_counts(*sides(600, 1100), ["k"]).collect() == [(1, 2, 3)]
+    left = spark.createDataFrame([(1, i % 70, None if i % 9 else "x") for i in range(90)] + [(2, 0, "y"), (None, 1, "z")], "k int, a int, c string")
+    right = spark.createDataFrame([(i % 50, 1) for i in range(80)] + [(0, 2), (0, 2), (3, 3), (1, None)], "b int, k int")
+    for most, run in ((4, 3), (1, 8), (64, 256)):
+        got = blocked_join(left, right, ["k"], rows=8, most=most, run=run)
+        want = left.join(right, "k")
+        assert got.columns == want.columns and got.count() == want.count()
+        assert got.exceptAll(want).count() == 0
+    keys = left.select("k")
+    assert blocked_join(keys, right, ["k"], rows=8).groupBy("k", "b").count().exceptAll(keys.join(right, "k").groupBy("k", "b").count()).count() == 0
+
+
+def test_wind_of_many_stations_takes_little_disk(spark, tmp_path):
+    stations = spark.range(1200).selectExpr(
+        "id AS station", "69.0D + (id * 37 % 190) / 100D AS lat", "-60.0D + (id * 53 % 1500) / 100D AS lon"
+    )
+    records = spark.range(1500).selectExpr(
+        "id AS at", "array(0.0D, 315.0D) AS lon", "array(70.0D) AS lat",
+        "array(0.0D, sin(id)) AS uwnd", "array(0.0D, cos(id * id)) AS vwnd",
+    )
+    wind = fields.wind_from_arrays(stations, records, "at", (-90.0, -40.0, 64.0, 90.0), 45.0, 2.0, digits=9)
+    wind.write.parquet(f"{tmp_path}/wind")
+    assert spark.read.parquet(f"{tmp_path}/wind").count() == 1_800_000
+    assert sum(p.stat().st_size for p in (tmp_path / "wind").glob("*.parquet")) < 1_800_000
